@@ -134,19 +134,49 @@ def cv_pct_rounded(n: Column, s: Column, ss: Column, scale: int = 1) -> Column:
     return (m * dec(Decimal(1).scaleb(-scale))).cast(f"decimal(38,{scale})")
 
 
-# --- integer money helpers for source bindings ------------------------------
+# --- per-row integer helpers ------------------------------------------------
+#
+# Per-row values stay in LONG units (cents, 1/1000 mile, seconds) so the
+# arithmetic is primitive: DECIMAL(38) division costs ~15x a LONG ``div``.
+
+
+def ldiv(a: Column, b) -> Column:
+    """Integral division of LONGs, truncating toward zero (SQL ``div``)."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
+
+
+def idiv(a: Column, b: int) -> Column:
+    """floor(a / b) for a >= 0 and constant b > 0."""
+    return ldiv(a, F.lit(b).cast("long"))
+
+
+def lround(num: Column, den) -> Column:
+    """LONG ``num / den`` rounded half away from zero (``den`` must be non-zero)."""
+    den = den if isinstance(den, Column) else F.lit(den).cast("long")
+    q = ldiv(F.abs(num) * 2 + F.abs(den), F.abs(den) * 2)
+    return F.when((num < 0) != (den < 0), -q).otherwise(q)
 
 
 def cents_of(x: Column) -> Column:
     """A DOUBLE amount with at most 2 decimals as exact integer cents."""
-    return F.round(x * F.lit(100.0)).cast("long")
+    return F.rint(x * F.lit(100.0)).cast("long")
+
+
+def to_units(x: Column, scale: int) -> Column:
+    """A DECIMAL with at most ``scale`` fraction digits as a LONG count of 10^-scale."""
+    return (x * dec(10**scale)).cast("long")
 
 
-def idiv(a: Column, b) -> Column:
-    """floor(a / b) for integral a >= 0 and constant b > 0, exact."""
-    return _int_quotient(a.cast(INT), dec(b)).cast("long")
+def from_units(units_col: Column, scale: int, precision: int = 12) -> Column:
+    """A LONG count of 10^-scale units as DECIMAL(precision, scale).
+
+    The product stays within 18 digits, so Spark keeps it in a long.
+    """
+    return (units_col.cast(f"decimal({18 - scale - 1},0)") * dec(Decimal(1).scaleb(-scale))).cast(
+        f"decimal({precision},{scale})"
+    )
 
 
 def money(cents: Column) -> Column:
     """Integer cents as DECIMAL(12,2)."""
-    return (cents.cast("decimal(20,0)") * dec("0.01")).cast("decimal(12,2)")
+    return from_units(cents, 2, 12)

@@ -7,10 +7,12 @@ columns pushed into the Parquet reader, unused columns pruned.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.functions.exact import dec, round_ratio
+from farelens.functions.exact import from_units, lround, to_units
 from farelens.functions.ladders import ladder
 from farelens.params import Params
 from farelens.sources.contract import ENRICHED_COLUMNS, FEE_COLUMNS
@@ -34,9 +36,21 @@ def time_of_day(ts: Column, params: Params) -> Column:
     )
 
 
-def legal_minimum_floor(miles: Column, seconds: Column, params: Params) -> Column:
-    """ROUND(miles * per_mile + seconds / 60 * per_minute, 2), exact."""
-    return round_ratio(miles * dec(params.pay_per_mile) * 60 + seconds * dec(params.pay_per_minute), F.lit(60), 2)
+def rate_scale(*rates) -> int:
+    """Decimal places needed to hold every rate as an integer (at least cents)."""
+    return max([2] + [max(0, -Decimal(r).normalize().as_tuple().exponent) for r in rates])
+
+
+def legal_minimum_floor_cents(miles_m: Column, secs: Column, params: Params) -> Column:
+    """ROUND(miles * per_mile + secs / 60 * per_minute, 2) in cents, exact.
+
+    With rates held as integers of 10^-k dollars (rm, rt), the floor in
+    cents is (60 * miles_m * rm + 1000 * secs * rt) / (600 * 10^k).
+    """
+    k = rate_scale(params.pay_per_mile, params.pay_per_minute)
+    rm = int(Decimal(params.pay_per_mile).scaleb(k))
+    rt = int(Decimal(params.pay_per_minute).scaleb(k))
+    return lround(miles_m * (60 * rm) + secs * (1000 * rt), 600 * 10**k)
 
 
 def clean_filter(trips: DataFrame, params: Params) -> DataFrame:
@@ -74,31 +88,39 @@ def enrich(trips: DataFrame, zones: DataFrame, params: Params) -> DataFrame:
     t = t.join(pu, t.PULocationID == pu._pu_id, "left").join(do, t.DOLocationID == do._do_id, "left")
 
     c = F.col
-    fare, pay, miles, secs = c("base_passenger_fare"), c("driver_pay"), c("trip_miles"), c("trip_time")
-    wait = wait_seconds(c("request_datetime"), c("pickup_datetime"))
-    fees = {f: F.coalesce(c(f), dec("0.00")) for f in FEE_COLUMNS}
+    # Stage 1: everything per trip as LONG units (cents, 1/1000 mile, seconds).
+    units = {
+        "_fare_c": to_units(c("base_passenger_fare"), 2),
+        "_pay_c": to_units(c("driver_pay"), 2),
+        "_miles_m": to_units(c("trip_miles"), 3),
+        "_wait_s": wait_seconds(c("request_datetime"), c("pickup_datetime")),
+        **{f"_{f}_c": F.coalesce(to_units(c(f), 2), F.lit(0).cast("long")) for f in FEE_COLUMNS},
+    }
+    t = t.withColumns(units)
+    fare, pay, miles, secs, wait = c("_fare_c"), c("_pay_c"), c("_miles_m"), c("trip_time"), c("_wait_s")
     total = fare
     for f in FEE_COLUMNS:
-        total = total + fees[f]
+        total = total + c(f"_{f}_c")
     spread = fare - pay
 
+    # Stage 2: rounded per-trip measures, converted once to DECIMAL.
     derived = {
         "company_name": company_name(c("hvfhs_license_num"), params),
         "trip_date": F.to_date(c("pickup_datetime")),
         "time_of_day": time_of_day(c("pickup_datetime"), params),
-        "trip_min": round_ratio(secs, F.lit(60), 2),
-        "request_to_pickup_min": round_ratio(wait, F.lit(60), 2),
+        "trip_min": from_units(lround(secs * 100, 60), 2, 14),
+        "request_to_pickup_min": from_units(lround(wait * 100, 60), 2, 14),
         "sla_5min_met": F.when(wait <= params.sla_seconds, 1).otherwise(0),
-        **fees,
-        "passenger_total_charge": total,
-        "total_congestion_fees": fees["congestion_surcharge"] + fees["cbd_congestion_fee"],
-        "platform_spread": spread,
-        "take_rate_pct": F.when(fare > 0, round_ratio(spread * 100, fare, 2)),
-        "fare_per_mile": F.when(miles > 0, round_ratio(fare, miles, 2)),
-        "driver_pay_per_hour": F.when(secs > 0, round_ratio(pay * 3600, secs, 2)),
+        **{f: from_units(c(f"_{f}_c"), 2, 12) for f in FEE_COLUMNS},
+        "passenger_total_charge": from_units(total, 2, 14),
+        "total_congestion_fees": from_units(c("_congestion_surcharge_c") + c("_cbd_congestion_fee_c"), 2, 13),
+        "platform_spread": from_units(spread, 2, 13),
+        "take_rate_pct": F.when(fare > 0, from_units(lround(spread * 10000, fare), 2, 16)),
+        "fare_per_mile": F.when(miles > 0, from_units(lround(fare * 1000, miles), 2, 16)),
+        "driver_pay_per_hour": F.when(secs > 0, from_units(lround(pay * 3600, secs), 2, 16)),
         "below_tlc_minimum": F.when(
             (miles > 0) & (secs > 0),
-            F.when(pay < legal_minimum_floor(miles, secs, params), 1).otherwise(0),
+            F.when(pay < legal_minimum_floor_cents(miles, secs, params), 1).otherwise(0),
         ),
         "is_airport_trip": F.when(c("airport_fee") > 0, 1).otherwise(0),
     }

@@ -25,9 +25,10 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farelens.functions.exact import cents_of, idiv, money
+from farelens.functions.exact import cents_of, from_units, idiv, money
 from farelens.params import Params
 from farelens.sources.contract import MILES
+from farelens.sources.layout import spread_if_narrow
 
 # Fixed values of the bindings (fee amounts in cents, rates in basis points,
 # location sets, wait / SLA scaling).  The oracle SQL repeats them.
@@ -89,10 +90,12 @@ def orders_binding(spark: SparkSession, sf_dir: str, base: Params | None = None)
         pay_per_mile=ORDERS_PAY_PER_MILE,
         pay_per_minute=ORDERS_PAY_PER_MINUTE,
     )
-    li = _table(
-        spark, sf_dir, "lineitem",
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate",
+    li = spread_if_narrow(
+        _table(
+            spark, sf_dir, "lineitem",
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+            "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate",
+        )
     )
     orders = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     part = _table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
@@ -105,7 +108,13 @@ def orders_binding(spark: SparkSession, sf_dir: str, base: Params | None = None)
         .join(cust, orders.o_custkey == cust.c_custkey)
         .join(supp, li.l_suppkey == supp.s_suppkey)
     )
-    price_c = cents_of(F.col("l_extendedprice"))
+    joined = joined.select(
+        "*",
+        cents_of(F.col("l_extendedprice")).alias("_price_c"),
+        cents_of(F.col("l_tax")).alias("_tax_pct"),
+        cents_of(F.col("l_discount")).alias("_disc_pct"),
+    )
+    price_c = F.col("_price_c")
     pu = F.col("c_nationkey").cast("int")
     do = F.col("s_nationkey").cast("int")
     trips = joined.select(
@@ -124,14 +133,14 @@ def orders_binding(spark: SparkSession, sf_dir: str, base: Params | None = None)
         money(price_c).alias("base_passenger_fare"),
         F.when(F.col("l_linenumber") == 2, money(F.lit(ORDERS_TOLLS_CENTS))).alias("tolls"),
         money(idiv(price_c * ORDERS_BCF_PER_MILLE + 500, 1000)).alias("bcf"),
-        money(idiv(price_c * cents_of(F.col("l_tax")) + 50, 100)).alias("sales_tax"),
+        money(idiv(price_c * F.col("_tax_pct") + 50, 100)).alias("sales_tax"),
         F.when(do % 5 == 1, money(F.lit(ORDERS_SURCHARGE_CENTS))).otherwise(money(F.lit(0))).alias("congestion_surcharge"),
         F.when(F.col("o_orderpriority") == ORDERS_AIRPORT_PRIORITY, money(F.lit(ORDERS_AIRPORT_CENTS))).alias("airport_fee"),
         F.when(~pu.isin(*ORDERS_CBD_EXCLUDED_PICKUP) & (do % 3 == 0), money(F.lit(ORDERS_CBD_CENTS)))
         .otherwise(money(F.lit(0)))
         .alias("cbd_congestion_fee"),
-        money(idiv(price_c * cents_of(F.col("l_discount")) + 50, 100)).alias("tips"),
-        money(F.round(F.col("l_quantity")).cast("long") * cents_of(F.col("p_retailprice"))).alias("driver_pay"),
+        money(idiv(price_c * F.col("_disc_pct") + 50, 100)).alias("tips"),
+        money(F.rint(F.col("l_quantity")).cast("long") * cents_of(F.col("p_retailprice"))).alias("driver_pay"),
         _flag(F.col("l_linenumber") == 6).alias("shared_request_flag"),
         F.lit("N").alias("shared_match_flag"),
         F.lit("N").alias("access_a_ride_flag"),
@@ -143,13 +152,20 @@ def orders_binding(spark: SparkSession, sf_dir: str, base: Params | None = None)
 
 def events_binding(spark: SparkSession, sf_dir: str, base: Params | None = None) -> Binding:
     params = (base or Params()).with_(platforms=EVENTS_PLATFORMS, holiday_month=EVENTS_HOLIDAY_MONTH)
-    ev = _table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    ev = spread_if_narrow(
+        _table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    )
     cust = _table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     joined = ev.join(cust, ev.user_id == cust.c_custkey)
 
-    k = F.get_json_object("props", "$.k").cast("long")
+    joined = joined.select(
+        "*",
+        F.get_json_object("props", "$.k").cast("long").alias("_k"),
+        cents_of(F.col("value")).alias("_fare_c"),
+    )
+    k = F.col("_k")
     eid = F.col("event_id")
-    fare_c = cents_of(F.col("value"))
+    fare_c = F.col("_fare_c")
     pu = F.col("c_nationkey").cast("int")
     trip_time = (eid % 37) * 60 + 120
     trips = joined.select(
@@ -161,7 +177,7 @@ def events_binding(spark: SparkSession, sf_dir: str, base: Params | None = None)
         F.timestamp_add("SECOND", trip_time, F.col("ts")).alias("dropoff_datetime"),
         pu.alias("PULocationID"),
         (eid % 25).cast("int").alias("DOLocationID"),
-        (((eid % 120) * 100 + 100).cast("decimal(20,0)") * F.lit(Decimal("0.001"))).cast(MILES).alias("trip_miles"),
+        from_units((eid % 120) * 100 + 100, 3, 10).alias("trip_miles"),
         trip_time.cast("long").alias("trip_time"),
         money(fare_c).alias("base_passenger_fare"),
         money(F.lit(None).cast("long")).alias("tolls"),

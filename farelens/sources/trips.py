@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelens.sources.contract import FLAG_COLUMNS, TRIPS_SCHEMA, ZONES_SCHEMA
+from farelens.sources.layout import spread_if_narrow
 
 
 def read_trips(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -19,7 +20,7 @@ def read_trips(spark: SparkSession, path: str, fmt: str = "parquet", **options)
         df = reader.option("header", "true").csv(path)
     else:
         df = reader.format(fmt).load(path)
-    return normalise_flags(df)
+    return normalise_flags(spread_if_narrow(df))
 
 
 def normalise_flags(df: DataFrame) -> DataFrame:
