@@ -104,11 +104,16 @@ def _round_sqrt_ratio(v: Column, d: Column, mult: int) -> Column:
 
 
 def moment_aggs(units_col: Column, prefix: str) -> list[Column]:
-    """count, sum and sum of squares of an integer-unit column."""
+    """count, sum and sum of squares of a LONG-unit column.
+
+    The sum of squares is accumulated as DECIMAL so it cannot overflow a
+    LONG on large groups; the count and sum stay primitive.
+    """
+    sq = units_col.cast("decimal(19,0)")
     return [
         F.count(units_col).alias(f"{prefix}_n"),
         F.sum(units_col).cast(INT).alias(f"{prefix}_s"),
-        F.sum(units_col * units_col).cast(INT).alias(f"{prefix}_ss"),
+        F.sum(sq * sq).cast(INT).alias(f"{prefix}_ss"),
     ]
 
 
@@ -162,9 +167,19 @@ def cents_of(x: Column) -> Column:
     return F.rint(x * F.lit(100.0)).cast("long")
 
 
+def rate_scale(*rates) -> int:
+    """Decimal places needed to hold every rate as an integer (at least cents)."""
+    return max([2] + [max(0, -Decimal(str(r)).normalize().as_tuple().exponent) for r in rates])
+
+
 def to_units(x: Column, scale: int) -> Column:
-    """A DECIMAL with at most ``scale`` fraction digits as a LONG count of 10^-scale."""
-    return (x * dec(10**scale)).cast("long")
+    """A DECIMAL with at most ``scale`` fraction digits as a LONG count of 10^-scale.
+
+    Goes through DOUBLE, which Spark reads straight from a compact decimal:
+    exact while |x| * 10^scale < 2^53 (about $90 trillion in cents).
+    Multiplying the DECIMAL instead would run BigDecimal code per row.
+    """
+    return F.rint(x.cast("double") * F.lit(float(10**scale))).cast("long")
 
 
 def from_units(units_col: Column, scale: int, precision: int = 12) -> Column:

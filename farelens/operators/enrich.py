@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.functions.exact import from_units, lround, to_units
+from farelens.functions.exact import from_units, lround, rate_scale, to_units
 from farelens.functions.ladders import ladder
 from farelens.params import Params
 from farelens.sources.contract import ENRICHED_COLUMNS, FEE_COLUMNS
@@ -36,11 +36,6 @@ def time_of_day(ts: Column, params: Params) -> Column:
     )
 
 
-def rate_scale(*rates) -> int:
-    """Decimal places needed to hold every rate as an integer (at least cents)."""
-    return max([2] + [max(0, -Decimal(r).normalize().as_tuple().exponent) for r in rates])
-
-
 def legal_minimum_floor_cents(miles_m: Column, secs: Column, params: Params) -> Column:
     """ROUND(miles * per_mile + secs / 60 * per_minute, 2) in cents, exact.
 

@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.functions.exact import dec, mean, pct_mean, pct_of_rows, ratio_cmp, round_ratio, take_rate
+from farelens.functions.exact import pct_mean, pct_of_rows, rate_scale, ratio_cmp, round_ratio, to_units
 from farelens.params import Params
 
 c = F.col
 
+# Fraction digits of the enriched DECIMAL columns that reports sum; money
+# and rounded rates have 2.  Sums run over LONG units (primitive adds),
+# and each group's result is rounded once, exactly, after aggregation.
+UNIT_SCALE = {"trip_miles": 3}
+
+
+def unit_scale(name: str) -> int:
+    return UNIT_SCALE.get(name, 2)
+
+
+def units(name: str) -> Column:
+    """Per-row LONG units of an enriched DECIMAL column."""
+    return to_units(c(name), unit_scale(name))
+
+
+def usum(name: str) -> Column:
+    """SUM of a DECIMAL column in LONG units."""
+    return F.sum(units(name))
+
 
 def section(params: Params, key: str) -> Column:
     return F.lit(params.sections[key]).alias("section")
@@ -31,8 +52,8 @@ def negative_take_pct() -> Column:
 
 
 def sum_take_rate() -> Column:
-    """M2."""
-    return take_rate(c("base_passenger_fare"), c("driver_pay"), 2)
+    """M2: (SUM(fare) - SUM(pay)) / NULLIF(SUM(fare), 0) * 100 at 2 dp."""
+    return round_ratio((usum("base_passenger_fare") - usum("driver_pay")) * 100, usum("base_passenger_fare"), 2)
 
 
 def sla_pct() -> Column:
@@ -45,23 +66,48 @@ def sla_below(k) -> Column:
     return ratio_cmp(F.sum(c("sla_5min_met")) * 100, F.count(c("sla_5min_met")), "<", k)
 
 
-def legal_minimum_due(params: Params) -> Column:
-    """miles * per_mile + trip_min * per_minute (from the rounded minutes)."""
-    return c("trip_miles") * dec(params.pay_per_mile) + c("trip_min") * dec(params.pay_per_minute)
+def _rate_units(rate, k: int) -> int:
+    return int(Decimal(str(rate)).scaleb(k))
+
+
+def due_scale(params: Params) -> int:
+    """Fraction digits of the legal-minimum amount: miles (3) + rate digits."""
+    return 3 + rate_scale(params.pay_per_mile, params.pay_per_minute)
+
+
+def legal_minimum_due_units(params: Params) -> Column:
+    """miles * per_mile + trip_min * per_minute (rounded minutes) in 10^-due_scale units."""
+    k = due_scale(params) - 3
+    return units("trip_miles") * _rate_units(params.pay_per_mile, k) + units("trip_min") * (
+        10 * _rate_units(params.pay_per_minute, k)
+    )
+
+
+def mean_due(params: Params) -> Column:
+    """ROUND(AVG(miles * per_mile + trip_min * per_minute), 2)."""
+    return round_ratio(F.sum(legal_minimum_due_units(params)), F.count(F.lit(1)) * 10 ** due_scale(params), 2)
+
+
+def mean_shortfall(params: Params) -> Column:
+    """Mean of (due - pay) over violating trips, 2 dp; NULL when there are none."""
+    gap = legal_minimum_due_units(params) - units("driver_pay") * 10 ** (due_scale(params) - 2)
+    on_violation = F.when(c("below_tlc_minimum") == 1, gap)
+    return round_ratio(F.sum(on_violation), F.count(on_violation) * 10 ** due_scale(params), 2)
 
 
-def share_of_charge(num_sum: Column) -> Column:
-    """AVG(x) / NULLIF(AVG(passenger_total_charge), 0) * 100 at 1 dp (same rows)."""
-    return round_ratio(num_sum * 100, F.sum(c("passenger_total_charge")), 1)
+def share_of_charge(num_usum: Column) -> Column:
+    """AVG(x) / NULLIF(AVG(passenger_total_charge), 0) * 100 at 1 dp (same rows, cents)."""
+    return round_ratio(num_usum * 100, usum("passenger_total_charge"), 1)
 
 
 def money_total(col: str) -> Column:
     """ROUND(SUM(col), 0)."""
-    return F.round(F.sum(c(col)), 0)
+    return round_ratio(usum(col), F.lit(100), 0)
 
 
 def avg(col: str, scale: int = 2) -> Column:
-    return mean(c(col), scale)
+    """ROUND(AVG(col), scale), NULLs skipped, from the exact LONG sum."""
+    return round_ratio(usum(col), F.count(c(col)) * 10 ** unit_scale(col), scale)
 
 
 def with_section(df: DataFrame, params: Params, key: str) -> DataFrame:

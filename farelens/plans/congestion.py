@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from farelens.functions.exact import pct_of_rows, ratio_cmp, round_ratio
 from farelens.functions.ladders import band, category_position, ladder
 from farelens.params import EQUITY_STATUS, Params
-from farelens.plans._common import avg, c, money_total, section, share_of_charge, trips
+from farelens.plans._common import avg, c, money_total, section, share_of_charge, trips, usum
 
 
 def congestion_by_borough(enriched: DataFrame, params: Params) -> DataFrame:
     (high, high_l), (mod, mod_l), low_l = EQUITY_STATUS
-    cong, total = F.sum("total_congestion_fees") * 100, F.sum("passenger_total_charge")
+    cong, total = usum("total_congestion_fees") * 100, usum("passenger_total_charge")
     g = (
         enriched.where(c("pu_borough").isNotNull())
         .groupBy(c("pu_borough").alias("borough"), "company_name")
@@ -24,8 +24,8 @@ def congestion_by_borough(enriched: DataFrame, params: Params) -> DataFrame:
             avg("congestion_surcharge").alias("avg_congestion_surcharge"),
             avg("cbd_congestion_fee").alias("avg_cbd_fee"),
             avg("total_congestion_fees").alias("avg_total_congestion"),
-            share_of_charge(F.sum("total_congestion_fees")).alias("congestion_burden_pct"),
-            round_ratio(cong, F.sum("base_passenger_fare"), 1).alias("congestion_vs_base_pct"),
+            share_of_charge(usum("total_congestion_fees")).alias("congestion_burden_pct"),
+            round_ratio(cong, usum("base_passenger_fare"), 1).alias("congestion_vs_base_pct"),
             pct_of_rows(F.when(c("total_congestion_fees") > 0, 1).otherwise(0), 1).alias(
                 "trips_with_congestion_pct"
             ),
@@ -50,7 +50,7 @@ def congestion_by_distance(enriched: DataFrame, params: Params) -> DataFrame:
             trips().alias("total_trips"),
             avg("base_passenger_fare").alias("avg_base_fare"),
             avg("total_congestion_fees").alias("avg_congestion_fees"),
-            share_of_charge(F.sum("total_congestion_fees")).alias("congestion_burden_pct"),
+            share_of_charge(usum("total_congestion_fees")).alias("congestion_burden_pct"),
         )
     )
     return g.select(section(params, "congestion_by_distance"), "*").orderBy(
@@ -67,7 +67,7 @@ def cbd_zone_footprint(enriched: DataFrame, params: Params) -> DataFrame:
             avg("cbd_congestion_fee").alias("avg_cbd_fee"),
             money_total("cbd_congestion_fee").alias("total_cbd_fees_collected"),
             pct_of_rows(F.when(c("cbd_congestion_fee") > 0, 1).otherwise(0), 1).alias("trips_with_cbd_fee_pct"),
-            F.sum("cbd_congestion_fee").alias("_cbd_sum"),
+            usum("cbd_congestion_fee").alias("_cbd_sum"),
         )
         # HAVING AVG(fee) > 0 over a non-empty group is SUM(fee) > 0.
         .where(c("_cbd_sum") > 0)

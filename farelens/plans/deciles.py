@@ -9,7 +9,7 @@ from farelens.functions.exact import pct_of_rows, ratio_cmp
 from farelens.functions.ladders import ladder
 from farelens.operators.ntile import assign_tiles
 from farelens.params import MARGIN_HEALTH, Params
-from farelens.plans._common import avg, c, money_total, negative_take_flag, section, sum_take_rate, trips
+from farelens.plans._common import avg, c, money_total, negative_take_flag, section, sum_take_rate, trips, usum
 
 
 def fare_deciles(enriched: DataFrame, params: Params) -> DataFrame:
@@ -32,7 +32,7 @@ def fare_deciles(enriched: DataFrame, params: Params) -> DataFrame:
 
 def fare_decile_margin(enriched: DataFrame, params: Params) -> DataFrame:
     (h, h_l), (m, m_l), (t, t_l), loss_l = MARGIN_HEALTH
-    rate_sum, rate_n = F.sum("take_rate_pct"), F.count("take_rate_pct")
+    rate_sum, rate_n = usum("take_rate_pct"), F.count("take_rate_pct") * 100
     g = (
         fare_deciles(enriched, params)
         .groupBy("company_name", "fare_decile")

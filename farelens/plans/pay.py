@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.functions.exact import mean, pct_mean, ratio_cmp
+from farelens.functions.exact import pct_mean, ratio_cmp
 from farelens.functions.ladders import band, category_position, ladder
 from farelens.params import COMPLIANCE_STATUS, Params
-from farelens.plans._common import avg, c, legal_minimum_due, section, trips
+from farelens.plans._common import avg, c, mean_due, mean_shortfall, section, trips
 
 
 def _flagged(enriched: DataFrame) -> DataFrame:
@@ -23,11 +23,6 @@ def _violations() -> list[Column]:
     ]
 
 
-def _shortfall(params: Params) -> Column:
-    """Mean of (due - pay) over violating trips; NULL when there are none."""
-    return mean(F.when(c("below_tlc_minimum") == 1, legal_minimum_due(params) - c("driver_pay")), 2)
-
-
 def pay_compliance_platform(enriched: DataFrame, params: Params) -> DataFrame:
     g = _flagged(enriched).groupBy("company_name").agg(
         trips().alias("total_trips"),
@@ -36,8 +31,8 @@ def pay_compliance_platform(enriched: DataFrame, params: Params) -> DataFrame:
         avg("driver_pay_per_hour").alias("avg_driver_hourly"),
         avg("trip_miles").alias("avg_miles"),
         avg("trip_min").alias("avg_trip_min"),
-        mean(legal_minimum_due(params), 2).alias("avg_tlc_minimum_due"),
-        _shortfall(params).alias("avg_shortfall_on_violations"),
+        mean_due(params).alias("avg_tlc_minimum_due"),
+        mean_shortfall(params).alias("avg_shortfall_on_violations"),
     )
     return g.select(section(params, "pay_compliance_platform"), "*").orderBy(
         F.desc("violation_pct"), "company_name"
@@ -99,8 +94,8 @@ def pay_compliance_distance(enriched: DataFrame, params: Params) -> DataFrame:
             trips().alias("total_trips"),
             *_violations(),
             avg("driver_pay").alias("avg_driver_pay"),
-            mean(legal_minimum_due(params), 2).alias("avg_tlc_minimum_due"),
-            _shortfall(params).alias("avg_shortfall"),
+            mean_due(params).alias("avg_tlc_minimum_due"),
+            mean_shortfall(params).alias("avg_shortfall"),
         )
     )
     return g.select(section(params, "pay_compliance_distance"), "*").orderBy(

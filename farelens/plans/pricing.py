@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from farelens.functions.ladders import airport_label
 from farelens.params import AIRPORT_LABEL, NON_AIRPORT_LABEL, Params
-from farelens.plans._common import avg, c, section, share_of_charge, sum_take_rate, trips
+from farelens.plans._common import avg, c, section, share_of_charge, sum_take_rate, trips, usum
 
 
 def price_decomposition(enriched: DataFrame, params: Params) -> DataFrame:
-    s = F.sum
+    s = usum
     g = enriched.groupBy("company_name").agg(
         trips().alias("total_trips"),
         avg("base_passenger_fare").alias("avg_base_fare"),
@@ -45,7 +45,7 @@ def borough_fee_burden(enriched: DataFrame, params: Params) -> DataFrame:
             avg("base_passenger_fare").alias("avg_base_fare"),
             avg("passenger_total_charge").alias("avg_total_charge"),
             avg("total_congestion_fees").alias("avg_congestion_fees"),
-            share_of_charge(F.sum("total_congestion_fees")).alias("congestion_burden_pct"),
+            share_of_charge(usum("total_congestion_fees")).alias("congestion_burden_pct"),
             avg("tips").alias("avg_tips"),
             avg("driver_pay").alias("avg_driver_pay"),
         )
@@ -59,7 +59,7 @@ def airport_fee_structure(enriched: DataFrame, params: Params) -> DataFrame:
         avg("base_passenger_fare").alias("avg_base_fare"),
         avg("airport_fee").alias("avg_airport_fee"),
         avg("passenger_total_charge").alias("avg_total_charge"),
-        share_of_charge(F.sum("airport_fee")).alias("airport_fee_pct_of_total"),
+        share_of_charge(usum("airport_fee")).alias("airport_fee_pct_of_total"),
         sum_take_rate().alias("take_rate_pct"),
     )
     return g.orderBy("company_name", F.desc("is_airport_trip")).select(

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.functions.exact import cv_pct_rounded, dec, moment_aggs, stddev_pop_rounded, units
+from farelens.functions.exact import cv_pct_rounded, dec, moment_aggs, stddev_pop_rounded
 from farelens.functions.ladders import ladder
 from farelens.params import ENTRY_SIGNAL, VOLATILITY_CLASS, Params
-from farelens.plans._common import avg, c, section, sla_pct, sum_take_rate, trips
+from farelens.plans._common import avg, c, section, sla_pct, sum_take_rate, trips, units
 
 
 def fare_moments() -> list[Column]:
     """Exact count / sum / sum of squares of the fare in cents."""
-    return moment_aggs(units(c("base_passenger_fare")), "_fare")
+    return moment_aggs(units("base_passenger_fare"), "_fare")
 
 
 def fare_stddev() -> Column:

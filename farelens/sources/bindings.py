@@ -62,8 +62,29 @@ class Binding:
     params: Params
 
 
+# Declared schemas of the benchmark tables (columns the bindings read), so
+# a scan needs no schema-inference job.
+TABLE_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_nationkey INT",
+    "supplier": "s_suppkey BIGINT, s_nationkey INT",
+    "part": "p_partkey BIGINT, p_size INT, p_retailprice DOUBLE",
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, "
+        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+        "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+        "l_returnflag STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
 def zone_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +116,8 @@ def orders_binding(spark: SparkSession, sf_dir: str, base: Params | None = None)
             spark, sf_dir, "lineitem",
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
             "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate",
-        )
+        ),
+        "l_orderkey",
     )
     orders = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     part = _table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
@@ -153,7 +175,8 @@ def orders_binding(spark: SparkSession, sf_dir: str, base: Params | None = None)
 def events_binding(spark: SparkSession, sf_dir: str, base: Params | None = None) -> Binding:
     params = (base or Params()).with_(platforms=EVENTS_PLATFORMS, holiday_month=EVENTS_HOLIDAY_MONTH)
     ev = spread_if_narrow(
-        _table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+        _table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props"),
+        "event_id",
     )
     cust = _table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     joined = ev.join(cust, ev.user_id == cust.c_custkey)

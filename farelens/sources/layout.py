@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread_if_narrow(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a fact scan that yields fewer splits than the cluster has cores.
+def spread_if_narrow(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-spread a fact scan that yields fewer splits than the cluster has cores.
 
     A Parquet file with one row group is read by one task however large it
     is, and every map-side step after it (projections, broadcast joins,
     partial aggregation) inherits that single task.  Large inputs already
     arrive in many splits and pass through untouched, so this never adds a
-    shuffle on the big path.  Spark's round-robin repartition sorts rows
-    first, so a retried task after a lost executor sees the same rows.
+    shuffle on the big path.
+
+    ``keys`` should be (nearly) unique per row, e.g. the fact's own id: hash
+    placement is deterministic, so a task retried after a lost executor
+    sees the same rows, without the local sort a round-robin split needs.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        return df.repartition(target, *keys) if keys else df.repartition(target)
     return df

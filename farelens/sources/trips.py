@@ -20,7 +20,7 @@ def read_trips(spark: SparkSession, path: str, fmt: str = "parquet", **options)
         df = reader.option("header", "true").csv(path)
     else:
         df = reader.format(fmt).load(path)
-    return normalise_flags(spread_if_narrow(df))
+    return normalise_flags(spread_if_narrow(df, "trip_id"))
 
 
 def normalise_flags(df: DataFrame) -> DataFrame:
