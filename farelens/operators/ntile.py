@@ -17,10 +17,15 @@ the same tiles without that:
    equal to a straddled value that depends on x alone, a projection.  Only
    rows whose x value straddles a boundary (at most n-1 values per p) are
    ranked inside their x group by the tie-break key.
-
-Residual skew: a single straddling x value holding a large share of all
-rows is ranked in one task.  Every other row never leaves its partition
-except through the small aggregates.
+5. A straddling group may itself be huge (one fare shared by a third of
+   all trips).  It is cut into ranges of the tie-break key's leading
+   numeric field, as many as its row count / ``rows_per_task``; exact
+   counts per range give each range's offset, so every range is ranked by
+   its own task.  Balance depends on how evenly that field spreads, the
+   result never does.
+
+Every other row never leaves its partition except through the small
+aggregates.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _prefix_before(count: Column, window: Window) -> Column:
@@ -90,6 +96,51 @@ def tile_boundaries(ranks: DataFrame, partition: str, order: str, tiles: int) ->
     return hit.groupBy(partition).agg(F.array_sort(F.collect_list(cell)).alias("_bounds"))
 
 
+def _leading_field(df: DataFrame, tiebreak: Sequence[str]) -> Column:
+    """The first numeric field of the tie-break key (a column or a struct)."""
+    first = tiebreak[0]
+    dtype = df.schema[first].dataType
+    col = F.col(first)
+    while isinstance(dtype, T.StructType):
+        field = dtype.fields[0]
+        col, dtype = col.getField(field.name), field.dataType
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.unix_micros(col.cast("timestamp")).cast("double")
+    return col.cast("double")
+
+
+def rank_in_groups(rows: DataFrame, partition: str, order: str, tiebreak: Sequence[str], rows_per_task: int) -> DataFrame:
+    """1-based position of each row inside its (partition, order) group by ``tiebreak``.
+
+    Groups are split into ranges of the leading tie-break field so that no
+    task ranks more than about ``rows_per_task`` rows of one group.
+    """
+    lead = _leading_field(rows, tiebreak)
+    rows = rows.withColumn("_lead", lead)
+    stats = rows.groupBy(partition, order).agg(
+        F.min("_lead").alias("_lo"), F.max("_lead").alias("_hi"), F.count(F.lit(1)).alias("_gcnt")
+    )
+    # One row per straddling group: at most (tiles - 1) per partition value.
+    rows = rows.join(F.broadcast(stats), [partition, order])
+    ranges = F.greatest(F.lit(1), F.ceil(F.col("_gcnt") / F.lit(rows_per_task)))
+    span = F.col("_hi") - F.col("_lo") + F.lit(1.0)
+    # Monotone in the leading field, so ranges keep the tie-break order.
+    rows = rows.withColumn(
+        "_range",
+        F.least(ranges - 1, F.floor((F.col("_lead") - F.col("_lo")) * ranges / span)).cast("long"),
+    )
+    sizes = rows.groupBy(partition, order, "_range").agg(F.count(F.lit(1)).alias("_rcnt"))
+    sizes = sizes.select(
+        partition,
+        order,
+        "_range",
+        _prefix_before(F.col("_rcnt"), Window.partitionBy(partition, order).orderBy("_range")).alias("_roff"),
+    )
+    rows = rows.join(sizes, [partition, order, "_range"])
+    pos = F.row_number().over(Window.partitionBy(partition, order, "_range").orderBy(*tiebreak)) + F.col("_roff")
+    return rows.withColumn("_pos", pos).drop("_lead", "_lo", "_hi", "_gcnt", "_range", "_roff")
+
+
 def assign_tiles(
     df: DataFrame,
     tiles: int,
@@ -97,6 +148,7 @@ def assign_tiles(
     order: str,
     tiebreak: str | Sequence[str],
     out: str,
+    rows_per_task: int = 2_000_000,
 ) -> DataFrame:
     """``df`` plus ``out`` = NTILE(tiles) over (partition, order by order, tiebreak)."""
     tb = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
@@ -106,11 +158,8 @@ def assign_tiles(
     x = F.col(order)
     straddles = F.exists("_bounds", lambda b: (b["x"] == x) & (b["j"] < b["cnt"]))
 
-    inside = tagged.where(straddles)
-    inside = inside.withColumn(
-        "_pos", F.row_number().over(Window.partitionBy(partition, order).orderBy(*tb))
-    )
-    outside = tagged.where(~straddles).withColumn("_pos", F.lit(None).cast("int"))
+    inside = rank_in_groups(tagged.where(straddles), partition, order, tb, rows_per_task)
+    outside = tagged.where(~straddles).withColumn("_pos", F.lit(None).cast("long"))
     both = inside.unionByName(outside)
 
     pos = F.col("_pos")

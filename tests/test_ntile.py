@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from farelens.operators.ntile import assign_tiles
 
 
-def _check(spark, rows, tiles):
+def _check(spark, rows, tiles, rows_per_task=2_000_000):
     df = spark.createDataFrame(rows, "p string, x decimal(12,2), id long")
-    ours = assign_tiles(df, tiles, "p", "x", "id", "t").select("p", "id", "t")
+    ours = assign_tiles(df, tiles, "p", "x", "id", "t", rows_per_task=rows_per_task).select("p", "id", "t")
     ref = df.select("p", "id", F.ntile(tiles).over(Window.partitionBy("p").orderBy("x", "id")).alias("t"))
     a = sorted(tuple(r) for r in ours.collect())
     b = sorted(tuple(r) for r in ref.collect())
@@ -42,3 +42,16 @@ def test_many_rows_heavy_ties(spark):
         rows.append((p, x, rng.randint(0, 10**9) * 10 + (i % 10)))
     _check(spark, rows, 10)
     _check(spark, rows, 4)
+
+
+def test_hot_straddling_group_split_into_ranges(spark):
+    """A fare shared by a third of the rows is ranked in many small ranges."""
+    from decimal import Decimal
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(3000):
+        x = Decimal("9.99") if i % 3 == 0 else Decimal(rng.randint(0, 5000)) / 100
+        rows.append(("p", x, rng.randint(0, 10**6)))  # duplicate ids within the hot fare are fine
+    rows = [(p, x, i * 1000 + k % 1000) for i, (p, x, k) in enumerate(rows)]
+    _check(spark, rows, 10, rows_per_task=37)
