@@ -12,9 +12,20 @@ from farelens.params import EVE_DAYS, PEAK_DAY_LABEL, RECOVERY_DAY, TROUGH_DAY,
 from farelens.plans._common import avg, c, money_total, section, sla_pct, sum_take_rate, trips
 
 
-def daily_revenue(enriched: DataFrame) -> DataFrame:
-    """One row per (day, platform): the shared CTE of both reports."""
-    return enriched.groupBy("trip_date", "company_name").agg(
+DAILY_COLUMNS = (
+    "daily_trips",
+    "daily_base_revenue",
+    "daily_total_revenue",
+    "daily_margin",
+    "avg_base_fare",
+    "avg_take_rate_pct",
+    "sla_5min_pct",
+)
+
+
+def daily_measures() -> list:
+    """Aggregates of one (day, platform) cell, named as DAILY_COLUMNS."""
+    return [
         trips().alias("daily_trips"),
         money_total("base_passenger_fare").alias("daily_base_revenue"),
         money_total("passenger_total_charge").alias("daily_total_revenue"),
@@ -22,11 +33,20 @@ def daily_revenue(enriched: DataFrame) -> DataFrame:
         avg("base_passenger_fare").alias("avg_base_fare"),
         sum_take_rate().alias("avg_take_rate_pct"),
         sla_pct().alias("sla_5min_pct"),
-    )
+    ]
+
+
+def daily_revenue(enriched: DataFrame) -> DataFrame:
+    """One row per (day, platform): the shared CTE of both reports."""
+    return enriched.groupBy("trip_date", "company_name").agg(*daily_measures())
 
 
 def daily_revenue_trend(enriched: DataFrame, params: Params) -> DataFrame:
-    daily = daily_revenue(enriched)
+    return trend_from_daily(daily_revenue(enriched), params)
+
+
+def trend_from_daily(daily: DataFrame, params: Params) -> DataFrame:
+    """P8a's windows and labels over a daily table (batch or a streamed rollup)."""
     # W4-W7 run over days per platform (after the trip-scale aggregation).
     by_day = Window.partitionBy("company_name").orderBy("trip_date")
     last7 = by_day.rowsBetween(-6, Window.currentRow)

@@ -1 +1,3 @@
-"""streaming"""
+"""Structured Streaming forms of the reports' incremental parts."""
+
+from farelens.streaming.daily import daily_rollup, start_daily_rollup  # noqa: F401
