@@ -11,12 +11,15 @@ the same tiles without that:
    histogram, in two levels (whole units of x, then x within a unit), so
    no window holds more than one unit's distinct values or the unit list.
 3. The n-1 tile boundaries per p are ranks ``k*q + min(k, m)``
-   (q = rows div n, m = rows mod n).  Each falls in exactly one (p, x) group; a
-   broadcast of those (n-1) x |p| boundary rows (a proven bound) finds it.
-4. A row's tile is 1 + the number of boundaries it lies past.  For x not
-   equal to a straddled value that depends on x alone, a projection.  Only
+   (q = rows div n, m = rows mod n).  Each falls in exactly one (p, x)
+   group; a broadcast of those (n-1) x |p| boundary rows finds it.
+4. A row's tile is 1 + the number of boundaries it lies past.  The
+   boundary cells are collected (a proven-small summary) and become a
+   literal expression; for x not equal to a straddled value the tile
+   depends on x alone, a projection.  Only
    rows whose x value straddles a boundary (at most n-1 values per p) are
-   ranked inside their x group by the tie-break key.
+   ranked inside their x group by the tie-break key (selected by a
+   literal IN list, pushed to the scan).
 5. A straddling group may itself be huge (one fare shared by a third of
    all trips).  It is cut into ranges of the tie-break key's leading
    numeric field, as many as its row count / ``rows_per_task``; exact
@@ -43,9 +46,9 @@ def _prefix_before(count: Column, window: Window) -> Column:
     )
 
 
-def group_ranks(df: DataFrame, partition: str, order: str) -> DataFrame:
-    """(p, x) -> cnt, start rank (1-based) and the partition size n."""
-    hist = df.groupBy(partition, order).agg(F.count(F.lit(1)).alias("_cnt"))
+def group_ranks(df: DataFrame, partition: str, order: str, extra: Sequence[Column] = ()) -> DataFrame:
+    """(p, x) -> cnt, start rank (1-based), the partition size n, and ``extra`` aggregates."""
+    hist = df.groupBy(partition, order).agg(F.count(F.lit(1)).alias("_cnt"), *extra)
     hist = hist.withColumn("_unit", F.floor(F.col(order)))
     units = hist.groupBy(partition, "_unit").agg(F.sum("_cnt").alias("_ucnt"))
     u_win = Window.partitionBy(partition).orderBy("_unit")
@@ -58,12 +61,14 @@ def group_ranks(df: DataFrame, partition: str, order: str) -> DataFrame:
     x_win = Window.partitionBy(partition, "_unit").orderBy(order)
     hist = hist.select("*", _prefix_before(F.col("_cnt"), x_win).alias("_before_x"))
     ranked = hist.join(units, [partition, "_unit"])
+    extra_names = [c for c in hist.columns if c not in (partition, order, "_cnt", "_unit", "_before_x")]
     return ranked.select(
         partition,
         order,
         "_cnt",
         (F.col("_before_unit") + F.col("_before_x") + 1).alias("_start"),
         "_n",
+        *extra_names,
     )
 
 
@@ -141,6 +146,46 @@ def rank_in_groups(rows: DataFrame, partition: str, order: str, tiebreak: Sequen
     return rows.withColumn("_pos", pos).drop("_lead", "_lo", "_hi", "_gcnt", "_range", "_roff")
 
 
+def collect_boundaries(ranks: DataFrame, partition: str, order: str, tiles: int) -> dict:
+    """partition value -> [(x, j, cnt)] for k = 1..tiles-1, on the driver.
+
+    At most (tiles - 1) cells per partition value, and partition values are
+    bounded by the caller (platforms of the platform map): a proven-small
+    summary, like the sampled bounds of a range partitioner.  Tiles then
+    become a literal expression and the straddled x values a literal IN
+    list that reaches the scan.
+    """
+    out = {}
+    for row in tile_boundaries(ranks, partition, order, tiles).collect():
+        out[row[partition]] = [(c["x"], c["j"], c["cnt"]) for c in row["_bounds"]]
+    return out
+
+
+def _is(col: Column, value) -> Column:
+    return col.isNull() if value is None else col == F.lit(value)
+
+
+def _tile_expr(x: Column, pos: Column, part: Column, bounds: dict) -> Column:
+    """1 + boundaries passed, per partition value; ``pos`` matters only on a straddled x."""
+    expr = None
+    for p, cells in bounds.items():
+        tile = F.lit(1)
+        for bx, j, _ in cells:
+            tile = tile + F.when((x > F.lit(bx)) | ((x == F.lit(bx)) & (pos > F.lit(j))), 1).otherwise(0)
+        expr = F.when(_is(part, p), tile) if expr is None else expr.when(_is(part, p), tile)
+    return (expr if expr is not None else F.lit(None)).cast("int")
+
+
+def _straddled(x: Column, part: Column, bounds: dict) -> Column:
+    """Rows whose x value straddles a boundary of their partition value."""
+    pred = F.lit(False)
+    for p, cells in bounds.items():
+        values = sorted({bx for bx, j, cnt in cells if j < cnt})
+        if values:
+            pred = pred | (_is(part, p) & x.isin(*[F.lit(v) for v in values]))
+    return pred
+
+
 def assign_tiles(
     df: DataFrame,
     tiles: int,
@@ -152,23 +197,62 @@ def assign_tiles(
 ) -> DataFrame:
     """``df`` plus ``out`` = NTILE(tiles) over (partition, order by order, tiebreak)."""
     tb = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
-    bounds = tile_boundaries(group_ranks(df, partition, order), partition, order, tiles)
-    # One row per partition value, each (tiles-1) structs: bounded, broadcast.
-    tagged = df.join(F.broadcast(bounds), partition, "left")
-    x = F.col(order)
-    straddles = F.exists("_bounds", lambda b: (b["x"] == x) & (b["j"] < b["cnt"]))
-
-    inside = rank_in_groups(tagged.where(straddles), partition, order, tb, rows_per_task)
-    outside = tagged.where(~straddles).withColumn("_pos", F.lit(None).cast("long"))
+    bounds = collect_boundaries(group_ranks(df, partition, order), partition, order, tiles)
+    x, part = F.col(order), F.col(partition)
+    split = _straddled(x, part, bounds)
+    inside = rank_in_groups(df.where(split), partition, order, tb, rows_per_task)
+    outside = df.where(~split).withColumn("_pos", F.lit(None).cast("long"))
     both = inside.unionByName(outside)
+    return both.withColumn(out, _tile_expr(x, F.col("_pos"), part, bounds)).drop("_pos")
+
 
-    pos = F.col("_pos")
-    past = [
-        F.when((x > F.col("_bounds")[i]["x"]) | ((x == F.col("_bounds")[i]["x"]) & (pos > F.col("_bounds")[i]["j"])), 1)
-        .otherwise(0)
-        for i in range(tiles - 1)
-    ]
-    tile = F.lit(1)
-    for p in past:
-        tile = tile + p
-    return both.withColumn(out, tile.cast("int")).drop("_bounds", "_pos")
+def tile_sums(
+    df: DataFrame,
+    tiles: int,
+    partition: str,
+    order: str,
+    tiebreak: str | Sequence[str],
+    sums: dict[str, Column],
+    out: str,
+    rows_per_task: int = 2_000_000,
+) -> DataFrame:
+    """Per (partition, tile): row count ``_rows``, min/max of ``order`` and SUM of each ``sums`` expression.
+
+    Same tiles as ``assign_tiles`` without tiling every row: the (p, x)
+    histogram pass also carries the sums (partial aggregation, one shuffle
+    of distinct-x size), whole groups take their tile from x alone, and
+    only rows of straddled x values (at most tiles - 1 per p, selected by a
+    literal IN list) are ranked and summed row by row.
+    """
+    tb = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
+    names = list(sums)
+    ranks = group_ranks(df, partition, order, [F.sum(e).alias(n) for n, e in sums.items()])
+    bounds = collect_boundaries(ranks, partition, order, tiles)
+    x, part = F.col(order), F.col(partition)
+    split = _straddled(x, part, bounds)
+
+    whole = ranks.where(~split).select(
+        partition,
+        _tile_expr(x, F.lit(None).cast("long"), part, bounds).alias(out),
+        F.col("_cnt").alias("_rows"),
+        x.alias("_min"),
+        x.alias("_max"),
+        *names,
+    )
+    rows = rank_in_groups(df.where(split), partition, order, tb, rows_per_task)
+    pieces = rows.groupBy(partition, _tile_expr(x, F.col("_pos"), part, bounds).alias(out)).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.min(x).alias("_min"),
+        F.max(x).alias("_max"),
+        *[F.sum(e).alias(n) for n, e in sums.items()],
+    )
+    return (
+        whole.unionByName(pieces)
+        .groupBy(partition, out)
+        .agg(
+            F.sum("_rows").alias("_rows"),
+            F.min("_min").alias(f"{order}_min"),
+            F.max("_max").alias(f"{order}_max"),
+            *[F.sum(n).alias(n) for n in names],
+        )
+    )
