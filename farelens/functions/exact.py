@@ -64,11 +64,6 @@ def pct_mean(col: Column, scale: int = 2) -> Column:
     return round_ratio(F.sum(col) * 100, F.count(col), scale)
 
 
-def take_rate(fare: Column, pay: Column, scale: int = 2) -> Column:
-    """SUM-based take rate: ``(SUM(fare) - SUM(pay)) / NULLIF(SUM(fare), 0) * 100``."""
-    return round_ratio((F.sum(fare) - F.sum(pay)) * 100, F.sum(fare), scale)
-
-
 def ratio_cmp(num: Column, den: Column, op: str, k) -> Column:
     """Exact ``num / den <op> k`` without dividing; NULL when ``den`` is 0/NULL.
 
@@ -83,11 +78,6 @@ def ratio_cmp(num: Column, den: Column, op: str, k) -> Column:
 # --- population standard deviation from exact integer sums ------------------
 
 
-def units(col: Column, scale: int = 2) -> Column:
-    """A DECIMAL with ``scale`` fraction digits as an exact integer count of units."""
-    return (col * dec(10**scale)).cast("decimal(20,0)")
-
-
 def _round_sqrt_ratio(v: Column, d: Column, mult: int) -> Column:
     """round_half_up(mult * sqrt(v) / d) for v >= 0, d > 0, exact.
 
