@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def _epoch_micros(ntz) -> "F.Column":
+    """Wall-clock microseconds since 1970 of a TIMESTAMP_NTZ, whatever the session time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), ntz)
+
+
 def for_compare(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
@@ -24,12 +32,12 @@ def for_compare(df: DataFrame) -> DataFrame:
         elif isinstance(t, T.DateType):
             cols.append(F.date_format(c, "yyyy-MM-dd").alias(f.name))
         elif isinstance(t, T.TimestampNTZType):
-            cols.append(F.unix_micros(c.cast("timestamp")).alias(f.name))
+            cols.append(_epoch_micros(c).alias(f.name))
         elif isinstance(t, T.StructType):
             for sub in t.fields:
                 inner = F.col(f"`{f.name}`.`{sub.name}`")
                 if isinstance(sub.dataType, T.TimestampNTZType):
-                    inner = F.unix_micros(inner.cast("timestamp"))
+                    inner = _epoch_micros(inner)
                 elif isinstance(sub.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
                     inner = inner.cast("long")
                 cols.append(inner.alias(sub.name))

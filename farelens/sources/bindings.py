@@ -124,10 +124,14 @@ def orders_binding(spark: SparkSession, sf_dir: str, base: Params | None = None)
     cust = _table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     supp = _table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
 
+    # Orders meet their customer first (an orders-sized join), so the
+    # lineitem-sized intermediate is shuffled only on its own join keys
+    # (order key, then part key; suppliers are the smallest side).  Sides
+    # are broadcast only when AQE measures them under the threshold.
+    order_cust = orders.join(cust, orders.o_custkey == cust.c_custkey)
     joined = (
-        li.join(orders, li.l_orderkey == orders.o_orderkey)
+        li.join(order_cust, li.l_orderkey == order_cust.o_orderkey)
         .join(part, li.l_partkey == part.p_partkey)
-        .join(cust, orders.o_custkey == cust.c_custkey)
         .join(supp, li.l_suppkey == supp.s_suppkey)
     )
     joined = joined.select(
