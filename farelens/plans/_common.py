@@ -7,7 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.functions.exact import pct_mean, pct_of_rows, rate_scale, ratio_cmp, round_ratio, to_units
+from farelens.functions.exact import rate_scale, ratio_cmp, round_ratio, to_units
+from farelens.functions.exact_sql import q, round_ratio_sql, units_sql
 from farelens.params import Params
 
 c = F.col
@@ -27,9 +28,17 @@ def units(name: str) -> Column:
     return to_units(c(name), unit_scale(name))
 
 
+def usum_sql(name: str) -> str:
+    return f"SUM({units_sql(name, unit_scale(name))})"
+
+
 def usum(name: str) -> Column:
     """SUM of a DECIMAL column in LONG units."""
-    return F.sum(units(name))
+    return F.expr(usum_sql(name))
+
+
+def _ratio(num: str, den: str, scale: int) -> Column:
+    return F.expr(round_ratio_sql(num, den, scale))
 
 
 def section(params: Params, key: str) -> Column:
@@ -47,18 +56,19 @@ def negative_take_flag() -> Column:
 
 
 def negative_take_pct() -> Column:
-    """M3."""
-    return pct_of_rows(negative_take_flag(), 2)
+    """M3: SUM(rate < 0) * 100 / COUNT(*) at 2 dp (NULL rates count as not negative)."""
+    return _ratio(f"SUM(CASE WHEN {q('take_rate_pct')} < 0 THEN 1 ELSE 0 END) * 100", "COUNT(1)", 2)
 
 
 def sum_take_rate() -> Column:
     """M2: (SUM(fare) - SUM(pay)) / NULLIF(SUM(fare), 0) * 100 at 2 dp."""
-    return round_ratio((usum("base_passenger_fare") - usum("driver_pay")) * 100, usum("base_passenger_fare"), 2)
+    fare, pay = usum_sql("base_passenger_fare"), usum_sql("driver_pay")
+    return _ratio(f"({fare} - {pay}) * 100", fare, 2)
 
 
 def sla_pct() -> Column:
     """ROUND(AVG(sla_5min_met) * 100, 2)."""
-    return pct_mean(c("sla_5min_met"), 2)
+    return _ratio(f"SUM({q('sla_5min_met')}) * 100", f"COUNT({q('sla_5min_met')})", 2)
 
 
 def sla_below(k) -> Column:
@@ -95,19 +105,23 @@ def mean_shortfall(params: Params) -> Column:
     return round_ratio(F.sum(on_violation), F.count(on_violation) * 10 ** due_scale(params), 2)
 
 
-def share_of_charge(num_usum: Column) -> Column:
-    """AVG(x) / NULLIF(AVG(passenger_total_charge), 0) * 100 at 1 dp (same rows, cents)."""
-    return round_ratio(num_usum * 100, usum("passenger_total_charge"), 1)
+def share_of_charge(*names: str) -> Column:
+    """(AVG(x) [+ AVG(y) ...]) / NULLIF(AVG(passenger_total_charge), 0) * 100 at 1 dp.
+
+    Means over the same rows, so the ratio of sums in cents is exact.
+    """
+    num = " + ".join(usum_sql(n) for n in names)
+    return _ratio(f"({num}) * 100", usum_sql("passenger_total_charge"), 1)
 
 
 def money_total(col: str) -> Column:
     """ROUND(SUM(col), 0)."""
-    return round_ratio(usum(col), F.lit(100), 0)
+    return _ratio(usum_sql(col), "100", 0)
 
 
 def avg(col: str, scale: int = 2) -> Column:
     """ROUND(AVG(col), scale), NULLs skipped, from the exact LONG sum."""
-    return round_ratio(usum(col), F.count(c(col)) * 10 ** unit_scale(col), scale)
+    return _ratio(usum_sql(col), f"COUNT({q(col)}) * {10 ** unit_scale(col)}", scale)
 
 
 def with_section(df: DataFrame, params: Params, key: str) -> DataFrame:

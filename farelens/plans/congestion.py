@@ -24,7 +24,7 @@ def congestion_by_borough(enriched: DataFrame, params: Params) -> DataFrame:
             avg("congestion_surcharge").alias("avg_congestion_surcharge"),
             avg("cbd_congestion_fee").alias("avg_cbd_fee"),
             avg("total_congestion_fees").alias("avg_total_congestion"),
-            share_of_charge(usum("total_congestion_fees")).alias("congestion_burden_pct"),
+            share_of_charge("total_congestion_fees").alias("congestion_burden_pct"),
             round_ratio(cong, usum("base_passenger_fare"), 1).alias("congestion_vs_base_pct"),
             pct_of_rows(F.when(c("total_congestion_fees") > 0, 1).otherwise(0), 1).alias(
                 "trips_with_congestion_pct"
@@ -50,7 +50,7 @@ def congestion_by_distance(enriched: DataFrame, params: Params) -> DataFrame:
             trips().alias("total_trips"),
             avg("base_passenger_fare").alias("avg_base_fare"),
             avg("total_congestion_fees").alias("avg_congestion_fees"),
-            share_of_charge(usum("total_congestion_fees")).alias("congestion_burden_pct"),
+            share_of_charge("total_congestion_fees").alias("congestion_burden_pct"),
         )
     )
     return g.select(section(params, "congestion_by_distance"), "*").orderBy(

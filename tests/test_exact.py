@@ -9,6 +9,7 @@ from decimal import ROUND_HALF_UP, Decimal, getcontext
 from pyspark.sql import functions as F
 
 from farelens.functions.exact import cv_pct_rounded, lround, ratio_cmp, round_ratio, stddev_pop_rounded
+from farelens.functions.exact_sql import round_ratio_sql
 
 getcontext().prec = 60
 
@@ -35,12 +36,16 @@ def test_round_ratio_matches_decimal(spark):
         round_ratio(F.col("num"), F.col("den"), 0).alias("r0"),
         F.when(F.col("den") != 0, lround(F.col("num"), F.col("den"))).alias("l0"),
         ratio_cmp(F.col("num"), F.col("den"), ">=", Decimal("1.5")).alias("ge"),
+        F.expr(round_ratio_sql("num", "den", 2)).alias("s2"),
+        F.expr(round_ratio_sql("num", "den", 0)).alias("s0"),
+        F.expr(round_ratio_sql("num", "den", 3)).alias("s3"),
     ).collect()
     for r in out:
         if r["den"] == 0:
-            assert r["r2"] is None and r["ge"] is None
+            assert r["r2"] is None and r["ge"] is None and r["s2"] is None
             continue
         exact = Decimal(r["num"]) / Decimal(r["den"])
+        assert r["s2"] == half_up(exact, 2) and r["s0"] == half_up(exact, 0) and r["s3"] == half_up(exact, 3)
         assert r["r2"] == half_up(exact, 2), (r["num"], r["den"])
         assert r["r0"] == half_up(exact, 0)
         assert r["l0"] == int(half_up(exact, 0))
