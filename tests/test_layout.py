@@ -1,0 +1,21 @@
+"""spread_if_narrow: spread single-split scans, leave wide inputs alone."""
+
+from __future__ import annotations
+
+from farelens.sources.layout import spread_if_narrow
+
+
+def test_narrow_scan_is_spread(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert df.rdd.getNumPartitions() == 1
+    spread = spread_if_narrow(df, "id")
+    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread.count() == 1000
+    assert "hashpartitioning(id" in spread._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_input_untouched(spark):
+    df = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
+    assert spread_if_narrow(df, "id") is df
