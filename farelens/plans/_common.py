@@ -114,6 +114,16 @@ def share_of_charge(*names: str) -> Column:
     return _ratio(f"({num}) * 100", usum_sql("passenger_total_charge"), 1)
 
 
+def pct_where(cond: str, scale: int = 2) -> Column:
+    """ROUND(SUM(CASE WHEN cond THEN 1 ELSE 0 END) * 100 / COUNT(*), scale); ``cond`` is SQL."""
+    return _ratio(f"SUM(CASE WHEN {cond} THEN 1 ELSE 0 END) * 100", "COUNT(1)", scale)
+
+
+def pct_mean_of(name: str, scale: int = 2) -> Column:
+    """ROUND(AVG(flag) * 100, scale) of a 0/1 column, NULLs skipped."""
+    return _ratio(f"SUM({q(name)}) * 100", f"COUNT({q(name)})", scale)
+
+
 def money_total(col: str) -> Column:
     """ROUND(SUM(col), 0)."""
     return _ratio(usum_sql(col), "100", 0)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farelens.functions.exact import pct_of_rows, round_ratio
+from farelens.functions.exact import round_ratio
 from farelens.params import Params
-from farelens.plans._common import avg, c, money_total, negative_take_pct, sla_pct, sum_take_rate, trips
+from farelens.plans._common import avg, c, money_total, negative_take_pct, pct_where, sla_pct, sum_take_rate, trips
 
 
 def market_position(enriched: DataFrame, params: Params) -> DataFrame:
@@ -26,7 +26,7 @@ def market_position(enriched: DataFrame, params: Params) -> DataFrame:
         avg("fare_per_mile").alias("avg_fare_per_mile"),
         avg("request_to_pickup_min").alias("avg_wait_min"),
         sla_pct().alias("sla_5min_pct"),
-        pct_of_rows(F.when(c("below_tlc_minimum") == 1, 1).otherwise(0), 2).alias("below_tlc_min_pct"),
+        pct_where("`below_tlc_minimum` = 1", 2).alias("below_tlc_min_pct"),
         money_total("base_passenger_fare").alias("total_base_revenue"),
         money_total("passenger_total_charge").alias("total_charge_revenue"),
         money_total("platform_spread").alias("total_platform_margin"),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farelens.functions.exact import dec, pct_mean, pct_of_rows
+from farelens.functions.exact import dec
 from farelens.functions.ladders import ladder
 from farelens.operators.scores import minmax_scores, weighted_sum
 from farelens.params import ENTRY_RECOMMENDATION, WAV_INTERPRETATION, WAV_STATUS, Params
-from farelens.plans._common import avg, c, section, sla_pct, sum_take_rate, trips
+from farelens.plans._common import avg, c, pct_mean_of, pct_where, section, sla_pct, sum_take_rate, trips
 from farelens.plans.volatility import fare_moments, fare_stddev
 
 
@@ -29,7 +29,7 @@ def zone_metrics(enriched: DataFrame, params: Params) -> DataFrame:
             sum_take_rate().alias("avg_take_rate_pct"),
             sla_pct().alias("sla_pct"),
             avg("request_to_pickup_min").alias("avg_wait_min"),
-            pct_mean(c("below_tlc_minimum"), 2).alias("violation_pct"),
+            pct_mean_of("below_tlc_minimum", 2).alias("violation_pct"),
             _flag_count("wav_request_flag").alias("wav_requests"),
             _flag_count("wav_match_flag").alias("wav_matches"),
             _flag_count("shared_request_flag").alias("shared_requests"),
@@ -113,7 +113,7 @@ def wav_gap(enriched: DataFrame, params: Params) -> DataFrame:
             trips().alias("total_trips"),
             _flag_count("wav_request_flag").alias("wav_requests"),
             _flag_count("wav_match_flag").alias("wav_matches"),
-            pct_of_rows(F.when(c("wav_request_flag") == "Y", 1).otherwise(0), 3).alias("wav_request_rate_pct"),
+            pct_where("`wav_request_flag` = 'Y'", 3).alias("wav_request_rate_pct"),
         )
     )
     return g.select(

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.functions.exact import pct_mean, ratio_cmp
+from farelens.functions.exact import ratio_cmp
 from farelens.functions.ladders import band, category_position, ladder
 from farelens.params import COMPLIANCE_STATUS, Params
-from farelens.plans._common import avg, c, mean_due, mean_shortfall, section, trips
+from farelens.plans._common import avg, c, mean_due, mean_shortfall, pct_mean_of, section, trips
 
 
 def _flagged(enriched: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def _flagged(enriched: DataFrame) -> DataFrame:
 def _violations() -> list[Column]:
     return [
         F.sum("below_tlc_minimum").cast("long").alias("violation_trips"),
-        pct_mean(c("below_tlc_minimum"), 2).alias("violation_pct"),
+        pct_mean_of("below_tlc_minimum", 2).alias("violation_pct"),
     ]
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farelens.functions.exact import dec, mean, pct_mean
+from farelens.functions.exact import dec, mean
 from farelens.functions.ladders import ladder
 from farelens.params import (
     COMPLIANCE_SCORE,
@@ -22,7 +22,7 @@ from farelens.params import (
     VULNERABLE_CUTOFF,
     Params,
 )
-from farelens.plans._common import avg, c, negative_take_pct, section, sla_pct, sum_take_rate, trips
+from farelens.plans._common import avg, c, negative_take_pct, pct_mean_of, section, sla_pct, sum_take_rate, trips
 from farelens.plans.volatility import fare_cv, fare_moments
 
 SEGMENT_KEYS = ("company_name", "borough", "time_of_day")
@@ -71,7 +71,7 @@ def segment_scores(enriched: DataFrame, params: Params) -> DataFrame:
             negative_take_pct().alias("negative_take_rate_pct"),
             sla_pct().alias("sla_pct"),
             avg("request_to_pickup_min").alias("avg_wait_min"),
-            pct_mean(c("below_tlc_minimum"), 2).alias("violation_pct"),
+            pct_mean_of("below_tlc_minimum", 2).alias("violation_pct"),
             avg("driver_pay_per_hour").alias("avg_driver_hourly"),
             *fare_moments(),
         )
