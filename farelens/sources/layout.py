@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+NARROW_SPLITS = 64
+
 
 def spread_if_narrow(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
     """Hash-spread a fact scan that yields fewer splits than the cluster has cores.
@@ -18,7 +20,11 @@ def spread_if_narrow(df: DataFrame, *keys: str, min_partitions: int | None = Non
     placement is deterministic, so a task retried after a lost executor
     sees the same rows, without the local sort a round-robin split needs.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, *keys) if keys else df.repartition(target)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # Below the threshold the input is at most ~NARROW_SPLITS default-size
+    # splits, so moving it is cheap; larger inputs on a big cluster are read
+    # as they are, never reshuffled just to fill idle cores.
+    threshold = min_partitions or min(cores, NARROW_SPLITS)
+    if df.rdd.getNumPartitions() < threshold:
+        return df.repartition(cores, *keys) if keys else df.repartition(cores)
     return df
