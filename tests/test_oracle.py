@@ -53,3 +53,17 @@ def test_matches_duckdb(spark, con, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0 and "opportunity_score" in df.columns
+
+
+@pytest.mark.skipif(not os.path.isdir(SF01), reason="benchmark tables not present")
+@pytest.mark.parametrize("name", ["p0_enriched_events", "p8a_daily_revenue_trend", "p4_fare_decile_margin"])
+def test_results_do_not_depend_on_session_settings(spark, con, name):
+    """The driver's session may use another time zone or ANSI mode."""
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled")}
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        assert _rows(QUERIES[name](spark, SF01).toPandas()) == _rows(con.execute(SQL[name]).df())
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
