@@ -8,14 +8,14 @@ is bounded and never changes a result.
 
 from __future__ import annotations
 
-import re
+import os
 
 import numpy as np
+from tokenizers import Tokenizer
 
 #: Entries kept at most, and those kept when the rest is let go (the oldest: frequent words come early).
 CACHE_WORDS, CORE_WORDS = 400_000, 200_000
-#: Letters and a run of marks: the tokenizer's own pattern splits between the two.
-_TAIL = re.compile(r"([^\W\d_]+)([,.;:!?]+)")
+_MARKS = ",.;:!?"
 
 
 class _Index(dict):
@@ -29,107 +29,108 @@ class _Index(dict):
         return n
 
 
+class _Rows:
+    """Growing lists of small integers, one a row."""
+
+    def __init__(self):
+        self.start, self.size, self.values = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32)
+        self.n = self.used = 0
+
+    def add(self, sizes: np.ndarray, values: np.ndarray) -> None:
+        while self.n + len(sizes) > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(values) > len(self.values):
+            self.values = np.resize(self.values, 2 * len(self.values))
+        self.size[self.n : self.n + len(sizes)] = sizes
+        self.start[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.values[self.used : self.used + len(values)] = values
+        self.n += len(sizes)
+        self.used += len(values)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of the rows ``at`` one after another, where each row begins and the last ends)."""
+        sizes = self.size[at]
+        upto = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(sizes, out=upto[1:])
+        return self.values[np.repeat(self.start[at] - upto[:-1], sizes) + np.arange(upto[-1])], upto
+
+    def keep(self, n: int) -> None:
+        self.n, self.used = n, int(self.start[n - 1] + self.size[n - 1]) if n else 0
+
+
 class WordEncoder:
-    """ids of texts under a tokenizers JSON file whose pre-tokenizer drops white space."""
+    """ids of texts under a tokenizers JSON file whose pre-tokenizer drops white space.
 
-    def __init__(self, path: str):
-        import os
+    A chunk is one or two parts, letters and a run of marks, which the
+    tokenizer's pattern always splits; ids are kept by part.
+    """
 
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.index = _Index()
-        self.start = np.zeros(1024, np.int64)
-        self.size = np.zeros(1024, np.int64)
-        self.ids = np.zeros(8192, np.uint16)
-        self.n = self.used = 0  # words with ids, ids in use
-
-    def _library(self, words: list[str]) -> list[np.ndarray]:
-        """ids of each word by the library, in one call: word_ids tells the words apart."""
-        if not words:
-            return []
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words, self.word_parts = _Index(), _Rows()
+        self.parts, self.part_ids = _Index(), _Rows()
+
+    def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids a word, ids) by the library, in one call: word_ids tells the words apart."""
         if all(map(str.isalpha, words)):
             enc = self.tok.encode(" ".join(words), add_special_tokens=False)
             of = np.asarray(enc.word_ids, np.int64)
             if len(of) and of[-1] + 1 == len(words):  # one pre-token a word
-                return np.split(np.asarray(enc.ids, np.int64), np.searchsorted(of, np.arange(1, len(words))))
+                return np.bincount(of, minlength=len(words)), np.asarray(enc.ids, np.uint32)
         enc = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
-        of = np.asarray(enc.word_ids, np.int64)
-        return np.split(np.asarray(enc.ids, np.int64), np.searchsorted(of, np.arange(1, len(words))))
+        return np.bincount(np.asarray(enc.word_ids, np.int64), minlength=len(words)), np.asarray(enc.ids, np.uint32)
 
     def _learn(self) -> None:
-        fresh, self.index.fresh = self.index.fresh, []
-        parts: list[tuple[str, str]] = []
-        need: dict[str, int] = {}
-        known = self.index
+        fresh, self.words.fresh = self.words.fresh, []
+        part, flat, sizes = self.parts, [], []
         for w in fresh:
-            m = _TAIL.fullmatch(w)
-            base, tail = m.groups() if m else (w, "")
-            if base.isascii():
-                base = base.lower()
-            parts.append((base, tail))
-            for x in (base, tail):
-                if x and known.get(x, self.n) >= self.n:  # unknown, or fresh itself
-                    need.setdefault(x, len(need))
-        plain = [x for x in need if x.isalpha()]
-        odd = [x for x in need if not x.isalpha()]
-        got = dict(zip(plain, self._library(plain), strict=True)) | dict(zip(odd, self._library(odd), strict=True))
-        none = np.zeros(0, np.int64)
-
-        def ids(x: str) -> np.ndarray:
-            if not x:
-                return none
-            if x in got:
-                return got[x]
-            k = known[x]
-            return self.ids[self.start[k] : self.start[k] + self.size[k]].astype(np.int64)
-
-        rows = [np.concatenate((ids(a), ids(b))) if b else ids(a) for a, b in parts]
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.concatenate(rows) if rows else none
-        if len(flat) and flat.max() > 0xFFFF and self.ids.dtype == np.uint16:
-            self.ids = self.ids.astype(np.uint32)
-        while self.n + len(rows) > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.size[self.n : self.n + len(rows)] = sizes
-        self.start[self.n : self.n + len(rows)] = self.used + np.cumsum(sizes) - sizes
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.n += len(rows)
-        self.used += len(flat)
-
-    def _forget(self) -> None:
-        core = list(self.index)[:CORE_WORDS]
-        self.index = _Index()
-        self.index.update(zip(core, range(len(core)), strict=True))
-        self.n = len(core)
-        self.used = int(self.start[self.n - 1] + self.size[self.n - 1])
+            base = w.rstrip(_MARKS)
+            if len(base) == len(w) or not base.isalpha():
+                flat.append(part[w.lower() if w.isascii() else w])
+                sizes.append(1)
+            else:
+                flat += (part[base.lower() if base.isascii() else base], part[w[len(base) :]])
+                sizes.append(2)
+        self.word_parts.add(np.asarray(sizes, np.int64), np.asarray(flat, np.uint32))
+        new, part.fresh = part.fresh, []
+        plain = np.fromiter(map(str.isalpha, new), bool, len(new))
+        size, ids = np.zeros(len(new), np.int64), []
+        for mask in (plain, ~plain):
+            if mask.any():
+                size[mask], got = self._library([new[i] for i in np.flatnonzero(mask)])
+                ids.append(got)
+        order = np.argsort(np.repeat(~plain, size), kind="stable")  # library order -> order of the parts
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.part_ids.add(size, np.concatenate(ids)[back] if ids else np.zeros(0, np.uint32))
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per text) of the texts, each followed by the id ``end``."""
-        if len(self.index) > CACHE_WORDS:
-            self._forget()
+        if len(self.words) > CACHE_WORDS:
+            core = list(self.words)[:CORE_WORDS]
+            parts = list(self.parts)[: int(self.word_parts.take(np.arange(len(core)))[0].max()) + 1]
+            for index, rows, kept in ((self.words, self.word_parts, core), (self.parts, self.part_ids, parts)):
+                index.clear()
+                index.update(zip(kept, range(len(kept)), strict=True))
+                rows.keep(len(kept))
         words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
+        bounds = np.zeros(len(texts) + 1, np.int64)
         for i, t in enumerate(texts):
-            w = t.replace("\n", " ").split(" ")
-            counts[i] = len(w)
-            words += w
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        if self.index.fresh:
+            words += t.replace("\n", " ").split(" ")
+            bounds[i + 1] = len(words)
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if self.words.fresh:
             self._learn()
-        sizes = self.size[at]
-        bounds = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum(counts, out=bounds[1:])
-        upto = np.zeros(len(at) + 1, np.int64)
-        np.cumsum(sizes, out=upto[1:])
-        lens = upto[bounds[1:]] - upto[bounds[:-1]]
-        flat = self.ids[np.repeat(self.start[at] - upto[:-1], sizes) + np.arange(upto[-1])].astype(np.uint32)
-        return np.insert(flat, np.cumsum(lens), end).astype(np.uint32), lens + 1
+        parts, upto_parts = self.word_parts.take(at)
+        flat, upto = self.part_ids.take(parts)
+        lens = np.diff(upto[upto_parts[bounds]])
+        return np.insert(flat, np.cumsum(lens), end), lens + 1
 
 
 _SHARED: dict[str, WordEncoder] = {}
