@@ -90,3 +90,12 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = False):
     at = np.zeros(len(start), np.int64)
     np.cumsum((end - start)[:-1], out=at[1:])
     return start, end, mix(np.add.reduceat(values, at) + (end - start).astype(U)), first
+
+
+def with_texts(batch: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+    """batch with its ``text`` replaced, and ``n_chars`` where it has one."""
+    kinds = {f.name: f.type for f in batch.schema}
+    new = {"text": pa.array(texts, kinds["text"])}
+    if "n_chars" in kinds:
+        new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(kinds["n_chars"])
+    return pa.RecordBatch.from_arrays([new.get(f.name, batch.column(k)) for k, f in enumerate(batch.schema)], schema=batch.schema)

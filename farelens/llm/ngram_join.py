@@ -383,5 +383,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return sets.select("doc_id", "n_shingles").join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without near-duplicates: of each component the document of smallest doc_id stays, once.
+
+    Documents that link with nothing stay, and so do rows with a null doc_id.
+    """
+    found = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    known = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("_id")).drop("_id")
+    # Rows that repeat a document are copies of it.
+    known = known.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return known.unionByName(docs.where("doc_id is null"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+from .ann import op9_nearest
+from .bpe import op6_bpe
 from .language import op2_language_id
+from .ngram_join import op8_ngram_join
+from .packing import op4_packing
 from .secrets import op5_secrets
+from .substring_dedup import op10_substring_dedup
+from .suffix_dedup import op1_suffix_array
 from .token_files import op3_token_files
+from .vector_dedup import op7_vector_dedup
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
+    "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
+    "op6_bpe": op6_bpe,
+    "op7_vector_dedup": op7_vector_dedup,
+    "op8_ngram_join": op8_ngram_join,
+    "op9_nearest": op9_nearest,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
+#: None of the ten has an SQL form that is fast enough on whole tables; tests/llm compares each with brute force.
 ORACLE_SQL: dict[str, str] = {}

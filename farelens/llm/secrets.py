@@ -25,6 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._batches import with_texts
 from ._store import documents, new_path
 
 RULE_VERSION = "base-1"
@@ -100,5 +101,32 @@ def scan(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) ->
     return rows.select("doc_id", "blob").join(seen, "blob")
 
 
+def mask(docs: DataFrame, ledger: str) -> DataFrame:
+    """docs with each secret of ``text`` replaced by a mark of its kind (overlapping spans by one), and n_chars to match."""
+    found = scan(docs.select("doc_id", "text"), ledger).where("spans != ''").select(
+        F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans")
+    )
+    names = docs.columns
+
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for i, spans in enumerate(b.column("_spans").to_pylist()):
+                if not spans:
+                    continue
+                out, at = [], 0
+                for kind, a, z in (x.split(":") for x in spans.split(",")):
+                    if int(z) <= at:
+                        continue
+                    if int(a) >= at:
+                        out += [texts[i][at : int(a)], f"<{kind}>"]
+                    at = int(z)
+                texts[i] = "".join(out) + texts[i][at:]
+            yield with_texts(b.select(names), texts)
+
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (blob_id() == F.col("_blob"))
+    return docs.join(found.distinct(), on, "left").drop("_id", "_blob").mapInArrow(replace, docs.schema)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir), new_path(spark, "secret-ledger")).drop("blob")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, secrets
+from . import language, ngram_join, packing, secrets, suffix_dedup
 from ._store import new_path
 
 #: Below this posterior a prediction counts as a rejection.
@@ -19,13 +19,32 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.select(docs.columns)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return ngram_join.keep_one(docs)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings of 400 that stand anywhere else too; emptied ones keep their row."""
+    return suffix_dedup.strip_repeats(docs)
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every secret replaced by a mark of its kind; n_chars follows the text."""
-    found = secrets.scan(docs.select("doc_id", "text"), new_path(spark, "secret-ledger")).where("spans != ''")
-    return secrets.mask(docs, found)
+    """Documents with every secret replaced by a mark of its kind."""
+    return secrets.mask(docs, new_path(spark, "secret-ledger"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
 STAGES = [
     ("language_id", language_stage),
+    ("ngram_join", near_duplicate_stage),
+    ("suffix_dedup", suffix_stage),
     ("secret_scan", secrets_stage),
+    ("packing", packing_stage),
 ]

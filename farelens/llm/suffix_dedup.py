@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import _anchors
-from ._batches import BYTE, U, mix, slices, text_buffer
+from ._batches import BYTE, U, mix, slices, text_buffer, with_texts
 from ._store import documents, id_and_text
 
 WINDOW = 400
@@ -191,5 +192,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return both.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def strip_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the repeated bytes taken out of ``text``, and n_chars to match.
+
+    A cut inside a character takes the rest of that character too.
+    """
+    runs = repeated_windows(id_and_text(docs)).groupBy("doc_id", "dk").agg(F.collect_set(F.struct("start", "windows")).alias("_runs"))
+    runs = runs.select(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk"), "_runs")
+    names = docs.columns
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for i, r in enumerate(b.column("_runs").to_pylist()):
+                if r:
+                    texts[i] = kept_bytes(texts[i], r)[1].decode("utf-8", "ignore")
+            yield with_texts(b.select(names), texts)
+
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.hash("text") == F.col("_dk"))
+    return docs.join(runs, on, "left").drop("_id", "_dk").mapInArrow(strip, docs.schema)
+
+
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
