@@ -94,7 +94,8 @@ def repeats(
     spark = rows.sparkSession
     seg = saved(rows.mapInArrow(find, SEGMENTS), f"{name}-segments")
     grams = seg.groupBy("gram").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
-    grams = grams.where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed"))
+    # Written before the join, so that both of its sides are plain shuffles and a hot gram's partition can be split.
+    grams = saved(grams.where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed")), f"{name}-grams")
     shared = saved(seg.join(grams, "gram"), f"{name}-shared")
     start, windows = F.expr("int(shiftright(loc, 24))"), F.expr("int(shiftright(loc, 12) & 4095)")
     same = shared.where("not mixed").select("doc_id", "dk", start.alias("start"), windows.alias("windows"))
