@@ -188,7 +188,7 @@ def _emit_keys(buckets: int):
                     if same in seen:  # a copy in this task: its class is known by the set's hash
                         continue
                     seen.add(same)
-                    if len(seen) > 500_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     for k, (lv, blocks) in enumerate(reversed(levels(len(s)))):
                         got = block_keys(s, lv, blocks)
@@ -197,7 +197,7 @@ def _emit_keys(buckets: int):
                         keys.append(got)
                         docs.append(np.full(len(got), doc, np.int64))
                         held += len(got)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield flush()
         if held:
             yield flush()

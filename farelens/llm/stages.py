@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, ngram_join, packing, secrets, suffix_dedup
-from ._store import new_path
+from ._store import new_path, small_batches
 
 #: Below this posterior a prediction counts as a rejection.
 MIN_SCORE = 0.5
@@ -14,6 +14,7 @@ MIN_SCORE = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those it rejects (no letter, or no language ahead) go."""
+    small_batches(spark)
     model = language.train(docs.where(~language.held_out("doc_id")).select("text", "lang"))
     kept = language.predict(docs, *model).where((F.col("lang_pred") != language.UND) & (F.col("score") >= MIN_SCORE))
     return kept.select(docs.columns)
@@ -21,21 +22,25 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings of 400 that stand anywhere else too; emptied ones keep their row."""
+    small_batches(spark)
     return suffix_dedup.strip_repeats(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret replaced by a mark of its kind."""
+    small_batches(spark)
     return secrets.mask(docs, new_path(spark, "secret-ledger"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences."""
+    small_batches(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
