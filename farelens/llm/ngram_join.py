@@ -13,8 +13,8 @@ random hashing makes rare) are compared with all documents of their sizes.
 
 Block keys travel as packed binary columns to hash buckets, where they are
 sorted.  A small group of a key gives all its pairs; a large one gives each
-member's pair with a centre, and is kept.  Candidates are verified on whole
-sets.  Then every kept group whose members still lie in different components
+member's pair with a centre, and is kept.  Candidates whose one-bit parity
+sketches are near enough (same bound) are verified on whole sets.  Then every kept group whose members still lie in different components
 is searched again: its cross-component pairs pass the one-bit parity sketch
 (same bound) before they are verified, so no link that could join two
 components is lost, and none is emitted for members already joined.
@@ -113,9 +113,9 @@ def block_keys(shingles: np.ndarray, level: int, blocks: int) -> np.ndarray:
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
-    """One-bit parity sketch of at least 4 bits a shingle, a power of two; halves fold by XOR."""
+    """One-bit parity sketch of at least 2 bits a shingle, a power of two; halves fold by XOR."""
     bits = 256
-    while bits < 4 * len(shingles) and bits < 1 << 16:
+    while bits < 2 * len(shingles) and bits < 1 << 16:
         bits *= 2
     at = (mix(shingles ^ U(0xA5A5A5A5)) & U(bits - 1)).astype(np.int64)
     odd = np.bincount(at, minlength=bits) & 1
@@ -280,6 +280,18 @@ def _linked(n: np.ndarray, m: int, common: np.ndarray) -> np.ndarray:
     return 100 * common >= PERCENT * (n + m - common)
 
 
+def _near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose parity sketches differ in no more bits than linked sets may differ in shingles."""
+    for b in batches:
+        most = (b.column("nx").to_numpy() + b.column("ny").to_numpy()) * (100 - PERCENT) // (100 + PERCENT)
+        on = np.zeros(b.num_rows, bool)
+        for i, (x, y) in enumerate(zip(b.column("sx").to_pylist(), b.column("sy").to_pylist(), strict=True)):
+            words = min(len(x), len(y)) // 8
+            far = np.bitwise_count(fold(np.frombuffer(x, U), words) ^ fold(np.frombuffer(y, U), words)).sum()
+            on[i] = far <= most[i]
+        yield b.select(["x", "y"]).filter(pa.array(on))
+
+
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) whose whole sets link.  x's set travels to its partners' tasks, PARTNERS at a time."""
     parts = pairs.groupBy("x").agg(F.expr(f"int(ceil(count(*) / {PARTNERS}))").alias("parts"))
@@ -367,14 +379,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     weak = weak.distinct().join(rep.select(F.col("doc_id").alias("x"), "n"), "x").select("x", F.explode(F.sequence(band("n") - 2, band("n") + 2)).alias("band"))
     sized = to_class.where("doc_id = rep").select(F.col("rep").alias("y"), band("n").alias("band"))
     pairs = pairs.unionByName(weak.join(sized, "band").where("x != y").select("x", "y"))
-    links = saved(verify(rows, saved(by_class(pairs), "pairs")), "shingle-links")
+    sketches = to_class.where("doc_id = rep").select("rep", "n", "sketch")
+    near = by_class(pairs)
+    for c in "xy":
+        near = near.join(sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
+    near = saved(near.mapInArrow(_near_enough, "x long, y long"), "pairs")
+    links = saved(verify(rows, near), "shingle-links")
     labels = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "rep")
 
     groups = met.where("kind = 1").mapInArrow(_group_rows, "gid long, doc_id long").join(rep, "doc_id").select("gid", "rep", "n").distinct()
     groups = saved(groups.join(labels, "rep", "left").select("gid", "rep", "n", F.coalesce("component", "rep").alias("component")), "groups")
     open_ = groups.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("gid")
-    sketches = to_class.where("doc_id = rep").select("rep", "sketch")
-    asked = groups.join(open_, "gid").join(sketches, "rep")
+    asked = groups.join(open_, "gid").join(sketches.select("rep", "sketch"), "rep")
     more = saved(asked.groupBy("gid").applyInArrow(_across, "x long, y long").distinct(), "pairs-across")
     if not more.isEmpty():
         links = links.unionByName(verify(rows, more))
