@@ -52,7 +52,8 @@ QUERIES: dict[str, tuple[str, str]] = {
     "p11a_growth_quality": ("events", "growth_quality"),
     "p11b_platform_quality": ("events", "platform_quality"),
 }
-QUERIES = {k: v for k, v in QUERIES.items() if v[1] in REPORTS or v[1] == "enriched_trips"}
+if unknown := {r for _, r in QUERIES.values()} - {*REPORTS, "enriched_trips"}:
+    raise LookupError(f"registered reports that do not exist: {sorted(unknown)}")
 
 
 def enriched_for(spark: SparkSession, binding: str, sf_dir: str) -> tuple[DataFrame, Params]:

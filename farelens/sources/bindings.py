@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from farelens.functions.exact import cents_of, from_units, idiv, money
 from farelens.params import Params
 from farelens.sources.contract import MILES
-from farelens.sources.layout import spread_if_narrow
 
 # Fixed values of the bindings (fee amounts in cents, rates in basis points,
 # location sets, wait / SLA scaling).  The oracle SQL repeats them.
@@ -111,14 +110,11 @@ def orders_binding(spark: SparkSession, sf_dir: str, base: Params | None = None)
         pay_per_mile=ORDERS_PAY_PER_MILE,
         pay_per_minute=ORDERS_PAY_PER_MINUTE,
     )
-    li = spread_if_narrow(
-        _table(
-            spark, sf_dir, "lineitem",
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-            "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate",
-        ),
-        "l_orderkey",
-    )
+    li = _table(
+        spark, sf_dir, "lineitem",
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+        "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate",
+    )
     orders = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     part = _table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
     cust = _table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
@@ -178,10 +174,7 @@ def orders_binding(spark: SparkSession, sf_dir: str, base: Params | None = None)
 
 def events_binding(spark: SparkSession, sf_dir: str, base: Params | None = None) -> Binding:
     params = (base or Params()).with_(platforms=EVENTS_PLATFORMS, holiday_month=EVENTS_HOLIDAY_MONTH)
-    ev = spread_if_narrow(
-        _table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props"),
-        "event_id",
-    )
+    ev = _table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
     cust = _table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     joined = ev.join(cust, ev.user_id == cust.c_custkey)
 

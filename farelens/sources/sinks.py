@@ -20,6 +20,7 @@ def publish_enriched(
     mode: str = "overwrite",
     max_records_per_file: int = 5_000_000,
     partition_by: str | None = "trip_date",
+    replace_dates_only: bool = False,
 ) -> None:
     """Write the enriched relation as Parquet, one directory per trip date.
 
@@ -27,8 +28,9 @@ def publish_enriched(
     contiguous slice of time, so the file count stays near dates + tasks
     instead of dates x tasks, and a hot day is still split across tasks by
     pickup time (range bounds are sampled on both keys).
-    ``max_records_per_file`` caps file size; dynamic partition overwrite
-    replaces only the dates present.
+    ``max_records_per_file`` caps file size.  The write replaces the whole
+    relation; ``replace_dates_only`` replaces just the dates present, as an
+    option of this write (the session is left as it is).
 
     ``partition_by=None`` keeps the time clustering without directories:
     for sparse histories (a few hundred trips a day over years) one
@@ -36,14 +38,13 @@ def publish_enriched(
     min/max statistics on the clustered rows still let date filters skip
     row groups.
     """
-    spark = enriched.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     writer = (
         enriched.select(*ENRICHED_COLUMNS)
         .repartitionByRange("trip_date", "pickup_datetime")
         .sortWithinPartitions("trip_date", "pickup_datetime")
         .write.mode(mode)
         .option("maxRecordsPerFile", max_records_per_file)
+        .option("partitionOverwriteMode", "dynamic" if replace_dates_only else "static")
     )
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -61,8 +62,8 @@ def publish_view(enriched: DataFrame, name: str = "v_trips_enriched") -> None:
 
 
 def export(result: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
-    """Write one report result; report outputs are small, so one file each."""
-    writer = result.coalesce(1).write.mode(mode)
+    """Write one result, a file for each of its partitions (a sorted report is small and has few)."""
+    writer = result.write.mode(mode)
     if fmt == "csv":
         writer.option("header", "true").csv(path)
     else:

@@ -6,21 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelens.sources.contract import FLAG_COLUMNS, TRIPS_SCHEMA, ZONES_SCHEMA
-from farelens.sources.layout import spread_if_narrow
 
 
-def read_trips(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """Scan a trip fact in the native schema (Parquet, or CSV with a header).
+class MissingColumnError(ValueError):
+    """The extract lacks a column of the trip contract."""
+
 
-    The schema is declared, never inferred; flags are upper-cased so 'y'
-    counts as 'Y' (the original engine compared them case-insensitively).
+def read_trips(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
+    """Scan a trip extract (Parquet, or CSV with a header) by column name.
+
+    Column order and extra columns do not matter; a missing column raises.
+    Values are cast to the contract, so money may be DOUBLE or DECIMAL.
+    ``trip_id`` is the tie-break key: extracts without one get a hash of all
+    contract columns, so a re-read gives the same ids and exact duplicate
+    rows, which no report can tell apart, share one.  Flags are upper-cased
+    so 'y' counts as 'Y'.
     """
-    reader = spark.read.schema(TRIPS_SCHEMA).options(**options)
+    raw = _by_name(spark, path, fmt, options)
+    have = {c.lower() for c in raw.columns}
+    wanted = [f for f in TRIPS_SCHEMA.fields if f.name != "trip_id" or "trip_id" in have]
+    missing = [f.name for f in wanted if f.name.lower() not in have]
+    if missing:
+        raise MissingColumnError(f"{path} lacks {', '.join(missing)}")
+    trips = raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+    if "trip_id" not in have:
+        trips = trips.select(F.xxhash64(*trips.columns).alias("trip_id"), "*")
+    return normalise_flags(trips)
+
+
+def _by_name(spark: SparkSession, path: str, fmt: str, options: dict) -> DataFrame:
     if fmt == "csv":
-        df = reader.option("header", "true").csv(path)
-    else:
-        df = reader.format(fmt).load(path)
-    return normalise_flags(spread_if_narrow(df, "trip_id"))
+        # Files whose header differs from the first file's are refused rather than read by position.
+        return spark.read.options(header="true", enforceSchema="false", **options).csv(path)
+    return spark.read.options(**options).format(fmt).load(path)
 
 
 def normalise_flags(df: DataFrame) -> DataFrame:
@@ -28,7 +46,10 @@ def normalise_flags(df: DataFrame) -> DataFrame:
 
 
 def read_zones(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:
-    reader = spark.read.schema(ZONES_SCHEMA).options(**options)
-    if fmt == "csv":
-        return reader.option("header", "true").csv(path)
-    return reader.format(fmt).load(path)
+    """The zone lookup, by column name."""
+    raw = _by_name(spark, path, fmt, options)
+    have = {c.lower() for c in raw.columns}
+    missing = [f.name for f in ZONES_SCHEMA.fields if f.name.lower() not in have]
+    if missing:
+        raise MissingColumnError(f"{path} lacks {', '.join(missing)}")
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ZONES_SCHEMA.fields])

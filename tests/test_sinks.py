@@ -46,3 +46,25 @@ def test_read_trips_csv_normalises_flags(spark, zones, tmp_path):
     trips_df(spark, [trip(1, wav_request_flag="y")]).write.option("header", "true").csv(path)
     t = read_trips(spark, path, fmt="csv")
     assert t.first()["wav_request_flag"] == "Y"
+
+
+def test_publish_replaces_the_relation_and_leaves_the_session_alone(spark, zones, tmp_path):
+    import datetime as dt
+
+    def days(n, per):
+        at = [dt.datetime(2025, 12, 1 + i % n, 9) for i in range(n * per)]
+        return enrich(trips_df(spark, [trip(i, pickup_datetime=t, request_datetime=t - dt.timedelta(minutes=2)) for i, t in enumerate(at)]), zones, P)
+
+    path, before = str(tmp_path / "p"), spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    publish_enriched(days(3, 4), path)
+    publish_enriched(days(2, 3), path)
+    assert read_enriched(spark, path).count() == 6
+    publish_enriched(days(1, 5), path, replace_dates_only=True)
+    assert read_enriched(spark, path).count() == 8
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
+
+
+def test_export_keeps_partitions(spark, tmp_path):
+    out = str(tmp_path / "wide")
+    export(spark.range(0, 4000, numPartitions=4), out, fmt="parquet")
+    assert len([f for f in os.listdir(out) if f.endswith(".parquet")]) == 4
