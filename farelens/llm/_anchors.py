@@ -76,6 +76,8 @@ def unpack_loc(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 SEGMENTS = "gram long, content long, doc_id long, dk int, loc long"
 FOUND = "gram long, content long, first int, windows int"
+#: A window on its way to the other parts of its gram: fingerprint, and its place in its segment.
+MEET = np.dtype([("f1", "<i8"), ("f2", "<i8"), ("content", "<i8"), ("first", "<i4")])
 
 
 def repeats(
@@ -110,14 +112,13 @@ def repeats(
     # Rows that repeat a document would repeat its representatives.
     bodies = saved(bodies.mapInArrow(cut, "gram long, content long, part int, parts int, lead binary, off int, body binary"), f"{name}-bodies")
     total = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    dealt = order(bodies, max(shuffle_width(spark), int(total // (4 * SORT_BYTES)) + 1))
-    done = saved(dealt.mapInArrow(lambda it: _sorted(it, sort), FOUND + ", part int, f1 long, f2 long"), f"{name}-sorted")
+    tasks = max(shuffle_width(spark), int(total // (4 * SORT_BYTES)) + 1)
+    done = saved(order(bodies, tasks).mapInArrow(lambda it: _sorted(it, sort), f"{FOUND}, part int, bucket int, packed binary"), f"{name}-sorted")
 
     inside = done.where("part is null").select("gram", "content", "first", "windows")
     # Across the parts of a split gram: a window alone in its part is compared with those of the other parts.
-    open_ = done.where("part is not null")
-    twice = open_.groupBy("gram", "f1", "f2").agg(F.count_distinct("part").alias("n")).where("n > 1").drop("n")
-    across = open_.join(twice, ["gram", "f1", "f2"]).select("gram", "content", "first", "windows")
+    open_ = done.where("part is not null").select("gram", "bucket", "packed")
+    across = open_.repartition(tasks, "gram", "bucket").sortWithinPartitions("gram", "bucket").mapInArrow(_across, FOUND)
     copies = one.where("n > 1").select("gram", "content", F.lit(0).alias("first"), windows.alias("windows"))
     found = copies.unionByName(inside).unionByName(across)
     hits = mixed.join(found, ["gram", "content"]).select(
@@ -131,30 +132,34 @@ def _sorted(batches: Iterator[pa.RecordBatch], sort: Callable) -> Iterator[pa.Re
 
     sort(rows) gives for each window, by row and place: row, window, equal windows in these rows, two fingerprint words.
     """
-    names = ["gram", "content", "first", "windows", "part", "f1", "f2"]
+    names = ["gram", "content", "first", "windows", "part", "bucket", "packed"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def flush(rows: list[dict]) -> pa.RecordBatch:
         row, window, members, f1, f2 = sort(rows)
-        gram, content = (np.array([r[c] for r in rows], np.int64) for c in ("gram", "content"))
-        split = np.array([r["parts"] > 1 for r in rows], bool)[row]
-        part = np.array([r["part"] for r in rows], np.int64)
+        gram, content, part, parts = (np.array([r[c] for r in rows], np.int64) for c in ("gram", "content", "part", "parts"))
         repeated = members > 1
-        # Runs of repeated windows of one segment.
-        r, w = row[repeated], window[repeated]
-        new = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)))) if len(r) else np.zeros(0, np.int64)
-        n = np.diff(np.append(new, len(r)))
-        k = np.flatnonzero(split)  # of split grams: every window not settled here, and all for the others to see
-        rows_out = np.concatenate((r[new], row[k]))
-        return pa.record_batch(
-            [
-                gram[rows_out], content[rows_out],
-                pa.array(np.concatenate((w[new], window[k])), pa.int32()), pa.array(np.concatenate((n, np.ones(len(k), np.int64))), pa.int32()),
-                pa.array(part[rows_out], pa.int32(), mask=np.arange(len(rows_out)) < len(new)),
-                pa.array(np.concatenate((np.zeros(len(new), np.int64), f1[k])), pa.int64()),
-                pa.array(np.concatenate((np.zeros(len(new), np.int64), f2[k])), pa.int64()),
-            ],
-            names=names,
-        )
+        r, n, new = _runs(row[repeated], window[repeated])
+        w = window[repeated][new]
+        found = [gram[r], content[r], w, n, *[pa.nulls(len(r), t) for t in kinds[4:]]]
+        # Of split grams, one of each kind of window goes to meet the other parts, packed by (gram, part, bucket).
+        k = np.flatnonzero((parts > 1)[row])
+        kind = np.stack((gram[row[k]], part[row[k]], f1[k], f2[k]), axis=1)
+        k = k[np.unique(kind, axis=0, return_index=True)[1]] if len(k) else k
+        bucket = (f1[k].view(U) % parts[row[k]].astype(U)).astype(np.int64)
+        order = np.lexsort((bucket, part[row[k]], gram[row[k]]))
+        k, bucket = k[order], bucket[order]
+        of = row[k]
+        packed = np.empty(len(k), MEET)
+        packed["f1"], packed["f2"], packed["content"], packed["first"] = f1[k], f2[k], content[of], window[k]
+        edge = np.ones(len(k), bool)
+        edge[1:] = (gram[of][1:] != gram[of][:-1]) | (part[of][1:] != part[of][:-1]) | (bucket[1:] != bucket[:-1])
+        at = np.flatnonzero(edge)
+        body = [packed[i:j].tobytes() for i, j in zip(at.tolist(), [*at[1:].tolist(), len(k)], strict=True)] if len(at) else []
+        m = len(at)
+        nothing = [pa.nulls(m, t) for t in kinds[1:4]]
+        meet = [gram[of[at]], *nothing, part[of[at]], bucket[at], body]
+        return pa.record_batch([pa.concat_arrays([pa.array(x, t), pa.array(y, t)]) for x, y, t in zip(found, meet, kinds, strict=True)], names=names)
 
     held: list[dict] = []
     size, last = 0, None
@@ -171,6 +176,48 @@ def _sorted(batches: Iterator[pa.RecordBatch], sort: Callable) -> Iterator[pa.Re
         yield flush(held)
 
 
+def _runs(row: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, windows, index of the first) of each run of consecutive windows of one row, in ascending order."""
+    if not len(row):
+        return row, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1))))
+    return row[new], np.diff(np.append(new, len(row))), new
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """FOUND rows of the windows that stand in several parts; input is sorted by (gram, bucket).
+
+    A part sends each kind of window once, so a fingerprint that occurs twice in a bucket is in two parts.  A gram
+    has as many buckets as parts, so a bucket holds about the windows of one part.
+    """
+
+    def meet(gram: int, held: list[bytes]) -> pa.RecordBatch:
+        all_ = np.frombuffer(b"".join(held), MEET)
+        order = np.lexsort((all_["f2"], all_["f1"]))
+        f = all_[order]
+        equal = (f["f1"][1:] == f["f1"][:-1]) & (f["f2"][1:] == f["f2"][:-1])
+        twice = np.zeros(len(f), bool)
+        twice[1:] |= equal
+        twice[:-1] |= equal
+        f = f[twice]
+        f = f[np.lexsort((f["first"], f["content"]))]
+        content, n, new = _runs(f["content"], f["first"].astype(np.int64))
+        columns = [np.full(len(n), gram), content, pa.array(f["first"][new], pa.int32()), pa.array(n, pa.int32())]
+        return pa.record_batch(columns, names=["gram", "content", "first", "windows"])
+
+    held: list[bytes] = []
+    last = None
+    for b in batches:
+        for gram, bucket, packed in zip(*(b.column(c).to_pylist() for c in ("gram", "bucket", "packed")), strict=True):
+            if (gram, bucket) != last and held:
+                yield meet(last[0], held)
+                held = []
+            last = (gram, bucket)
+            held.append(packed)
+    if held:
+        yield meet(last[0], held)
+
+
 def runs_by_document(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """rows with ``runs``, the (start, windows) of each; null where a document has none."""
     per = runs.groupBy("doc_id", "dk").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
