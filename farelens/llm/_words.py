@@ -14,7 +14,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Entries kept at most, and those kept when the rest is let go (the oldest: frequent words come early).
-CACHE_WORDS, CORE_WORDS = 300_000, 150_000
+CACHE_WORDS, CORE_WORDS = 600_000, 300_000
 _MARKS = ",.;:!?"
 
 
