@@ -93,17 +93,40 @@ def _round_sqrt_ratio(v: Column, d: Column, mult: int) -> Column:
     return F.when(up, m0 + 1).when(down, m0 - 1).otherwise(m0).cast(INT)
 
 
-def moment_aggs(units_col: Column, prefix: str) -> list[Column]:
-    """count, sum and sum of squares of a LONG-unit column.
+#: Bits of a digit of the sum of squares.
+_DIGIT = 20
+
 
-    The sum of squares is accumulated as DECIMAL so it cannot overflow a
-    LONG on large groups; the count and sum stay primitive.
+def sum_of_squares(units_col: Column) -> Column:
+    """Exact SUM(x * x) of a LONG column as DECIMAL(38,0), from three LONG sums.
+
+    |x| = h * 2^20 + l, so x^2 = h^2 * 2^40 + 2hl * 2^20 + l^2.  Each part is
+    cut into digits of 20 bits before it is summed: the two low sums grow by
+    less than 2^22 a row, the high one by about x^2 / 2^40, so none leaves a
+    LONG below 10^12 rows a group for |x| < 2^31 (money of 21 million).
     """
-    sq = units_col.cast("decimal(19,0)")
+    x = F.abs(units_col)
+    mask = F.lit((1 << _DIGIT) - 1).cast("long")
+    h, low = F.shiftright(x, _DIGIT), x.bitwiseAND(mask)
+    square, cross = low * low, h * low * 2
+    digits = [
+        square.bitwiseAND(mask),
+        F.shiftright(square, _DIGIT) + cross.bitwiseAND(mask),
+        F.shiftright(cross, _DIGIT) + h * h,
+    ]
+    total = None
+    for k, digit in enumerate(digits):
+        part = F.sum(digit).cast("decimal(20,0)") * dec(1 << (_DIGIT * k))
+        total = part if total is None else total + part
+    return total.cast(INT)
+
+
+def moment_aggs(units_col: Column, prefix: str) -> list[Column]:
+    """count, sum and sum of squares of a LONG-unit column; per-row work is all on LONGs."""
     return [
         F.count(units_col).alias(f"{prefix}_n"),
         F.sum(units_col).cast(INT).alias(f"{prefix}_s"),
-        F.sum(sq * sq).cast(INT).alias(f"{prefix}_ss"),
+        sum_of_squares(units_col).alias(f"{prefix}_ss"),
     ]
 
 

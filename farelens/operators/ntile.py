@@ -40,6 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which NULL keys meet, keeping the left side's keys."""
+    other = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, on).drop(*[f"_r_{k}" for k in keys])
+
+
 def _prefix_before(count: Column, window: Window) -> Column:
     return F.coalesce(
         F.sum(count).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")
@@ -60,7 +67,7 @@ def group_ranks(df: DataFrame, partition: str, order: str, extra: Sequence[Colum
     )
     x_win = Window.partitionBy(partition, "_unit").orderBy(order)
     hist = hist.select("*", _prefix_before(F.col("_cnt"), x_win).alias("_before_x"))
-    ranked = hist.join(units, [partition, "_unit"])
+    ranked = _join(hist, units, [partition, "_unit"])
     extra_names = [c for c in hist.columns if c not in (partition, order, "_cnt", "_unit", "_before_x")]
     return ranked.select(
         partition,
@@ -88,7 +95,7 @@ def tile_boundaries(ranks: DataFrame, partition: str, order: str, tiles: int) ->
     # (tiles - 1) rows per partition value: a proven bound, broadcast.
     hit = ranks.join(
         F.broadcast(bounds.withColumnRenamed(partition, "_bp")),
-        (F.col(partition) == F.col("_bp"))
+        F.col(partition).eqNullSafe(F.col("_bp"))
         & (F.col("_b") >= F.col("_start"))
         & (F.col("_b") < F.col("_start") + F.col("_cnt")),
     )
@@ -126,14 +133,12 @@ def rank_in_groups(rows: DataFrame, partition: str, order: str, tiebreak: Sequen
         F.min("_lead").alias("_lo"), F.max("_lead").alias("_hi"), F.count(F.lit(1)).alias("_gcnt")
     )
     # One row per straddling group: at most (tiles - 1) per partition value.
-    rows = rows.join(F.broadcast(stats), [partition, order])
+    rows = _join(rows, F.broadcast(stats), [partition, order])
     ranges = F.greatest(F.lit(1), F.ceil(F.col("_gcnt") / F.lit(rows_per_task)))
     span = F.col("_hi") - F.col("_lo") + F.lit(1.0)
-    # Monotone in the leading field, so ranges keep the tie-break order.
-    rows = rows.withColumn(
-        "_range",
-        F.least(ranges - 1, F.floor((F.col("_lead") - F.col("_lo")) * ranges / span)).cast("long"),
-    )
+    # Monotone in the leading field, so ranges keep the tie-break order; NULL sorts first and has the range before all.
+    cut = F.least(ranges - 1, F.floor((F.col("_lead") - F.col("_lo")) * ranges / span)).cast("long")
+    rows = rows.withColumn("_range", F.when(F.col("_lead").isNull(), -1).otherwise(cut))
     sizes = rows.groupBy(partition, order, "_range").agg(F.count(F.lit(1)).alias("_rcnt"))
     sizes = sizes.select(
         partition,
@@ -141,7 +146,7 @@ def rank_in_groups(rows: DataFrame, partition: str, order: str, tiebreak: Sequen
         "_range",
         _prefix_before(F.col("_rcnt"), Window.partitionBy(partition, order).orderBy("_range")).alias("_roff"),
     )
-    rows = rows.join(sizes, [partition, order, "_range"])
+    rows = _join(rows, sizes, [partition, order, "_range"])
     pos = F.row_number().over(Window.partitionBy(partition, order, "_range").orderBy(*tiebreak)) + F.col("_roff")
     return rows.withColumn("_pos", pos).drop("_lead", "_lo", "_hi", "_gcnt", "_range", "_roff")
 
@@ -171,7 +176,8 @@ def _tile_expr(x: Column, pos: Column, part: Column, bounds: dict) -> Column:
     for p, cells in bounds.items():
         tile = F.lit(1)
         for bx, j, _ in cells:
-            tile = tile + F.when((x > F.lit(bx)) | ((x == F.lit(bx)) & (pos > F.lit(j))), 1).otherwise(0)
+            past = x.isNotNull() if bx is None else x > F.lit(bx)  # NULL sorts first
+            tile = tile + F.when(past | (_is(x, bx) & (pos > F.lit(j))), 1).otherwise(0)
         expr = F.when(_is(part, p), tile) if expr is None else expr.when(_is(part, p), tile)
     return (expr if expr is not None else F.lit(None)).cast("int")
 
@@ -180,12 +186,20 @@ def _straddled(x: Column, part: Column, bounds: dict) -> Column:
     """Rows whose x value straddles a boundary of their partition value."""
     pred = F.lit(False)
     for p, cells in bounds.items():
-        values = sorted({bx for bx, j, cnt in cells if j < cnt})
-        if values:
-            pred = pred | (_is(part, p) & x.isin(*[F.lit(v) for v in values]))
+        values = {bx for bx, j, cnt in cells if j < cnt}
+        known = sorted(values - {None})
+        if known:
+            pred = pred | (_is(part, p) & x.isin(*[F.lit(v) for v in known]))
+        if None in values:
+            pred = pred | (_is(part, p) & x.isNull())
     return pred
 
 
+def _not(pred: Column) -> Column:
+    """Rows for which ``pred`` does not hold, NULL included."""
+    return ~F.coalesce(pred, F.lit(False))
+
+
 def assign_tiles(
     df: DataFrame,
     tiles: int,
@@ -201,7 +215,7 @@ def assign_tiles(
     x, part = F.col(order), F.col(partition)
     split = _straddled(x, part, bounds)
     inside = rank_in_groups(df.where(split), partition, order, tb, rows_per_task)
-    outside = df.where(~split).withColumn("_pos", F.lit(None).cast("long"))
+    outside = df.where(_not(split)).withColumn("_pos", F.lit(None).cast("long"))
     both = inside.unionByName(outside)
     return both.withColumn(out, _tile_expr(x, F.col("_pos"), part, bounds)).drop("_pos")
 
@@ -231,7 +245,7 @@ def tile_sums(
     x, part = F.col(order), F.col(partition)
     split = _straddled(x, part, bounds)
 
-    whole = ranks.where(~split).select(
+    whole = ranks.where(_not(split)).select(
         partition,
         _tile_expr(x, F.lit(None).cast("long"), part, bounds).alias(out),
         F.col("_cnt").alias("_rows"),

@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.functions.exact import rate_scale, ratio_cmp, round_ratio, to_units
+from farelens.functions.exact import dec, rate_scale, ratio_cmp, round_ratio, to_units
 from farelens.functions.exact_sql import q, round_ratio_sql, units_sql
 from farelens.params import Params
 
@@ -85,24 +85,33 @@ def due_scale(params: Params) -> int:
     return 3 + rate_scale(params.pay_per_mile, params.pay_per_minute)
 
 
-def legal_minimum_due_units(params: Params) -> Column:
-    """miles * per_mile + trip_min * per_minute (rounded minutes) in 10^-due_scale units."""
+def _due_total(params: Params, sum_of) -> Column:
+    """SUM(miles * per_mile + trip_min * per_minute) in 10^-due_scale units, as DECIMAL.
+
+    Miles and minutes are summed apart as LONGs and meet their rates once a group, so no per-trip product is summed.
+    """
     k = due_scale(params) - 3
-    return units("trip_miles") * _rate_units(params.pay_per_mile, k) + units("trip_min") * (
-        10 * _rate_units(params.pay_per_minute, k)
-    )
+    miles = sum_of(units("trip_miles")).cast("decimal(20,0)") * dec(_rate_units(params.pay_per_mile, k))
+    minutes = sum_of(units("trip_min")).cast("decimal(20,0)") * dec(10 * _rate_units(params.pay_per_minute, k))
+    return miles + minutes
 
 
 def mean_due(params: Params) -> Column:
     """ROUND(AVG(miles * per_mile + trip_min * per_minute), 2)."""
-    return round_ratio(F.sum(legal_minimum_due_units(params)), F.count(F.lit(1)) * 10 ** due_scale(params), 2)
+    rated = c("trip_miles").isNotNull() & c("trip_min").isNotNull()
+    total = _due_total(params, lambda x: F.sum(F.when(rated, x)))
+    return round_ratio(total, F.count(F.lit(1)).cast("decimal(20,0)") * dec(10 ** due_scale(params)), 2)
 
 
 def mean_shortfall(params: Params) -> Column:
     """Mean of (due - pay) over violating trips, 2 dp; NULL when there are none."""
-    gap = legal_minimum_due_units(params) - units("driver_pay") * 10 ** (due_scale(params) - 2)
-    on_violation = F.when(c("below_tlc_minimum") == 1, gap)
-    return round_ratio(F.sum(on_violation), F.count(on_violation) * 10 ** due_scale(params), 2)
+    violates = (c("below_tlc_minimum") == 1) & c("trip_miles").isNotNull() & c("trip_min").isNotNull() & c("driver_pay").isNotNull()
+
+    def over(x: Column) -> Column:
+        return F.sum(F.when(violates, x))
+
+    gap = _due_total(params, over) - over(units("driver_pay")).cast("decimal(20,0)") * dec(10 ** (due_scale(params) - 2))
+    return round_ratio(gap, F.count(F.when(violates, 1)).cast("decimal(20,0)") * dec(10 ** due_scale(params)), 2)
 
 
 def share_of_charge(*names: str) -> Column:

@@ -8,7 +8,7 @@ from decimal import ROUND_HALF_UP, Decimal, getcontext
 
 from pyspark.sql import functions as F
 
-from farelens.functions.exact import cv_pct_rounded, lround, ratio_cmp, round_ratio, stddev_pop_rounded
+from farelens.functions.exact import cv_pct_rounded, lround, ratio_cmp, round_ratio, stddev_pop_rounded, sum_of_squares
 from farelens.functions.exact_sql import round_ratio_sql
 
 getcontext().prec = 60
@@ -93,3 +93,10 @@ def test_stddev_and_cv_match_decimal(spark):
         assert r["sd"] == sd, (r["g"], r["sd"], sd)
         assert (r["cv"] is None and cv is None) or r["cv"] == cv, (r["g"], r["cv"], cv)
     assert not math.isnan(0.0)
+
+
+def test_sum_of_squares_is_exact_for_any_money(spark):
+    values = [0, 1, -1, (1 << 20) - 1, 1 << 20, -(1 << 20) - 7, 2_345_678_901, -(10**12) + 1, 10**12 - 1, None]
+    got = spark.createDataFrame([(v,) for v in values], "x long").agg(sum_of_squares(F.col("x"))).first()[0]
+    assert int(got) == sum(v * v for v in values if v is not None)
+    assert spark.createDataFrame([], "x long").agg(sum_of_squares(F.col("x"))).first()[0] is None

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from farelens.operators.ntile import assign_tiles
+from farelens.operators.ntile import assign_tiles, tile_sums
 
 
 def _check(spark, rows, tiles, rows_per_task=2_000_000):
@@ -20,8 +23,6 @@ def _check(spark, rows, tiles, rows_per_task=2_000_000):
 
 
 def test_small_partitions_and_ties(spark):
-    from decimal import Decimal
-
     rng = random.Random(3)
     rows = []
     for p, n, distinct in [("a", 7, 7), ("b", 10, 3), ("c", 23, 5), ("d", 1, 1), ("e", 3, 1)]:
@@ -31,8 +32,6 @@ def test_small_partitions_and_ties(spark):
 
 
 def test_many_rows_heavy_ties(spark):
-    from decimal import Decimal
-
     rng = random.Random(5)
     rows = []
     for i in range(6000):
@@ -46,8 +45,6 @@ def test_many_rows_heavy_ties(spark):
 
 def test_hot_straddling_group_split_into_ranges(spark):
     """A fare shared by a third of the rows is ranked in many small ranges."""
-    from decimal import Decimal
-
     rng = random.Random(9)
     rows = []
     for i in range(3000):
@@ -55,3 +52,24 @@ def test_hot_straddling_group_split_into_ranges(spark):
         rows.append(("p", x, rng.randint(0, 10**6)))  # duplicate ids within the hot fare are fine
     rows = [(p, x, i * 1000 + k % 1000) for i, (p, x, k) in enumerate(rows)]
     _check(spark, rows, 10, rows_per_task=37)
+
+
+@pytest.mark.parametrize("rows_per_task", [5, 20, 2_000_000])
+def test_null_partition_order_and_tiebreak(spark, rows_per_task):
+    """NULLs sort first and no row is lost, however the ranges are cut."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        p = None if i % 5 == 0 else "pq"[i % 2]
+        x = None if i % 3 == 0 else Decimal(rng.randint(0, 3))
+        rows.append((p, x, None if i % 41 == 0 else i))
+    df = spark.createDataFrame(rows, "p string, x decimal(12,2), id long").withColumn("v", F.lit(1).cast("long"))
+    key = ["p", "x", "id"]
+    ref = df.select(*key, F.ntile(7).over(Window.partitionBy("p").orderBy("x", "id")).alias("t"))
+    ours = assign_tiles(df, 7, "p", "x", "id", "t", rows_per_task=rows_per_task).select(*key, "t")
+    assert Counter(map(tuple, ours.collect())) == Counter(map(tuple, ref.collect()))
+
+    sums = tile_sums(df, 7, "p", "x", "id", {"v": F.col("v")}, "t", rows_per_task=rows_per_task)
+    want = ref.groupBy("p", "t").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    got = sums.select("p", "t", "_rows", "x_min", "x_max")
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
