@@ -247,6 +247,7 @@ def _crc_of_cut(docs: DataFrame, cut: DataFrame, tokenizer: str, end_id: int) ->
     """The checksums of pieces whose bounds are known only after packing: their documents are encoded once more."""
     inner = ["start", "length", "doc_tokens", "sequence_id", "slot"]
     asked = cut.groupBy("doc_id", "dk").agg(F.collect_list(F.struct(*inner)).alias("parts"))  # parts of one document
+    asked = saved(asked, "cut")  # its size is then known when the join is planned: texts are shuffled only if it is large
     texts = id_and_text(docs)
     both = texts.join(asked, texts.doc_id.eqNullSafe(asked.doc_id) & (texts.dk == asked.dk)).select(texts.doc_id, texts.dk, "text", "parts")
     both = both.dropDuplicates(["doc_id", "dk"])  # after the join: only the texts that are cut are compared
