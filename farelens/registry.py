@@ -28,6 +28,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "p3b_airport_segment": ("orders", "airport_segment"),
     "p3c_borough_matrix": ("orders", "borough_matrix"),
     "p4_fare_decile_margin": ("orders", "fare_decile_margin"),
+    "p4_fare_decile_margin_events": ("events", "fare_decile_margin"),
     "w3_fare_decile_orders": ("orders", "fare_deciles_report"),
     "w3_fare_decile_events": ("events", "fare_deciles_report"),
     "p5a_price_decomposition": ("orders", "price_decomposition"),

@@ -710,6 +710,7 @@ ORACLE_SQL: dict[str, str] = {
     "p3b_airport_segment": p3b("orders"),
     "p3c_borough_matrix": p3c("orders"),
     "p4_fare_decile_margin": p4("orders"),
+    "p4_fare_decile_margin_events": p4("events"),
     "w3_fare_decile_orders": w3("orders"),
     "w3_fare_decile_events": w3("events"),
     "p5a_price_decomposition": p5a("orders"),
