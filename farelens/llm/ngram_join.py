@@ -217,7 +217,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def bucket(keys: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(keys, kind="stable")
         keys, docs = keys[order], docs[order]
-        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        same = keys[1:] == keys[:-1]
+        met = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        keys, docs = keys[met], docs[met]  # keys of one row meet nothing
+        order = np.lexsort((docs, keys))
+        keys, docs = keys[order], docs[order]
+        # Rows that repeat a document send its keys again: a group counts its documents once.
+        once = np.ones(len(keys), bool)
+        once[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+        keys, docs = keys[once], docs[once]
+        new = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
         size = np.diff(np.append(new, len(keys)))
         xs: list[np.ndarray] = []
         ys: list[np.ndarray] = []
@@ -228,7 +237,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ys.append(rows[:, j].reshape(-1))
         groups: dict[bytes, np.ndarray] = {}
         for a, n in zip(new[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            members = np.unique(docs[a : a + n])
+            members = docs[a : a + n]
             groups.setdefault(members.tobytes(), members)
             turn = mix(members.view(U) ^ mix(np.array([int(keys[a]) % CENTRES], U)))
             centre = members[int(turn.argmin())]
@@ -239,7 +248,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if on.any():
             pairs = np.unique(np.stack((x[on], y[on])), axis=1)
             yield pa.record_batch([pa.array([0], pa.int32()), [pairs[0].tobytes()], [pairs[1].tobytes()]], names=names)
-        kept = [g for g in groups.values() if len(g) > SMALL]
+        kept = list(groups.values())
         for k in range(0, len(kept), 256):
             part = kept[k : k + 256]
             yield pa.record_batch([pa.array([1] * len(part), pa.int32()), pa.array([_planes(g) for g in part], pa.binary()), pa.array([b""] * len(part), pa.binary())], names=names)

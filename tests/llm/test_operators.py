@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -315,6 +316,15 @@ def test_ngram_join(spark, docs, no_docs, monkeypatch, small):
     assert sorted(i for i in kept if i is not None) == sorted(i for i in ids if label[i] == i) and kept.count(None) == 2
 
 
+def test_ngram_join_repeated_rows():
+    """A key's group is as large as its documents are many, however often their rows repeat."""
+    docs = np.repeat(np.arange(10, 16), 2)
+    batch = {"bucket": [0], "keys": [ngram_join._planes(np.full(len(docs), 77, np.uint64))], "docs": [ngram_join._planes(docs)]}
+    met = [r for b in ngram_join._meet(iter([pa.record_batch(batch)])) for r in b.to_pylist()]
+    pairs = {p for r in met for p in zip(np.frombuffer(r["a"], np.int64).tolist(), np.frombuffer(r["b"], np.int64).tolist(), strict=True)}
+    assert [r["kind"] for r in met] == [0] and pairs == {(a, b) for a in range(10, 16) for b in range(a + 1, 16)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
