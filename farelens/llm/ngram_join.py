@@ -15,9 +15,10 @@ Block keys travel as packed binary columns to hash buckets, where they are
 sorted.  A small group of a key gives all its pairs; a large one gives each
 member's pair with a centre, and is kept.  Candidates whose one-bit parity
 sketches are near enough (same bound) are verified on whole sets.  Then every kept group whose members still lie in different components
-is searched again: its cross-component pairs pass the one-bit parity sketch
-(same bound) before they are verified, so no link that could join two
-components is lost, and none is emitted for members already joined.
+is searched again, a pair of slices at a time: its cross-component pairs pass
+the one-bit parity sketch (same bound) before they are verified, so no link
+that could join two components is lost, and none is emitted for members
+already joined.
 
 Equal sets are one class, told by a 128-bit hash of the set.
 
@@ -50,6 +51,8 @@ SMALL, CENTRES = 8, 4
 BUCKET_KEYS = 1_500_000
 #: Partners of one centre that one task verifies.
 PARTNERS = 400
+#: Members of a slice of an open group, about; a task compares two slices.
+SLICE = 1000
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -340,17 +343,21 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _across(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one group in different components whose parity sketches may be near enough."""
+    """Pairs of one slice pair in different components whose parity sketches may be near enough.
+
+    side 0: one slice, met with itself; 1 and 2: the two slices.
+    """
     rows = [r for b in batches for r in b.to_pylist()]
-    ids, n, comp = (np.array([r[c] for r in rows], np.int64) for c in ("rep", "n", "component"))
+    ids, n, comp, side = (np.array([r[c] for r in rows], np.int64) for c in ("rep", "n", "component", "side"))
     words = min(len(r["sketch"]) for r in rows) // 8
     sketch = np.stack([fold(np.frombuffer(r["sketch"], U), words) for r in rows])
     labels, of = np.unique(comp, return_inverse=True)
-    count = np.bincount(of)
+    # All but the largest component's members meet every other component.
+    turns = np.flatnonzero(side == 1) if side.any() else np.flatnonzero(of != np.bincount(of).argmax())
     xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in np.flatnonzero(of != count.argmax()):  # all but the largest component's members meet every other component
+    for k in turns:
         small, large = np.minimum(n, n[k]), np.maximum(n, n[k])
-        on = np.flatnonzero((of != of[k]) & (100 * small >= PERCENT * large))
+        on = np.flatnonzero((side != 1) & (of != of[k]) & (100 * small >= PERCENT * large))
         far = np.bitwise_count(sketch[on] ^ sketch[k]).sum(axis=1)
         on = on[far <= (n[on] + n[k]) * (100 - PERCENT) // (100 + PERCENT)]
         xs.append(np.minimum(ids[on], ids[k]))
@@ -358,6 +365,38 @@ def _across(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     yield pa.record_batch([np.concatenate(xs), np.concatenate(ys)], names=["x", "y"])
 
 
+def _band(n):
+    """Size band: sets that link lie in the same or in neighbouring bands."""
+    return F.floor(F.log(F.col(n)) / F.log(F.lit(100 / PERCENT))).cast("int")
+
+
+#: What names a slice pair: the group, then band and slice of one, and kind, band and slice of the other.
+_PAIR = ["gid", "band", "slice", "out_b", "band_b", "slice_b"]
+
+
+def slice_pairs(groups: DataFrame) -> DataFrame:
+    """groups (gid, rep, n, component): members dealt to the pairs of slices to compare, with their side of it.
+
+    A group's members outside its largest component meet each other and that component's, so slices are cut by kind
+    (out: outside), size band and hash, to about SLICE members; a group of no more than that is one slice.
+    """
+    by = groups.groupBy("gid", "component").agg(F.count("*").alias("c"))
+    open_ = by.groupBy("gid").agg(F.expr("max_by(component, struct(c, component))").alias("main"), F.sum("c").alias("total"), F.count("*").alias("k")).where("k > 1").drop("k")
+    whole = F.col("total") <= SLICE
+    members = groups.join(open_, "gid").select("gid", "rep", "n", "component", (whole | (F.col("component") != F.col("main"))).alias("out"), F.when(whole, 0).otherwise(_band("n")).alias("band"))
+    cells = members.groupBy("gid", "out", "band").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("parts"))
+    members = saved(members.join(cells, ["gid", "out", "band"]).withColumn("slice", F.expr("int(pmod(xxhash64(rep), parts))")).drop("parts"), "slices")
+    until = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    other = cells.select("gid", F.col("out").alias("out_b"), F.col("band").alias("band_b"), F.col("parts").alias("parts_b"))
+    pairs = cells.where("out").join(other, "gid").where("abs(band - band_b) <= 1 and (not out_b or band <= band_b)")
+    pairs = pairs.withColumn("slice", until("parts")).withColumn("slice_b", until("parts_b")).where("not out_b or band < band_b or slice <= slice_b").select(_PAIR)
+    alone = F.col("out_b") & (F.col("band") == F.col("band_b")) & (F.col("slice") == F.col("slice_b"))
+    one = members.where("out").drop("out").join(pairs, ["gid", "band", "slice"]).withColumn("side", F.when(alone, 0).otherwise(1))
+    two = members.select("gid", "rep", "n", "component", *(F.col(c).alias(f"{c}_b") for c in ("out", "band", "slice")))
+    two = two.join(pairs.where(~alone), ["gid", "out_b", "band_b", "slice_b"]).withColumn("side", F.lit(2))
+    return one.unionByName(two)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -384,9 +423,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     pairs = met.where("kind = 0").mapInArrow(_pair_rows, "x long, y long").distinct()
     weak = met.where("kind = 2").mapInArrow(lambda it: (pa.record_batch([_from_planes(d.as_py()).view(np.int64)], names=["x"]) for b in it for d in b.column("a")), "x long")
-    band = lambda n: F.floor(F.log(F.col(n)) / F.log(F.lit(100 / PERCENT))).cast("int")
-    weak = weak.distinct().join(rep.select(F.col("doc_id").alias("x"), "n"), "x").select("x", F.explode(F.sequence(band("n") - 2, band("n") + 2)).alias("band"))
-    sized = to_class.where("doc_id = rep").select(F.col("rep").alias("y"), band("n").alias("band"))
+    weak = weak.distinct().join(rep.select(F.col("doc_id").alias("x"), "n"), "x").select("x", F.explode(F.sequence(_band("n") - 2, _band("n") + 2)).alias("band"))
+    sized = to_class.where("doc_id = rep").select(F.col("rep").alias("y"), _band("n").alias("band"))
     pairs = pairs.unionByName(weak.join(sized, "band").where("x != y").select("x", "y"))
     sketches = to_class.where("doc_id = rep").select("rep", "n", "sketch")
     near = by_class(pairs)
@@ -398,9 +436,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     groups = met.where("kind = 1").mapInArrow(_group_rows, "gid long, doc_id long").join(rep, "doc_id").select("gid", "rep", "n").distinct()
     groups = saved(groups.join(labels, "rep", "left").select("gid", "rep", "n", F.coalesce("component", "rep").alias("component")), "groups")
-    open_ = groups.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("gid")
-    asked = groups.join(open_, "gid").join(sketches.select("rep", "sketch"), "rep")
-    more = saved(asked.groupBy("gid").applyInArrow(_across, "x long, y long").distinct(), "pairs-across")
+    asked = slice_pairs(groups).join(sketches.select("rep", "sketch"), "rep")
+    more = saved(asked.groupBy(_PAIR).applyInArrow(_across, "x long, y long").distinct(), "pairs-across")
     if not more.isEmpty():
         links = links.unionByName(verify(rows, more))
         labels = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "rep")

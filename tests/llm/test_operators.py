@@ -325,6 +325,33 @@ def test_ngram_join_repeated_rows():
     assert [r["kind"] for r in met] == [0] and pairs == {(a, b) for a in range(10, 16) for b in range(a + 1, 16)}
 
 
+@pytest.mark.parametrize("size", [6, 1000])
+def test_ngram_join_slices(spark, monkeypatch, size):
+    """An open group is compared in slices, and every pair that links across its components is among those compared."""
+    monkeypatch.setattr(ngram_join, "SLICE", size)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 60, np.uint64)
+    sets, comp = {}, {}
+    for i in range(90):
+        own = rng.integers(0, 2**63, int(rng.integers(0, 14)) if i % 3 else 60, np.uint64)
+        sets[i] = np.unique(np.concatenate((base[: rng.integers(30, 61)], own)))
+        comp[i] = 0 if i % 4 == 0 else i
+    rows = [(g, i, len(s), comp[i]) for g, upto in ((7, 90), (8, 5)) for i, s in sets.items() if i < upto] + [(9, i, len(sets[i]), 0) for i in range(0, 90, 4)]
+    dealt = ngram_join.slice_pairs(spark.createDataFrame(rows, "gid long, rep long, n long, component long"))
+    tasks = {}
+    for r in dealt.collect():
+        tasks.setdefault(tuple(r[c] for c in ngram_join._PAIR), []).append(r.asDict() | {"sketch": ngram_join.parity(sets[r.rep]).tobytes()})
+    assert {k[0] for k in tasks} == {7, 8} and (len(tasks) == 2 if size > 90 else max(map(len, tasks.values())) < 40)
+    found = []
+    for key, members in tasks.items():
+        batch = pa.Table.from_pylist(members).combine_chunks().to_batches()
+        got = [(x, y) for b in ngram_join._across(key, iter(batch)) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+        found += [(x, y) for x, y in got if key[0] == 7]
+    common = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    links = {(a, b) for a in sets for b in sets if a < b and comp[a] != comp[b] and 100 * common(a, b) >= 80 * (len(sets[a]) + len(sets[b]) - common(a, b))}
+    assert len(links) > 100 and links <= set(found) and all(comp[a] != comp[b] for a, b in found)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
