@@ -70,6 +70,8 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        #: Contents that the library finds in the raw text, before it folds case.
+        self.raw = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
@@ -90,9 +92,12 @@ class WordEncoder:
         fresh, self.words.fresh = self.words.fresh, []
         part, flat, sizes = self.parts, [], []
         for w in fresh:
-            base = w.rstrip(_MARKS)
-            if len(base) == len(w) or not base.isalpha():
-                flat.append(part[w.lower() if w.isascii() else w])
+            base, low = w.rstrip(_MARKS), w.lower()
+            if any(s in low for s in self.raw):  # such a chunk is the library's as it stands
+                flat.append(part[w])
+                sizes.append(1)
+            elif len(base) == len(w) or not base.isalpha():
+                flat.append(part[low if w.isascii() else w])
                 sizes.append(1)
             else:
                 flat += (part[base.lower() if base.isascii() else base], part[w[len(base) :]])

@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 from farelens.llm import ann, bpe, language, ngram_join, packing, secrets, substring_dedup, suffix_dedup, token_files, vector_dedup
 from farelens.llm._graph import components
 from farelens.llm._store import new_path
+from farelens.llm._words import WordEncoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, runs string, gram long, blob string"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -152,6 +153,13 @@ def test_token_files(spark, docs, pairs, no_docs):
     assert token_files.read_tokens(spark, path).count() == 0
 
 
+def test_encoder_special_tokens_by_case():
+    """A special token counts only as the file spells it; other spellings are plain text."""
+    texts = ["<|ENDOFTEXT|>", "a <|EndOfText|>b, x<|endoftext|>, Hello <|STARTOFTEXT|>!! <|endoftext|>", "<|ENDOFTEXT|>"]
+    flat, lens = WordEncoder(WORD_BPE).encode(texts, 2)
+    assert flat.tolist() == np.concatenate([_ids(t, 2) for t in texts]).tolist() and lens.tolist() == [len(_ids(t, 2)) for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 4000])
 def test_patched_blocks_round_trip(n):
     rng = np.random.default_rng(n)
