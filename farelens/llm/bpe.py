@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._batches import slices, text_buffer
-from ._store import documents, new_path
+from ._store import documents, new_path, saved
 
 #: Words in the lexicon at most, and the longest that enters it (bytes).
 LEXICON_WORDS = 60_000
@@ -305,9 +305,6 @@ class Encoder:
 
     def __init__(self, tokenizer: str, lexicon: str):
         self.merges, self.lexicon = Merges(tokenizer), Lexicon(lexicon)
-        lens = np.fromiter(map(len, self.merges.token_bytes), np.int64)
-        self.token_size, self.token_start = lens, np.cumsum(lens) - lens
-        self.token_data = np.frombuffer(b"".join(self.merges.token_bytes), np.uint8)
         self._special = re.compile("|".join(map(re.escape, self.merges.specials))) if self.merges.specials else None
         self.clear()
 
@@ -390,6 +387,16 @@ class Encoder:
         flat = ids[np.repeat(start[at] - upto[:-1], n) + np.arange(upto[-1])]
         return flat, np.diff(upto[np.array(bounds)])
 
+
+class Decoder:
+    """Texts of ids, by the tokens' bytes."""
+
+    def __init__(self, tokenizer: str):
+        tokens = Merges(tokenizer).token_bytes
+        self.token_size = np.fromiter(map(len, tokens), np.int64)
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.token_data = np.frombuffer(b"".join(tokens), np.uint8)
+
     def decode(self, ids: np.ndarray, lens: np.ndarray) -> list[str]:
         """Texts of consecutive runs of ids: the tokens' bytes joined, read as UTF-8."""
         n = self.token_size[ids]
@@ -401,12 +408,12 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
+_DECODERS: dict[str, Decoder] = {}
 
 
-def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def encode_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, ids."""
     name = _share(docs.sparkSession, build_lexicon(frequent_chunks(docs), Merges(tokenizer)))
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (tokenizer, name)
@@ -418,15 +425,48 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
             offsets, _ = text_buffer(b.column("text"))
             for i, j in slices(offsets):
                 ids, lens = enc.encode(b.column("text").slice(i, j - i).fill_null("").to_pylist())
-                texts = enc.decode(ids, lens)
-                view, ends = memoryview(ids.astype("<u4")).cast("B"), np.cumsum(lens).tolist()
-                digest = [hashlib.sha256(view[4 * a : 4 * z]).hexdigest() for a, z in zip([0, *ends], ends, strict=False)]
-                back = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts]
-                cols = [b.column("doc_id").slice(i, j - i), pa.array(lens, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
-                yield pa.record_batch(cols, names=names)
+                upto = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
+                yield pa.record_batch([b.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(upto, pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def _decode(tokenizer: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ENCODERS.clear()  # encoding is over: its caches would only take room beside the texts
+        if tokenizer not in _DECODERS:
+            _DECODERS[tokenizer] = Decoder(tokenizer)
+        for b in batches:
+            ids = b.column("ids")
+            lens = np.diff(ids.offsets.to_numpy())
+            texts = _DECODERS[tokenizer].decode(ids.flatten().to_numpy(), lens)
+            yield pa.record_batch([b.column("doc_id"), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+
+    return run
+
+
+def _digests(decoded: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in decoded:
+        ids = b.column("ids")
+        lens = np.diff(ids.offsets.to_numpy())
+        view, ends = memoryview(ids.flatten().to_numpy().astype("<u4")).cast("B"), np.cumsum(lens).tolist()
+        digest = [hashlib.sha256(view[4 * a : 4 * z]).hexdigest() for a, z in zip([0, *ends], ends, strict=False)]
+        back = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in b.column("text").to_pylist()]
+        cols = [b.column("doc_id"), pa.array(lens, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
+        yield pa.record_batch(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def decode_ids(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """Per row of rows (doc_id, ids): doc_id, ids, text."""
+    return rows.select("doc_id", "ids").mapInArrow(_decode(tokenizer), "doc_id long, ids array<int>, text string")
+
+
+def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256, of the written ids and the texts they decode to."""
+    decode = _decode(tokenizer)
+    rows = saved(encode_ids(docs, tokenizer), "ids")  # one Python worker decodes and digests
+    return rows.mapInArrow(lambda it: _digests(decode(it)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,16 @@ def test_bpe(docs, pairs, no_docs):
     assert bpe.encode_documents(no_docs, BYTE_BPE).count() == 0
 
 
+def test_bpe_outputs(docs, pairs):
+    """The ids and the texts they decode to are rows of their own."""
+    tok = Tokenizer.from_file(BYTE_BPE)
+    ids = {(i, t): tok.encode(t, add_special_tokens=False).ids for i, t in pairs}
+    rows = bpe.encode_ids(docs, BYTE_BPE)
+    _same(rows.selectExpr("doc_id", "concat_ws(',', ids)"), [(i, ",".join(map(str, ids[i, t]))) for i, t in pairs])
+    back = bpe.decode_ids(rows, BYTE_BPE).select("doc_id", "text")
+    _same(back, [(i, tok.decode(ids[i, t], skip_special_tokens=False)) for i, t in pairs])
+
+
 def test_lexicon_is_minimal_and_numbered(tmp_path):
     words = sorted({b"tap", b"taps", b"top", b"tops", b"s", b"ps"})
     sizes, ids = np.ones(len(words), np.int64), np.arange(len(words))
