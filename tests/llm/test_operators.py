@@ -246,6 +246,15 @@ def test_bpe_outputs(docs, pairs):
     _same(back, [(i, tok.decode(ids[i, t], skip_special_tokens=False)) for i, t in pairs])
 
 
+def test_frequent_chunks_of_a_large_corpus(spark):
+    """The lexicon stays full where more chunks than it holds are very frequent."""
+    growing = [(f"g{k} " * int(5000 * 1.2**k),) for k in range(12)]
+    assert bpe.frequent_chunks(spark.createDataFrame(growing, "text string"), 5) == sorted(f"g{k}" for k in range(7, 12))
+    equal = spark.createDataFrame([(" ".join(f"e{k}" for k in range(100)),)] * 4200, "text string")
+    assert 25 <= len(bpe.frequent_chunks(equal, 50)) <= 50
+    assert len(bpe.frequent_chunks(equal, 100)) == 100
+
+
 def test_lexicon_is_minimal_and_numbered(tmp_path):
     words = sorted({b"tap", b"taps", b"top", b"tops", b"s", b"ps"})
     sizes, ids = np.ones(len(words), np.int64), np.arange(len(words))
