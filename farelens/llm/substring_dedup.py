@@ -153,14 +153,15 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     return _anchors.repeats(rows, find_segments(WINDOW, GRAM), _cut, _sort_windows, _to_buckets, "words")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text): doc_id, n_words, n_removed, kept_text, spans of removed words."""
+def strip_repeats(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text): doc_id, n_words, kept_text (words joined by one space), removed (spans of words, start to stop)."""
     rows = id_and_text(docs)
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    names = ["doc_id", "n_words", "kept_text", "removed"]
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, n_removed, digest = [], [], []
+            n_words, texts, removed = [], [], []
             for text, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
                 words = _split_words((text or "").encode())
                 gone = _anchors.covered(runs, WINDOW, len(words))
@@ -170,13 +171,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     at = z
                 kept += words[at:]
                 n_words.append(len(words))
-                n_removed.append(len(words) - len(kept))
-                digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            cols = [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
+                texts.append(b" ".join(kept).decode())
+                removed.append([{"start": a, "stop": z} for a, z in gone])
+            cols = [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(texts, pa.string()), pa.array(removed, spans)]
             yield pa.record_batch(cols, names=names)
 
     both = _anchors.runs_by_document(rows, repeated_windows(rows)).select("doc_id", "text", "runs")
-    return both.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return both.mapInArrow(finish, "doc_id long, n_words long, kept_text string, removed array<struct<start:long,stop:long>>")
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, of the kept texts and removed spans."""
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
+    return strip_repeats(docs).select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

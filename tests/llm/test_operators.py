@@ -122,6 +122,16 @@ def test_substring_dedup(docs, pairs, no_docs, monkeypatch, part):
     assert substring_dedup.remove_repeats(no_docs).count() == 0
 
 
+def test_substring_dedup_outputs(docs, pairs):
+    """The kept text and the removed spans are rows of their own."""
+    units, out = [tuple(WORDS.findall(t)) for _, t in pairs], []
+    for (i, _), u, gone in zip(pairs, units, _covered(units, 35), strict=True):
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(int), [0])))).tolist()
+        out.append((i, " ".join(w for w, g in zip(u, gone, strict=True) if not g), str(list(zip(edge[::2], edge[1::2], strict=True)))))
+    rows = substring_dedup.strip_repeats(docs).collect()
+    assert sorted(((r.doc_id, r.kept_text, str([(s.start, s.stop) for s in r.removed])) for r in rows), key=_key) == sorted(out, key=_key)
+
+
 def test_language(spark, no_docs):
     rng = random.Random(3)
     sound = {"de": "sch ung ein lich".split(), "fr": "eau oi tre ment".split()}
