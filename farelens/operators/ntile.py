@@ -5,30 +5,25 @@ every row of a partition value to one task; with a handful of platforms
 that is a handful of tasks for the whole trip table.  This operator gives
 the same tiles without that:
 
-1. Histogram of (p, x): a partial + final aggregation whose size is the
-   number of distinct x values, not rows.
-2. Exact start rank of every (p, x) group by prefix sums over the
+1. The input is evaluated once: the columns needed, with a row number, are
+   written to the shared folder, and every later step reads that table.
+2. Histogram of (p, x) with the sums asked for: a partial + final
+   aggregation whose size is the number of distinct x values, not rows.
+3. Exact start rank of every (p, x) group by prefix sums over the
    histogram, in two levels (whole units of x, then x within a unit), so
    no window holds more than one unit's distinct values or the unit list.
-3. The n-1 tile boundaries per p are ranks ``k*q + min(k, m)``
-   (q = rows div n, m = rows mod n).  Each falls in exactly one (p, x)
-   group; a broadcast of those (n-1) x |p| boundary rows finds it.
-4. A row's tile is 1 + the number of boundaries it lies past.  The
-   boundary cells are collected (a proven-small summary) and become a
-   literal expression; for x not equal to a straddled value the tile
-   depends on x alone, a projection.  Only
-   rows whose x value straddles a boundary (at most n-1 values per p) are
-   ranked inside their x group by the tie-break key (selected by a
-   literal IN list, pushed to the scan).
-5. A straddling group may itself be huge (one fare shared by a third of
-   all trips).  It is cut into ranges of the tie-break key's leading
-   numeric field, as many as its row count / ``rows_per_task``; exact
-   counts per range give each range's offset, so every range is ranked by
-   its own task.  Balance depends on how evenly that field spreads, the
-   result never does.
-
-Every other row never leaves its partition except through the small
-aggregates.
+4. The tile of a rank is plain arithmetic on the rank and the size of p,
+   so a group whose first and last rank share a tile is done.
+5. The other groups straddle a boundary, at most tiles - 1 per p.  Their
+   rows are cut into ranges at sampled quantiles of the whole key (p, x,
+   tie-break, row number), as many as their rows / ``rows_per_task``.  The
+   row number makes every key unique, so outliers, ties or NULLs in the
+   tie-break cannot unbalance the ranges, and one fare shared by a third
+   of all trips is ranked by many tasks.  Exact counts per range give each
+   range's offset.
+
+Nothing is collected; the boundaries are a table of one row per p, which
+is broadcast only when its counted rows are within ``BROADCAST_ROWS``.
 """
 
 from __future__ import annotations
@@ -37,7 +32,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from farelens.sources.scratch import saved
+
+#: Partition values whose boundaries are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 10_000
 
 
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -53,9 +52,8 @@ def _prefix_before(count: Column, window: Window) -> Column:
     )
 
 
-def group_ranks(df: DataFrame, partition: str, order: str, extra: Sequence[Column] = ()) -> DataFrame:
-    """(p, x) -> cnt, start rank (1-based), the partition size n, and ``extra`` aggregates."""
-    hist = df.groupBy(partition, order).agg(F.count(F.lit(1)).alias("_cnt"), *extra)
+def group_ranks(hist: DataFrame, partition: str, order: str) -> DataFrame:
+    """``hist`` (p, x, _cnt, ...) plus the 1-based ``_start`` rank of each group and the size ``_n`` of p."""
     hist = hist.withColumn("_unit", F.floor(F.col(order)))
     units = hist.groupBy(partition, "_unit").agg(F.sum("_cnt").alias("_ucnt"))
     u_win = Window.partitionBy(partition).orderBy("_unit")
@@ -66,138 +64,107 @@ def group_ranks(df: DataFrame, partition: str, order: str, extra: Sequence[Colum
         F.sum("_ucnt").over(Window.partitionBy(partition)).alias("_n"),
     )
     x_win = Window.partitionBy(partition, "_unit").orderBy(order)
-    hist = hist.select("*", _prefix_before(F.col("_cnt"), x_win).alias("_before_x"))
+    hist = hist.withColumn("_before_x", _prefix_before(F.col("_cnt"), x_win))
     ranked = _join(hist, units, [partition, "_unit"])
-    extra_names = [c for c in hist.columns if c not in (partition, order, "_cnt", "_unit", "_before_x")]
-    return ranked.select(
-        partition,
-        order,
-        "_cnt",
-        (F.col("_before_unit") + F.col("_before_x") + 1).alias("_start"),
-        "_n",
-        *extra_names,
-    )
+    return ranked.withColumn("_start", F.col("_before_unit") + F.col("_before_x") + 1).drop("_unit", "_before_unit", "_before_x")
 
 
-def tile_boundaries(ranks: DataFrame, partition: str, order: str, tiles: int) -> DataFrame:
-    """One row per p: array of (x, j, cnt) for boundaries k = 1..tiles-1.
+def tile_of(rank: Column, n: Column, tiles: int) -> Column:
+    """NTILE's tile of a 1-based rank among n rows: the first n mod tiles tiles hold one row more."""
+    t = F.lit(tiles).cast("long")
+    size, more = F.call_function("div", n, t), n % t
+    large = more * (size + 1)
+    first = F.call_function("div", rank - 1, size + 1)
+    rest = more + F.call_function("div", rank - 1 - large, F.nullif(size, F.lit(0)))
+    return (F.when(rank <= large, first).otherwise(rest) + 1).cast("int")
 
-    Boundary k is the last rank of tile k; it sits at position j of the
-    group x (which has cnt rows).  A row is past boundary k when its x is
-    greater, or equal with in-group position greater than j.
-    """
-    sizes = ranks.select(partition, "_n").distinct()
-    n, k = F.col("_n"), F.col("_k")
-    q, m = F.floor(n / tiles).cast("long"), (n % tiles).cast("long")
-    bounds = sizes.select(partition, n, F.explode(F.sequence(F.lit(1), F.lit(tiles - 1))).alias("_k")).select(
-        partition, "_k", (k * q + F.least(k, m)).alias("_b")
-    )
-    # (tiles - 1) rows per partition value: a proven bound, broadcast.
-    hit = ranks.join(
-        F.broadcast(bounds.withColumnRenamed(partition, "_bp")),
-        F.col(partition).eqNullSafe(F.col("_bp"))
-        & (F.col("_b") >= F.col("_start"))
-        & (F.col("_b") < F.col("_start") + F.col("_cnt")),
-    )
-    cell = F.struct(
-        F.col("_k").alias("k"),
-        F.col(order).alias("x"),
-        (F.col("_b") - F.col("_start") + 1).alias("j"),
-        F.col("_cnt").alias("cnt"),
-    )
-    return hit.groupBy(partition).agg(F.array_sort(F.collect_list(cell)).alias("_bounds"))
 
+def _last_rank(tiles: int, k: int) -> Column:
+    """The last rank of tile k among ``_n`` rows."""
+    size, more = F.call_function("div", F.col("_n"), F.lit(tiles).cast("long")), F.col("_n") % tiles
+    return size * k + F.least(F.lit(k).cast("long"), more)
 
-def _leading_field(df: DataFrame, tiebreak: Sequence[str]) -> Column:
-    """The first numeric field of the tie-break key (a column or a struct)."""
-    first = tiebreak[0]
-    dtype = df.schema[first].dataType
-    col = F.col(first)
-    while isinstance(dtype, T.StructType):
-        field = dtype.fields[0]
-        col, dtype = col.getField(field.name), field.dataType
-    if isinstance(dtype, T.TimestampNTZType):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    return col.cast("double")
 
+def tile_bounds(ranks: DataFrame, partition: str, order: str, tiles: int) -> DataFrame:
+    """One row per p: for boundary k its group's x (``_x{k}``), the boundary's position in that group
+    (``_j{k}``) and whether the group goes on behind it (``_s{k}``)."""
+    aggs = []
+    for k in range(1, tiles):
+        end = _last_rank(tiles, k)
+        here = (end >= F.col("_start")) & (end < F.col("_start") + F.col("_cnt"))
+        at = end - F.col("_start") + 1
+        aggs += [
+            F.max(F.when(here, F.col(order))).alias(f"_x{k}"),
+            F.max(F.when(here, at)).alias(f"_j{k}"),
+            F.max(F.when(here, at < F.col("_cnt"))).alias(f"_s{k}"),
+        ]
+    return ranks.groupBy(partition).agg(*aggs)
 
-def rank_in_groups(rows: DataFrame, partition: str, order: str, tiebreak: Sequence[str], rows_per_task: int) -> DataFrame:
-    """1-based position of each row inside its (partition, order) group by ``tiebreak``.
-
-    Groups are split into ranges of the leading tie-break field so that no
-    task ranks more than about ``rows_per_task`` rows of one group.
-    """
-    lead = _leading_field(rows, tiebreak)
-    rows = rows.withColumn("_lead", lead)
-    stats = rows.groupBy(partition, order).agg(
-        F.min("_lead").alias("_lo"), F.max("_lead").alias("_hi"), F.count(F.lit(1)).alias("_gcnt")
-    )
-    # One row per straddling group: at most (tiles - 1) per partition value.
-    rows = _join(rows, F.broadcast(stats), [partition, order])
-    ranges = F.greatest(F.lit(1), F.ceil(F.col("_gcnt") / F.lit(rows_per_task)))
-    span = F.col("_hi") - F.col("_lo") + F.lit(1.0)
-    # Monotone in the leading field, so ranges keep the tie-break order; NULL sorts first and has the range before all.
-    cut = F.least(ranges - 1, F.floor((F.col("_lead") - F.col("_lo")) * ranges / span)).cast("long")
-    rows = rows.withColumn("_range", F.when(F.col("_lead").isNull(), -1).otherwise(cut))
-    sizes = rows.groupBy(partition, order, "_range").agg(F.count(F.lit(1)).alias("_rcnt"))
-    sizes = sizes.select(
-        partition,
-        order,
-        "_range",
-        _prefix_before(F.col("_rcnt"), Window.partitionBy(partition, order).orderBy("_range")).alias("_roff"),
-    )
-    rows = _join(rows, sizes, [partition, order, "_range"])
-    pos = F.row_number().over(Window.partitionBy(partition, order, "_range").orderBy(*tiebreak)) + F.col("_roff")
-    return rows.withColumn("_pos", pos).drop("_lead", "_lo", "_hi", "_gcnt", "_range", "_roff")
 
+def _with_bounds(df: DataFrame, bounds: DataFrame, partition: str, n_bounds: int) -> DataFrame:
+    return _join(df, F.broadcast(bounds) if n_bounds <= BROADCAST_ROWS else bounds, [partition])
 
-def collect_boundaries(ranks: DataFrame, partition: str, order: str, tiles: int) -> dict:
-    """partition value -> [(x, j, cnt)] for k = 1..tiles-1, on the driver.
 
-    At most (tiles - 1) cells per partition value, and partition values are
-    bounded by the caller (platforms of the platform map): a proven-small
-    summary, like the sampled bounds of a range partitioner.  Tiles then
-    become a literal expression and the straddled x values a literal IN
-    list that reaches the scan.
-    """
-    out = {}
-    for row in tile_boundaries(ranks, partition, order, tiles).collect():
-        out[row[partition]] = [(c["x"], c["j"], c["cnt"]) for c in row["_bounds"]]
-    return out
+def _past(x: Column, k: int) -> Column:
+    """x lies past boundary k by its value alone; NULL sorts first."""
+    bound = F.col(f"_x{k}")
+    return x.isNotNull() & (bound.isNull() | F.coalesce(x > bound, F.lit(False)))
 
 
-def _is(col: Column, value) -> Column:
-    return col.isNull() if value is None else col == F.lit(value)
+def _straddles(x: Column, tiles: int) -> Column:
+    """x is a value that goes on behind one of its partition value's boundaries."""
+    out = F.lit(False)
+    for k in range(1, tiles):
+        out = out | (F.col(f"_s{k}") & x.eqNullSafe(F.col(f"_x{k}")))
+    return out
 
 
-def _tile_expr(x: Column, pos: Column, part: Column, bounds: dict) -> Column:
-    """1 + boundaries passed, per partition value; ``pos`` matters only on a straddled x."""
-    expr = None
-    for p, cells in bounds.items():
-        tile = F.lit(1)
-        for bx, j, _ in cells:
-            past = x.isNotNull() if bx is None else x > F.lit(bx)  # NULL sorts first
-            tile = tile + F.when(past | (_is(x, bx) & (pos > F.lit(j))), 1).otherwise(0)
-        expr = F.when(_is(part, p), tile) if expr is None else expr.when(_is(part, p), tile)
-    return (expr if expr is not None else F.lit(None)).cast("int")
+def _tile_by_bounds(x: Column, pos: Column | None, tiles: int) -> Column:
+    """1 + the boundaries a row lies past; ``pos`` is its position among the rows of its x, where that matters."""
+    out = F.lit(1)
+    for k in range(1, tiles):
+        past = _past(x, k)
+        if pos is not None:
+            past = past | (x.eqNullSafe(F.col(f"_x{k}")) & (pos > F.col(f"_j{k}")))
+        out = out + F.when(past, 1).otherwise(0)
+    return out.cast("int")
 
 
-def _straddled(x: Column, part: Column, bounds: dict) -> Column:
-    """Rows whose x value straddles a boundary of their partition value."""
-    pred = F.lit(False)
-    for p, cells in bounds.items():
-        values = {bx for bx, j, cnt in cells if j < cnt}
-        known = sorted(values - {None})
-        if known:
-            pred = pred | (_is(part, p) & x.isin(*[F.lit(v) for v in known]))
-        if None in values:
-            pred = pred | (_is(part, p) & x.isNull())
-    return pred
+def cut_ranges(rows: DataFrame, key: Sequence[str], n_rows: int, rows_per_task: int) -> DataFrame:
+    """``rows`` plus ``_range``, written: consecutive ranges of ``key`` (unique per row) at sampled quantiles."""
+    # A fifth more ranges than the target needs keeps the largest, sampled as they are, well under twice the target.
+    n = max(1, -(-n_rows * 6 // (5 * rows_per_task)))
+    if n == 1:
+        return saved(rows.withColumn("_range", F.lit(0)), "ntile-ranges")
+    return saved(rows.repartitionByRange(n, *key).withColumn("_range", F.spark_partition_id()), "ntile-ranges")
 
 
-def _not(pred: Column) -> Column:
-    """Rows for which ``pred`` does not hold, NULL included."""
-    return ~F.coalesce(pred, F.lit(False))
+def rank_in_groups(
+    rows: DataFrame, partition: str, order: str, tiebreak: Sequence[str], n_rows: int, rows_per_task: int
+) -> DataFrame:
+    """1-based position ``_pos`` of each row inside its (partition, order) group by ``tiebreak`` and ``_row``."""
+    group = [partition, order]
+    ranged = cut_ranges(rows, [*group, *tiebreak, "_row"], n_rows, rows_per_task)
+    sizes = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_rcnt"))
+    before = _prefix_before(F.col("_rcnt"), Window.partitionBy(*group).orderBy("_range")).alias("_before")
+    placed = _join(ranged, sizes.select(*group, "_range", before), [*group, "_range"])
+    pos = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*tiebreak, "_row")) + F.col("_before")
+    return placed.withColumn("_pos", pos).drop("_before", "_range")
+
+
+def _prepare(
+    df: DataFrame, partition: str, order: str, tiles: int, sums: dict[str, Column]
+) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """(rows written once, group ranks, boundaries, partition values, rows of straddling groups)."""
+    rows = saved(df.withColumn("_row", F.monotonically_increasing_id()), "ntile-rows")
+    hist = rows.groupBy(partition, order).agg(F.count(F.lit(1)).alias("_cnt"), *[F.sum(e).alias(n) for n, e in sums.items()])
+    ranks = group_ranks(saved(hist, "ntile-histogram"), partition, order)
+    ranks = ranks.withColumn("_tile", tile_of(F.col("_start"), F.col("_n"), tiles))
+    last = tile_of(F.col("_start") + F.col("_cnt") - 1, F.col("_n"), tiles)
+    ranks = saved(ranks.withColumn("_split", F.col("_tile") != last), "ntile-ranks")
+    bounds = saved(tile_bounds(ranks, partition, order, tiles), "ntile-bounds")
+    n_split = ranks.where("_split").agg(F.coalesce(F.sum("_cnt"), F.lit(0))).first()[0]
+    return rows, ranks, bounds, bounds.count(), n_split
 
 
 def assign_tiles(
@@ -209,15 +176,15 @@ def assign_tiles(
     out: str,
     rows_per_task: int = 2_000_000,
 ) -> DataFrame:
-    """``df`` plus ``out`` = NTILE(tiles) over (partition, order by order, tiebreak)."""
+    """``df`` plus ``out`` = NTILE(tiles) over (partition, order by order, tiebreak); df is evaluated once, by this call."""
     tb = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
-    bounds = collect_boundaries(group_ranks(df, partition, order), partition, order, tiles)
-    x, part = F.col(order), F.col(partition)
-    split = _straddled(x, part, bounds)
-    inside = rank_in_groups(df.where(split), partition, order, tb, rows_per_task)
-    outside = df.where(_not(split)).withColumn("_pos", F.lit(None).cast("long"))
-    both = inside.unionByName(outside)
-    return both.withColumn(out, _tile_expr(x, F.col("_pos"), part, bounds)).drop("_pos")
+    rows, _, bounds, n_bounds, n_split = _prepare(df, partition, order, tiles, {})
+    x = F.col(order)
+    placed = _with_bounds(rows, bounds, partition, n_bounds)
+    outside = placed.where(~_straddles(x, tiles)).select(*df.columns, _tile_by_bounds(x, None, tiles).alias(out))
+    inside = rank_in_groups(placed.where(_straddles(x, tiles)).select(rows.columns), partition, order, tb, n_split, rows_per_task)
+    inside = _with_bounds(inside, bounds, partition, n_bounds)
+    return outside.unionByName(inside.select(*df.columns, _tile_by_bounds(x, F.col("_pos"), tiles).alias(out)))
 
 
 def tile_sums(
@@ -233,32 +200,22 @@ def tile_sums(
     """Per (partition, tile): row count ``_rows``, min/max of ``order`` and SUM of each ``sums`` expression.
 
     Same tiles as ``assign_tiles`` without tiling every row: the (p, x)
-    histogram pass also carries the sums (partial aggregation, one shuffle
-    of distinct-x size), whole groups take their tile from x alone, and
-    only rows of straddled x values (at most tiles - 1 per p, selected by a
-    literal IN list) are ranked and summed row by row.
+    histogram carries the sums, whole groups take their tile from their
+    first rank, and only rows of straddled x values are ranked and summed
+    row by row.  df is evaluated once, by this call.
     """
     tb = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
-    names = list(sums)
-    ranks = group_ranks(df, partition, order, [F.sum(e).alias(n) for n, e in sums.items()])
-    bounds = collect_boundaries(ranks, partition, order, tiles)
-    x, part = F.col(order), F.col(partition)
-    split = _straddled(x, part, bounds)
-
-    whole = ranks.where(_not(split)).select(
-        partition,
-        _tile_expr(x, F.lit(None).cast("long"), part, bounds).alias(out),
-        F.col("_cnt").alias("_rows"),
-        x.alias("_min"),
-        x.alias("_max"),
-        *names,
+    names, x = list(sums), F.col(order)
+    keep = list(dict.fromkeys([partition, order, *tb]))
+    narrow = df.select(*keep, *[e.alias(n) for n, e in sums.items()])
+    rows, ranks, bounds, n_bounds, n_split = _prepare(narrow, partition, order, tiles, {n: F.col(n) for n in names})
+    whole = ranks.where("NOT _split").select(
+        partition, F.col("_tile").alias(out), F.col("_cnt").alias("_rows"), x.alias("_min"), x.alias("_max"), *names
     )
-    rows = rank_in_groups(df.where(split), partition, order, tb, rows_per_task)
-    pieces = rows.groupBy(partition, _tile_expr(x, F.col("_pos"), part, bounds).alias(out)).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.min(x).alias("_min"),
-        F.max(x).alias("_max"),
-        *[F.sum(e).alias(n) for n, e in sums.items()],
+    split = _with_bounds(rows, bounds, partition, n_bounds).where(_straddles(x, tiles)).select(rows.columns)
+    ranked = _with_bounds(rank_in_groups(split, partition, order, tb, n_split, rows_per_task), bounds, partition, n_bounds)
+    pieces = ranked.groupBy(partition, _tile_by_bounds(x, F.col("_pos"), tiles).alias(out)).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(x).alias("_min"), F.max(x).alias("_max"), *[F.sum(n).alias(n) for n in names]
     )
     return (
         whole.unionByName(pieces)

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from farelens.operators.ntile import assign_tiles, tile_sums
+from farelens.operators.ntile import assign_tiles, cut_ranges, tile_of, tile_sums
+from farelens.sources.scratch import saved
 
 
 def _check(spark, rows, tiles, rows_per_task=2_000_000):
@@ -73,3 +74,52 @@ def test_null_partition_order_and_tiebreak(spark, rows_per_task):
     want = ref.groupBy("p", "t").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     got = sums.select("p", "t", "_rows", "x_min", "x_max")
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_outliers_nulls_and_ties_in_the_tiebreak_leave_ranges_balanced(spark):
+    """Ranges follow sampled quantiles of the whole key, so one far id, NULL ids or equal ids make no large range."""
+    rows = [("p", Decimal(1), k) for k in range(6000)] + [("p", Decimal(1), 10**15)] * 3
+    rows += [("p", Decimal(1), None)] * 9000 + [("p", Decimal(1), 77)] * 5000
+    df = spark.createDataFrame(rows, "p string, x decimal(12,2), id long").repartition(4).withColumn("_row", F.monotonically_increasing_id())
+    ranged = cut_ranges(saved(df, "rows"), ["p", "x", "id", "_row"], len(rows), 1000)
+    sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 2 * 1000
+
+
+def test_hot_group_with_null_and_equal_ids(spark):
+    rng = random.Random(13)
+    rows = [("p", Decimal(5), None if i % 2 else rng.choice([1, 2, 10**14])) for i in range(2000)]
+    rows += [("p", Decimal(i % 50), i) for i in range(2500)]
+    df = spark.createDataFrame(rows, "p string, x decimal(12,2), id long").withColumn("v", F.lit(1).cast("long"))
+    key = ["p", "x", "id"]
+    ref = df.select(*key, F.ntile(10).over(Window.partitionBy("p").orderBy("x", "id")).alias("t"))
+    ours = assign_tiles(df, 10, "p", "x", "id", "t", rows_per_task=100).select(*key, "t")
+    assert Counter(map(tuple, ours.collect())) == Counter(map(tuple, ref.collect()))
+
+
+def test_input_is_evaluated_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [("ab"[i % 2], Decimal(i % 37), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "p string, x decimal(12,2), id long")
+    watched = df.mapInArrow(look, df.schema)
+    for run in (
+        lambda: tile_sums(watched, 10, "p", "x", "id", {"v": F.col("id")}, "t", rows_per_task=10).collect(),
+        lambda: assign_tiles(watched, 10, "p", "x", "id", "t", rows_per_task=10).collect(),
+    ):
+        before = seen.value
+        run()
+        assert seen.value - before == len(rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 10, 11, 25])
+def test_tile_of_every_rank(spark, n):
+    df = spark.range(1, n + 1).withColumn("n", F.lit(n).cast("long"))
+    ref = df.select("id", F.ntile(10).over(Window.orderBy("id")).alias("t"))
+    ours = df.select("id", tile_of(F.col("id"), F.col("n"), 10).alias("t"))
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ref.collect()))
