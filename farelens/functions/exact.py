@@ -15,6 +15,9 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from farelens.functions import wide
+from farelens.functions.exact_sql import q
+
 INT = "decimal(38,0)"
 
 
@@ -77,79 +80,119 @@ def ratio_cmp(num: Column, den: Column, op: str, k) -> Column:
 
 # --- population standard deviation from exact integer sums ------------------
 
+#: Bits of a digit of a sum: 10^14 rows of such digits stay within a LONG.
+_DIGIT = 16
 
-def _round_sqrt_ratio(v: Column, d: Column, mult: int) -> Column:
-    """round_half_up(mult * sqrt(v) / d) for v >= 0, d > 0, exact.
 
-    A double estimate is corrected by at most one using the exact test
-    ``((2m-1)d)^2 <= 4 mult^2 v < ((2m+1)d)^2``.
-    """
-    v = v.cast(INT)
-    d = d.cast(INT)
-    m0 = F.floor(F.lit(float(mult)) * F.sqrt(v.cast("double")) / d.cast("double") + F.lit(0.5)).cast(INT)
-    four_v = v * dec(4 * mult * mult)
-    up = ((m0 * 2 + 1) * d) * ((m0 * 2 + 1) * d) <= four_v
-    down = (m0 >= 1) & (((m0 * 2 - 1) * d) * ((m0 * 2 - 1) * d) > four_v)
-    return F.when(up, m0 + 1).when(down, m0 - 1).otherwise(m0).cast(INT)
+def _low(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << _DIGIT) - 1).cast("long"))
+
+
+def _high(x: Column) -> Column:
+    return F.shiftright(x, _DIGIT)
 
 
-#: Bits of a digit of the sum of squares.
-_DIGIT = 20
+def _digit_sums(digits: list[Column]) -> Column:
+    """SUM of each digit as ARRAY<LONG>, least first; NULL where no row counts."""
+    return F.array(*[F.sum(d) for d in digits])
 
 
-def sum_of_squares(units_col: Column) -> Column:
-    """Exact SUM(x * x) of a LONG column as DECIMAL(38,0), from three LONG sums.
+def sum_digits(units_col: Column) -> Column:
+    """Digit sums of SUM(x) of a LONG column with |x| < 2^48; the top digit is signed."""
+    x = units_col
+    return _digit_sums([_low(x), _low(_high(x)), _high(_high(x))])
 
-    |x| = h * 2^20 + l, so x^2 = h^2 * 2^40 + 2hl * 2^20 + l^2.  Each part is
-    cut into digits of 20 bits before it is summed: the two low sums grow by
-    less than 2^22 a row, the high one by about x^2 / 2^40, so none leaves a
-    LONG below 10^12 rows a group for |x| < 2^31 (money of 21 million).
+
+def square_digits(units_col: Column) -> Column:
+    """Digit sums of SUM(x * x) of a LONG column with |x| < 2^48.
+
+    |x| = a2 a1 a0 in digits of 16 bits; the square's six digits are carried
+    per row, in LONGs, so each sum grows by less than 2^16 a row.
     """
     x = F.abs(units_col)
-    mask = F.lit((1 << _DIGIT) - 1).cast("long")
-    h, low = F.shiftright(x, _DIGIT), x.bitwiseAND(mask)
-    square, cross = low * low, h * low * 2
-    digits = [
-        square.bitwiseAND(mask),
-        F.shiftright(square, _DIGIT) + cross.bitwiseAND(mask),
-        F.shiftright(cross, _DIGIT) + h * h,
-    ]
-    total = None
-    for k, digit in enumerate(digits):
-        part = F.sum(digit).cast("decimal(20,0)") * dec(1 << (_DIGIT * k))
-        total = part if total is None else total + part
-    return total.cast(INT)
+    a0, a1, a2 = _low(x), _low(_high(x)), _high(_high(x))
+    v0 = a0 * a0
+    v1 = _high(v0) + a0 * a1 * 2
+    v2 = _high(v1) + a0 * a2 * 2 + a1 * a1
+    v3 = _high(v2) + a1 * a2 * 2
+    v4 = _high(v3) + a2 * a2
+    return _digit_sums([_low(v0), _low(v1), _low(v2), _low(v3), _low(v4), _high(v4)])
+
+
+def add_digits(digits: Column, length: int) -> Column:
+    """Digit sums of several groups (rows of a state) added up."""
+    return F.array(*[F.sum(F.get(digits, F.lit(k))) for k in range(length)])
+
+
+SUM_DIGITS, SQUARE_DIGITS = 3, 6
 
 
 def moment_aggs(units_col: Column, prefix: str) -> list[Column]:
-    """count, sum and sum of squares of a LONG-unit column; per-row work is all on LONGs."""
+    """count, sum and sum of squares of a LONG-unit column; per-row work is all on LONGs, exact to 10^14 rows a group."""
     return [
         F.count(units_col).alias(f"{prefix}_n"),
-        F.sum(units_col).cast(INT).alias(f"{prefix}_s"),
-        sum_of_squares(units_col).alias(f"{prefix}_ss"),
+        sum_digits(units_col).alias(f"{prefix}_s"),
+        square_digits(units_col).alias(f"{prefix}_ss"),
     ]
 
 
-def _variance_n2(n: Column, s: Column, ss: Column) -> Column:
-    """n^2 * population variance = n * sum(x^2) - sum(x)^2 (exact, >= 0)."""
-    return n.cast(INT) * ss - s * s
+def digits_sql(digits: str, length: int, first: int = 0) -> str:
+    """The number that ``length`` digit sums from ``first`` on stand for, as DECIMAL(38,0)."""
+    parts = [f"CAST(get({digits}, {first + k}) AS DECIMAL(20,0)) * {1 << (_DIGIT * k)}BD" for k in range(length)]
+    return f"CAST({' + '.join(parts)} AS DECIMAL(38,0))"
+
 
+def digits_value(name: str, length: int) -> Column:
+    """The number behind a column of digit sums (a sum, or squares below 10^38)."""
+    return F.expr(digits_sql(q(name), length))
 
-def stddev_pop_rounded(n: Column, s: Column, ss: Column, unit_scale: int = 2) -> Column:
-    """``ROUND(STDDEV_POP(x), unit_scale)`` from integer-unit moments."""
-    m = _round_sqrt_ratio(_variance_n2(n, s, ss), n, 1)
-    m = F.when(n > 0, m)
+
+def _scaled_root(n: str, s: str, ss: str, d: str, mult: int) -> str:
+    """round_half_up(mult * sqrt(n * ss - s^2) / d) for d > 0, exact; all SQL text.
+
+    ``n * ss - s^2`` is n^2 times the population variance.  A double estimate
+    is corrected by at most one using the exact test
+    ``((2m-1)d)^2 <= 4 mult^2 v < ((2m+1)d)^2`` in wide integers, which holds
+    for results below 10^14.
+    """
+    w, shift = wide, f"{1 << (3 * _DIGIT)}BD"
+    # Squares: digit sums 0-2 and 3-5 as two numbers, then five digits of base 10^15.
+    squares = w.let(digits_sql(ss, 3, 3), "h", w.carry(w.digits(f"{digits_sql(ss, 3)} + {w.low('h')} * {shift}", f"{w.high('h')} * {shift}")))
+    parts = f"named_struct('n', CAST({n} AS DECIMAL(20,0)), 's0', {w.low('a')}, 's1', {w.high('a')}, 'q', {squares})"
+    own = [f"get(t.q, {k}) * t.n" for k in range(4)]
+    v = w.carry(w.digits(f"{own[0]} - t.s0 * t.s0", f"{own[1]} - t.s0 * t.s1 * 2BD", f"{own[2]} - t.s1 * t.s1", own[3]), 1)
+    variance = w.let(f"abs({digits_sql(s, SUM_DIGITS)})", "a", w.let(parts, "t", v))
+    four_v = f"transform({variance}, x -> {w.integer(f'x * {4 * mult * mult}BD')})"
+
+    def above(odd: str) -> str:
+        """(odd * d)^2 > four_v."""
+        x0, x1, x2 = (f"get(x, {k})" for k in range(3))
+        square = [f"{x0} * {x0}", f"{x0} * {x1} * 2BD", f"{x0} * {x2} * 2BD + {x1} * {x1}", f"{x1} * {x2} * 2BD", f"{x2} * {x2}"]
+        gap = w.is_negative(w.digits(*[f"coalesce(get(r.v, {k}), 0BD) - ({y})" for k, y in enumerate(square)]))
+        return w.let(w.carry(w.digits(f"{w.low('r.d')} * {odd}", f"{w.high('r.d')} * {odd}"), 1), "x", gap)
+
+    estimate = f"CAST(floor(sqrt({w.to_double('r.v')}) / 2D / CAST(r.d AS DOUBLE) + 0.5D) AS DECIMAL(20,0))"
+    nearest = f"CASE WHEN NOT {above('(m * 2BD + 1BD)')} THEN m + 1BD WHEN m >= 1 AND {above('(m * 2BD - 1BD)')} THEN m - 1BD ELSE m END"
+    return w.let(f"named_struct('v', {four_v}, 'd', {w.integer(d)})", "r", w.let(estimate, "m", w.integer(nearest)))
+
+
+def stddev_pop_rounded(n: str, s: str, ss: str, unit_scale: int = 2) -> Column:
+    """``ROUND(STDDEV_POP(x), unit_scale)`` from the named moment columns (``moment_aggs``)."""
+    n, s, ss = q(n), q(s), q(ss)
+    m = F.expr(f"CASE WHEN {n} > 0 THEN {_scaled_root(n, s, ss, n, 1)} END")
     return (m * dec(Decimal(1).scaleb(-unit_scale))).cast(f"decimal(38,{unit_scale})")
 
 
-def cv_pct_rounded(n: Column, s: Column, ss: Column, scale: int = 1) -> Column:
-    """``ROUND(STDDEV_POP(x) / NULLIF(AVG(x), 0) * 100, scale)`` from moments.
+def cv_pct_rounded(n: str, s: str, ss: str, scale: int = 1) -> Column:
+    """``ROUND(STDDEV_POP(x) / NULLIF(AVG(x), 0) * 100, scale)`` from the named moment columns.
 
     sigma / mean = sqrt(n*ss - s^2) / s, so only the sum's sign and size matter.
     """
-    m = _round_sqrt_ratio(_variance_n2(n, s, ss), F.abs(s), 100 * 10**scale)
-    m = F.when(s > 0, m).when(s < 0, -m)
-    return (m * dec(Decimal(1).scaleb(-scale))).cast(f"decimal(38,{scale})")
+    n, s, ss = q(n), q(s), q(ss)
+    total = digits_sql(s, SUM_DIGITS)
+    root = _scaled_root(n, s, ss, f"abs({total})", 100 * 10**scale)
+    m = F.expr(f"CASE WHEN {n} > 0 AND {total} <> 0 THEN (CASE WHEN {total} < 0 THEN -1BD ELSE 1BD END) * {root} END")
+    return (m.cast(INT) * dec(Decimal(1).scaleb(-scale))).cast(f"decimal(38,{scale})")
 
 
 # --- per-row integer helpers ------------------------------------------------
