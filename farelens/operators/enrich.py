@@ -28,14 +28,17 @@ def company_name(code: Column, params: Params) -> Column:
     return ladder(((code == F.lit(c), label) for c, label in params.platforms), params.other_platform)
 
 
-def time_of_day(ts: Column, params: Params) -> Column:
-    hour = F.hour(ts)
+def hour_bucket(hour: Column, params: Params) -> Column:
     return ladder(
         ((hour.between(lo, hi), label) for label, lo, hi in params.time_buckets),
         params.default_time_bucket,
     )
 
 
+def time_of_day(ts: Column, params: Params) -> Column:
+    return hour_bucket(F.hour(ts), params)
+
+
 def legal_minimum_floor_cents(miles_m: Column, secs: Column, params: Params) -> Column:
     """ROUND(miles * per_mile + secs / 60 * per_minute, 2) in cents, exact.
 
@@ -64,23 +67,27 @@ def clean_filter(trips: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def enrich(trips: DataFrame, zones: DataFrame, params: Params) -> DataFrame:
-    """The enriched relation: one row per clean trip, columns as ENRICHED_COLUMNS."""
-    z = prepare_zones(zones, params.max_broadcast_rows)
-    pu = z.select(
+def with_zone_names(df: DataFrame, zones: DataFrame) -> DataFrame:
+    """Pickup and drop-off geography of PULocationID and DOLocationID, from a prepared lookup."""
+    pu = zones.select(
         F.col("LocationID").alias("_pu_id"),
         F.col("Borough").alias("pu_borough"),
         F.col("Zone").alias("pu_zone"),
         F.col("service_zone").alias("pu_service_zone"),
     )
-    do = z.select(
+    do = zones.select(
         F.col("LocationID").alias("_do_id"),
         F.col("Borough").alias("do_borough"),
         F.col("Zone").alias("do_zone"),
         F.col("service_zone").alias("do_service_zone"),
     )
-    t = clean_filter(trips, params)
-    t = t.join(pu, t.PULocationID == pu._pu_id, "left").join(do, t.DOLocationID == do._do_id, "left")
+    df = df.join(pu, df.PULocationID == pu._pu_id, "left")
+    return df.join(do, df.DOLocationID == do._do_id, "left").drop("_pu_id", "_do_id")
+
+
+def enrich(trips: DataFrame, zones: DataFrame, params: Params) -> DataFrame:
+    """The enriched relation: one row per clean trip, columns as ENRICHED_COLUMNS."""
+    t = with_zone_names(clean_filter(trips, params), prepare_zones(zones, params.max_broadcast_rows))
 
     c = F.col
     # Stage 1: everything per trip as LONG units (cents, 1/1000 mile, seconds).

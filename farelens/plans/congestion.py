@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farelens.functions.exact import ratio_cmp, round_ratio
-from farelens.functions.ladders import band, category_position, ladder
+from farelens.functions.ladders import category_position, ladder
 from farelens.params import EQUITY_STATUS, Params
-from farelens.plans._common import avg, c, money_total, pct_where, section, share_of_charge, trips, usum
+from farelens.plans._common import avg, c, congestion_band, money_total, pct_where, section, share_of_charge, trips, usum
 
 
 def congestion_by_borough(enriched: DataFrame, params: Params) -> DataFrame:
@@ -26,7 +26,7 @@ def congestion_by_borough(enriched: DataFrame, params: Params) -> DataFrame:
             avg("total_congestion_fees").alias("avg_total_congestion"),
             share_of_charge("total_congestion_fees").alias("congestion_burden_pct"),
             round_ratio(cong, usum("base_passenger_fare"), 1).alias("congestion_vs_base_pct"),
-            pct_where("`total_congestion_fees` > 0", 1).alias("trips_with_congestion_pct"),
+            pct_where("congested", 1).alias("trips_with_congestion_pct"),
             ladder(
                 [(ratio_cmp(cong, total, ">=", high), high_l), (ratio_cmp(cong, total, ">=", mod), mod_l)],
                 low_l,
@@ -42,7 +42,7 @@ def congestion_by_distance(enriched: DataFrame, params: Params) -> DataFrame:
     bands = params.congestion_distance_bands
     order = [label for _, label in bands] + [params.congestion_distance_rest]
     g = (
-        enriched.withColumn("distance_band", band(c("trip_miles"), bands, params.congestion_distance_rest))
+        enriched.withColumn("distance_band", congestion_band(params))
         .groupBy("company_name", "distance_band")
         .agg(
             trips().alias("total_trips"),
@@ -64,7 +64,7 @@ def cbd_zone_footprint(enriched: DataFrame, params: Params) -> DataFrame:
             trips().alias("total_trips"),
             avg("cbd_congestion_fee").alias("avg_cbd_fee"),
             money_total("cbd_congestion_fee").alias("total_cbd_fees_collected"),
-            pct_where("`cbd_congestion_fee` > 0", 1).alias("trips_with_cbd_fee_pct"),
+            pct_where("cbd", 1).alias("trips_with_cbd_fee_pct"),
             usum("cbd_congestion_fee").alias("_cbd_sum"),
         )
         # HAVING AVG(fee) > 0 over a non-empty group is SUM(fee) > 0.

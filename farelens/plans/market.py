@@ -26,7 +26,7 @@ def market_position(enriched: DataFrame, params: Params) -> DataFrame:
         avg("fare_per_mile").alias("avg_fare_per_mile"),
         avg("request_to_pickup_min").alias("avg_wait_min"),
         sla_pct().alias("sla_5min_pct"),
-        pct_where("`below_tlc_minimum` = 1", 2).alias("below_tlc_min_pct"),
+        pct_where("underpaid", 2).alias("below_tlc_min_pct"),
         money_total("base_passenger_fare").alias("total_base_revenue"),
         money_total("passenger_total_charge").alias("total_charge_revenue"),
         money_total("platform_spread").alias("total_platform_margin"),

@@ -9,15 +9,10 @@ from farelens.functions.exact import dec
 from farelens.functions.ladders import ladder
 from farelens.operators.scores import minmax_scores, weighted_sum
 from farelens.params import ENTRY_RECOMMENDATION, WAV_INTERPRETATION, WAV_STATUS, Params
-from farelens.plans._common import avg, c, pct_mean_of, pct_where, section, sla_pct, sum_take_rate, trips
+from farelens.plans._common import avg, c, flag_count, pct_mean_of, pct_where, section, sla_pct, sum_take_rate, trips
 from farelens.plans.volatility import fare_moments, fare_stddev
 
 
-def _flag_count(col: str):
-    """SUM(CASE WHEN flag = 'Y' THEN 1 ELSE 0 END)."""
-    return F.count_if(c(col) == "Y").cast("long")
-
-
 def zone_metrics(enriched: DataFrame, params: Params) -> DataFrame:
     g = (
         enriched.where(c("pu_zone").isNotNull() & c("below_tlc_minimum").isNotNull())
@@ -30,9 +25,9 @@ def zone_metrics(enriched: DataFrame, params: Params) -> DataFrame:
             sla_pct().alias("sla_pct"),
             avg("request_to_pickup_min").alias("avg_wait_min"),
             pct_mean_of("below_tlc_minimum", 2).alias("violation_pct"),
-            _flag_count("wav_request_flag").alias("wav_requests"),
-            _flag_count("wav_match_flag").alias("wav_matches"),
-            _flag_count("shared_request_flag").alias("shared_requests"),
+            flag_count("wav_request").alias("wav_requests"),
+            flag_count("wav_match").alias("wav_matches"),
+            flag_count("shared_request").alias("shared_requests"),
             *fare_moments(),
         )
         .where(c("total_trips") >= params.min_trips_opportunity)
@@ -111,9 +106,9 @@ def wav_gap(enriched: DataFrame, params: Params) -> DataFrame:
         .groupBy(c("pu_borough").alias("borough"))
         .agg(
             trips().alias("total_trips"),
-            _flag_count("wav_request_flag").alias("wav_requests"),
-            _flag_count("wav_match_flag").alias("wav_matches"),
-            pct_where("`wav_request_flag` = 'Y'", 3).alias("wav_request_rate_pct"),
+            flag_count("wav_request").alias("wav_requests"),
+            flag_count("wav_match").alias("wav_matches"),
+            pct_where("wav_request", 3).alias("wav_request_rate_pct"),
         )
     )
     return g.select(

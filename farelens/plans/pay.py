@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farelens.functions.exact import ratio_cmp
-from farelens.functions.ladders import band, category_position, ladder
+from farelens.functions.ladders import category_position, ladder
 from farelens.params import COMPLIANCE_STATUS, Params
-from farelens.plans._common import avg, c, mean_due, mean_shortfall, pct_mean_of, section, trips
+from farelens.plans._common import avg, c, count_of, int_sum, mean_due, mean_shortfall, pay_band, pct_mean_of, section, trips
 
 
 def _flagged(enriched: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def _flagged(enriched: DataFrame) -> DataFrame:
 
 def _violations() -> list[Column]:
     return [
-        F.sum("below_tlc_minimum").cast("long").alias("violation_trips"),
+        int_sum("below_tlc_minimum").cast("long").alias("violation_trips"),
         pct_mean_of("below_tlc_minimum", 2).alias("violation_pct"),
     ]
 
@@ -41,7 +41,7 @@ def pay_compliance_platform(enriched: DataFrame, params: Params) -> DataFrame:
 
 def _compliance_status() -> Column:
     (high, high_l), (mod, mod_l), (low, low_l), ok_l = COMPLIANCE_STATUS
-    num, den = F.sum("below_tlc_minimum") * 100, F.count("below_tlc_minimum")
+    num, den = int_sum("below_tlc_minimum") * 100, count_of("below_tlc_minimum")
     return ladder(
         [
             (ratio_cmp(num, den, ">=", high), high_l),
@@ -88,7 +88,7 @@ def pay_compliance_distance(enriched: DataFrame, params: Params) -> DataFrame:
     order = [label for _, label in bands] + [params.pay_distance_rest]
     g = (
         _flagged(enriched)
-        .withColumn("distance_band", band(c("trip_miles"), bands, params.pay_distance_rest))
+        .withColumn("distance_band", pay_band(params))
         .groupBy("company_name", "distance_band")
         .agg(
             trips().alias("total_trips"),

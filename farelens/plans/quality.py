@@ -127,7 +127,7 @@ def platform_quality(enriched: DataFrame, params: Params) -> DataFrame:
         *[mean(c(name), 1).alias(f"avg_{name}") for name in SCORES],
         F.count_if(score >= SUSTAINABLE_CUTOFF).cast("long").alias("sustainable_segments"),
         F.count_if(score < VULNERABLE_CUTOFF).cast("long").alias("vulnerable_segments"),
-        trips().alias("total_segments"),
+        F.count(F.lit(1)).alias("total_segments"),
     )
     return g.select(section(params, "platform_quality"), "*").orderBy(F.desc("avg_quality_score"), "company_name")
 

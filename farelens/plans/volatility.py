@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.functions.exact import cv_pct_rounded, dec, moment_aggs, stddev_pop_rounded
+from farelens.functions.exact import cv_pct_rounded, dec, stddev_pop_rounded
 from farelens.functions.ladders import ladder
 from farelens.params import ENTRY_SIGNAL, VOLATILITY_CLASS, Params
-from farelens.plans._common import avg, c, section, sla_pct, sum_take_rate, trips, units
+from farelens.plans._common import avg, c, least, moments, most, section, sla_pct, sum_take_rate, trips
 
 
 def fare_moments() -> list[Column]:
-    """Exact count / sum / sum of squares of the fare in cents."""
-    return moment_aggs(units("base_passenger_fare"), "_fare")
+    """Exact count and digit sums of the fare in cents and of its square."""
+    return moments("base_passenger_fare", "_fare")
 
 
 def fare_stddev() -> Column:
-    return stddev_pop_rounded(c("_fare_n"), c("_fare_s"), c("_fare_ss"))
+    return stddev_pop_rounded("_fare_n", "_fare_s", "_fare_ss")
 
 
 def fare_cv() -> Column:
-    return cv_pct_rounded(c("_fare_n"), c("_fare_s"), c("_fare_ss"))
+    return cv_pct_rounded("_fare_n", "_fare_s", "_fare_ss")
 
 
 def zone_volatility(enriched: DataFrame, params: Params) -> DataFrame:
@@ -31,8 +31,8 @@ def zone_volatility(enriched: DataFrame, params: Params) -> DataFrame:
         .agg(
             trips().alias("total_trips"),
             avg("base_passenger_fare").alias("avg_fare"),
-            F.min("base_passenger_fare").alias("fare_min"),
-            F.max("base_passenger_fare").alias("fare_max"),
+            least("base_passenger_fare").alias("fare_min"),
+            most("base_passenger_fare").alias("fare_max"),
             sla_pct().alias("sla_pct"),
             sum_take_rate().alias("avg_take_rate_pct"),
             *fare_moments(),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from farelens.operators.cuboid import build_states, report_from_states
 from farelens.operators.enrich import enrich
 from farelens.params import Params
 from farelens.plans import REPORTS
@@ -53,6 +54,23 @@ QUERIES: dict[str, tuple[str, str]] = {
     "p11a_growth_quality": ("events", "growth_quality"),
     "p11b_platform_quality": ("events", "platform_quality"),
 }
+#: Reports that are also answered from the base cuboid (operators/cuboid.py): query key -> key of the direct report.
+CUBOID_QUERIES: dict[str, str] = {
+    f"cuboid_{key}": key
+    for key in (
+        "p1_market_position",
+        "p2a_borough_demand",
+        "p3a_top_corridors",
+        "p5a_price_decomposition",
+        "p6d_pay_compliance_distance_events",
+        "p7c_cbd_zone_footprint",
+        "p8a_daily_revenue_trend",
+        "p9a_zone_volatility",
+        "p10a_zone_opportunity",
+        "p11a_growth_quality",
+    )
+}
+QUERIES |= {key: QUERIES[direct] for key, direct in CUBOID_QUERIES.items()}
 if unknown := {r for _, r in QUERIES.values()} - {*REPORTS, "enriched_trips"}:
     raise LookupError(f"registered reports that do not exist: {sorted(unknown)}")
 
@@ -64,6 +82,10 @@ def enriched_for(spark: SparkSession, binding: str, sf_dir: str) -> tuple[DataFr
 
 def run_query(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     binding, report = QUERIES[name]
+    if name in CUBOID_QUERIES:
+        b = BINDINGS[binding](spark, sf_dir)
+        states = build_states(enrich(b.trips, b.zones, b.params), b.params)
+        return report_from_states(REPORTS[report], states, b.zones, b.params)
     enriched, params = enriched_for(spark, binding, sf_dir)
     if report == "enriched_trips":
         return enriched
