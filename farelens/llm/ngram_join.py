@@ -15,10 +15,11 @@ Block keys travel as packed binary columns to hash buckets, where they are
 sorted.  A small group of a key gives all its pairs; a large one gives each
 member's pair with a centre, and is kept.  Candidates whose one-bit parity
 sketches are near enough (same bound) are verified on whole sets.  Then every kept group whose members still lie in different components
-is searched again, a pair of slices at a time: its cross-component pairs pass
-the one-bit parity sketch (same bound) before they are verified, so no link
-that could join two components is lost, and none is emitted for members
-already joined.
+is searched again, a pair of slices at a time, in a task that holds their
+sketches and sets: cross-component pairs that pass the one-bit parity sketch
+(same bound) are compared by their whole sets, unless links found before join
+them already.  A task emits a spanning forest, fewer links than it has
+members, and no link that could join two components is lost.
 
 Equal sets are one class, told by a 128-bit hash of the set.
 
@@ -30,6 +31,7 @@ doc_id are one document; rows with a null doc_id are returned, unlinked.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ._batches import BASE, U, mix, slices, text_buffer, word_hashes
 from ._graph import components
-from ._store import documents, saved, shuffle_width
+from ._store import as_struct, documents, saved, shuffle_width
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers: 100 * intersection >= PERCENT * union.
@@ -51,8 +53,10 @@ SMALL, CENTRES = 8, 4
 BUCKET_KEYS = 1_500_000
 #: Partners of one centre that one task verifies.
 PARTNERS = 400
-#: Members of a slice of an open group, about; a task compares two slices.
-SLICE = 1000
+#: Members and bytes of shingles of a slice of an open group, about; a task compares two slices.
+SLICE, SLICE_BYTES = 1000, 8 << 20
+#: Ids up to which a list of the documents needed is broadcast, to keep other texts out of a shuffle; beyond, all are joined.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -213,7 +217,7 @@ def _emit_keys(buckets: int):
 _MET = "kind int, a binary, b binary"
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], small: int = SMALL) -> Iterator[pa.RecordBatch]:
     """Candidates of each bucket: kind 0 pairs (a[i], b[i]); kind 1 a large group (members in a); kind 2 weak documents."""
     names = ["kind", "a", "b"]
 
@@ -233,13 +237,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(new, len(keys)))
         xs: list[np.ndarray] = []
         ys: list[np.ndarray] = []
-        for n in range(2, SMALL + 1):  # all pairs of small groups, by size
+        for n in range(2, small + 1):  # all pairs of small groups, by size
             rows = docs[new[size == n][:, None] + np.arange(n)]
             i, j = np.triu_indices(n, 1)
             xs.append(rows[:, i].reshape(-1))
             ys.append(rows[:, j].reshape(-1))
         groups: dict[bytes, np.ndarray] = {}
-        for a, n in zip(new[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        for a, n in zip(new[size > small].tolist(), size[size > small].tolist(), strict=True):
             members = docs[a : a + n]
             groups.setdefault(members.tobytes(), members)
             turn = mix(members.view(U) ^ mix(np.array([int(keys[a]) % CENTRES], U)))
@@ -304,12 +308,27 @@ def _near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["x", "y"]).filter(pa.array(on))
 
 
+def _texts_of(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """docs (doc_id, text) joined with need (doc_id, ...), a written table of one row a document."""
+    ids = need.select("doc_id")
+    if ids.count() <= BROADCAST_IDS:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return docs.select("doc_id", "text").join(need, "doc_id")
+
+
+def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i, sets in shingle_sets(b.column("text")):
+            yield pa.record_batch([b.column("doc_id").slice(i, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "shingles"])
+
+
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) whose whole sets link.  x's set travels to its partners' tasks, PARTNERS at a time."""
     parts = pairs.groupBy("x").agg(F.expr(f"int(ceil(count(*) / {PARTNERS}))").alias("parts"))
     cut = pairs.join(parts, "x").select("x", "y", F.expr("int(pmod(xxhash64(y), parts))").alias("cut"))
     own = parts.select("x", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("cut"))
     need = cut.unionByName(own).groupBy("y").agg(F.collect_list(F.struct("x", "cut")).alias("at")).withColumnRenamed("y", "doc_id")
+    need = saved(need, "pairs-needed")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -337,32 +356,41 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     ys.append(r["y"])
             yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
-    texts = docs.select("doc_id", "text").join(need, "doc_id").mapInArrow(spread, "x long, cut int, partner boolean, y long, shingles binary")
+    texts = _texts_of(docs, need).mapInArrow(spread, "x long, cut int, partner boolean, y long, shingles binary")
     dealt = texts.repartition(shuffle_width(docs.sparkSession), "x", "cut").sortWithinPartitions("x", "cut", "partner")
     return dealt.mapInArrow(check, "x long, y long").distinct()
 
 
 def _across(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one slice pair in different components whose parity sketches may be near enough.
+    """Links between the components of one slice pair: a spanning forest, so fewer than it has members.
 
-    side 0: one slice, met with itself; 1 and 2: the two slices.
+    side 0: one slice, met with itself; 1 and 2: the two slices.  Pairs whose parity sketches are near enough are
+    compared by their whole sets, unless links found before already join their components.
     """
     rows = [r for b in batches for r in b.to_pylist()]
     ids, n, comp, side = (np.array([r[c] for r in rows], np.int64) for c in ("rep", "n", "component", "side"))
+    sets = [np.frombuffer(r["shingles"], U) for r in rows]
     words = min(len(r["sketch"]) for r in rows) // 8
     sketch = np.stack([fold(np.frombuffer(r["sketch"], U), words) for r in rows])
     labels, of = np.unique(comp, return_inverse=True)
+    joined = np.arange(len(labels))  # component -> the one it is joined with so far
     # All but the largest component's members meet every other component.
     turns = np.flatnonzero(side == 1) if side.any() else np.flatnonzero(of != np.bincount(of).argmax())
-    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in turns:
+    xs, ys = [], []
+    for k in turns.tolist():
         small, large = np.minimum(n, n[k]), np.maximum(n, n[k])
-        on = np.flatnonzero((side != 1) & (of != of[k]) & (100 * small >= PERCENT * large))
+        on = np.flatnonzero((side != 1) & (joined[of] != joined[of[k]]) & (100 * small >= PERCENT * large))
         far = np.bitwise_count(sketch[on] ^ sketch[k]).sum(axis=1)
-        on = on[far <= (n[on] + n[k]) * (100 - PERCENT) // (100 + PERCENT)]
-        xs.append(np.minimum(ids[on], ids[k]))
-        ys.append(np.maximum(ids[on], ids[k]))
-    yield pa.record_batch([np.concatenate(xs), np.concatenate(ys)], names=["x", "y"])
+        for j in on[far <= (n[on] + n[k]) * (100 - PERCENT) // (100 + PERCENT)].tolist():
+            a, b = joined[of[k]], joined[of[j]]
+            if a == b:
+                continue
+            at = np.minimum(np.searchsorted(sets[k], sets[j]), len(sets[k]) - 1)
+            if _linked(n[j], n[k], np.count_nonzero(sets[k][at] == sets[j])):
+                xs.append(ids[k])
+                ys.append(ids[j])
+                joined[joined == b] = a
+    yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
 
 def _band(n):
@@ -380,11 +408,12 @@ def slice_pairs(groups: DataFrame) -> DataFrame:
     A group's members outside its largest component meet each other and that component's, so slices are cut by kind
     (out: outside), size band and hash, to about SLICE members; a group of no more than that is one slice.
     """
-    by = groups.groupBy("gid", "component").agg(F.count("*").alias("c"))
-    open_ = by.groupBy("gid").agg(F.expr("max_by(component, struct(c, component))").alias("main"), F.sum("c").alias("total"), F.count("*").alias("k")).where("k > 1").drop("k")
-    whole = F.col("total") <= SLICE
+    by = groups.groupBy("gid", "component").agg(F.count("*").alias("c"), F.sum("n").alias("size"))
+    main = F.expr("max_by(component, struct(c, component))").alias("main")
+    open_ = by.groupBy("gid").agg(main, F.sum("c").alias("total"), F.sum("size").alias("size"), F.count("*").alias("k")).where("k > 1").drop("k")
+    whole = (F.col("total") <= SLICE) & (F.col("size") * 8 <= SLICE_BYTES)
     members = groups.join(open_, "gid").select("gid", "rep", "n", "component", (whole | (F.col("component") != F.col("main"))).alias("out"), F.when(whole, 0).otherwise(_band("n")).alias("band"))
-    cells = members.groupBy("gid", "out", "band").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("parts"))
+    cells = members.groupBy("gid", "out", "band").agg(F.greatest(F.ceil(F.count("*") / SLICE), F.ceil(F.sum("n") * 8 / SLICE_BYTES)).cast("int").alias("parts"))
     members = saved(members.join(cells, ["gid", "out", "band"]).withColumn("slice", F.expr("int(pmod(xxhash64(rep), parts))")).drop("parts"), "slices")
     until = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     other = cells.select("gid", F.col("out").alias("out_b"), F.col("band").alias("band_b"), F.col("parts").alias("parts_b"))
@@ -397,7 +426,7 @@ def slice_pairs(groups: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """docs (doc_id, text): doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -413,7 +442,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     width = shuffle_width(spark)
     buckets = min(1 << 15, max(width, int(0.6 * total / BUCKET_KEYS) + 1))
     packed = rows.where("doc_id is not null").mapInArrow(_emit_keys(buckets), "bucket int, keys binary, docs binary")
-    met = saved(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _MET), "candidates")
+    met = saved(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(partial(_meet, small=small), _MET), "candidates")
 
     def by_class(pairs: DataFrame) -> DataFrame:
         x, y = (rep.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}"), F.col("n").alias(f"n{c}")) for c in "xy")
@@ -436,10 +465,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     groups = met.where("kind = 1").mapInArrow(_group_rows, "gid long, doc_id long").join(rep, "doc_id").select("gid", "rep", "n").distinct()
     groups = saved(groups.join(labels, "rep", "left").select("gid", "rep", "n", F.coalesce("component", "rep").alias("component")), "groups")
-    asked = slice_pairs(groups).join(sketches.select("rep", "sketch"), "rep")
-    more = saved(asked.groupBy(_PAIR).applyInArrow(_across, "x long, y long").distinct(), "pairs-across")
+    asked = saved(slice_pairs(groups), "slice-pairs")
+    need = saved(asked.select(F.col("rep").alias("doc_id")).distinct(), "slices-needed")
+    whole_sets = saved(_texts_of(rows, need).mapInArrow(_own_sets, "rep long, shingles binary").dropDuplicates(["rep"]), "slice-sets")
+    asked = asked.join(sketches.select("rep", "sketch"), "rep").join(whole_sets, "rep")
+    more = saved(asked.groupBy(_PAIR).applyInArrow(_across, "x long, y long").distinct(), "links-across")
     if not more.isEmpty():
-        links = links.unionByName(verify(rows, more))
+        links = links.unionByName(more)
         labels = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "rep")
     of = rep.join(labels, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return sets.select("doc_id", "n_shingles").join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -450,11 +482,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Documents that link with nothing stay, and so do rows with a null doc_id.
     """
-    found = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    known = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("_id")).drop("_id")
+    found = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.struct("doc_id").alias("kept")).distinct()
+    whole = docs.select(as_struct(docs))
+    known = whole.join(found, F.col("doc.doc_id") == F.col("kept.doc_id")).select("doc", "doc.doc_id", F.xxhash64("doc.text").alias("print"))
     # Rows that repeat a document are copies of it.
-    known = known.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return known.unionByName(docs.where("doc_id is null"))
+    known = known.dropDuplicates(["doc_id", "print"]).select("doc").unionByName(whole.where("doc.doc_id is null"))
+    return known.select(*[F.col(f"doc.`{n}`") for n in docs.columns])
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
