@@ -53,6 +53,11 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+def as_struct(docs: DataFrame) -> F.Column:
+    """All columns of docs as one struct ``doc``, so that columns a step adds cannot clash with theirs."""
+    return F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc")
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """(doc_id, dk, text): dk tells apart rows that share a doc_id but not a text, so that repeated
     or null ids join back to their own text; rows equal in both have equal results."""

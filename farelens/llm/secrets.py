@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._batches import with_texts
-from ._store import documents, new_path
+from ._store import as_struct, documents, new_path
 
 RULE_VERSION = "base-1"
 #: The contract's rules, in its order.
@@ -102,16 +102,17 @@ def scan(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) ->
 
 
 def mask(docs: DataFrame, ledger: str) -> DataFrame:
-    """docs with each secret of ``text`` replaced by a mark of its kind (overlapping spans by one), and n_chars to match."""
-    found = scan(docs.select("doc_id", "text"), ledger).where("spans != ''").select(
-        F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans")
-    )
-    names = docs.columns
+    """docs with each secret of ``text`` replaced by a mark of its kind (overlapping spans by one), and n_chars to match.
+
+    Columns of any name pass through.
+    """
+    found = scan(docs.select("doc_id", "text"), ledger).where("spans != ''").distinct()
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, spans in enumerate(b.column("_spans").to_pylist()):
+            doc = pa.RecordBatch.from_struct_array(b.column("doc"))
+            texts = doc.column("text").to_pylist()
+            for i, spans in enumerate(b.column("spans").to_pylist()):
                 if not spans:
                     continue
                 out, at = [], 0
@@ -122,10 +123,13 @@ def mask(docs: DataFrame, ledger: str) -> DataFrame:
                         out += [texts[i][at : int(a)], f"<{kind}>"]
                     at = int(z)
                 texts[i] = "".join(out) + texts[i][at:]
-            yield with_texts(b.select(names), texts)
+            yield with_texts(doc, texts)
 
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (blob_id() == F.col("_blob"))
-    return docs.join(found.distinct(), on, "left").drop("_id", "_blob").mapInArrow(replace, docs.schema)
+    whole = docs.select(as_struct(docs), blob_id().alias("own")).join(
+        found.select(F.struct("doc_id", "blob").alias("key"), "spans"),
+        F.col("doc.doc_id").eqNullSafe(F.col("key.doc_id")) & (F.col("own") == F.col("key.blob")), "left",
+    )
+    return whole.select("doc", "spans").mapInArrow(replace, docs.schema)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, ngram_join, packing, secrets, suffix_dedup
-from ._store import new_path, small_batches
+from ._store import as_struct, new_path, small_batches
 
+#: Bytes of a repeated string that the pipeline removes: a passage of over 50 words has at least about 270 here, so one that
+#: stands in several documents is covered whole, while a line or sentence in common stays.
+REPEAT_BYTES = 200
 #: Below this posterior a prediction counts as a rejection.
 MIN_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those it rejects (no letter, or no language ahead) go."""
+    """Documents whose language is recognised; those it rejects (no letter, or no language ahead) go.
+
+    The prediction is written into ``lang`` where the table has none.  Columns of any name pass through.
+    """
     small_batches(spark)
     model = language.train(docs.where(~language.held_out("doc_id")).select("text", "lang"))
-    kept = language.predict(docs, *model).where((F.col("lang_pred") != language.UND) & (F.col("score") >= MIN_SCORE))
-    return kept.select(docs.columns)
+    scored = language.predict(docs.select(as_struct(docs), "text"), *model)
+    kept = scored.where((F.col("lang_pred") != language.UND) & (F.col("score") >= MIN_SCORE))
+    lang = F.coalesce("doc.lang", "lang_pred").alias("lang")
+    return kept.select(*[lang if n == "lang" else F.col(f"doc.`{n}`") for n in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +35,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings of 400 that stand anywhere else too; emptied ones keep their row."""
+    """Documents without the byte strings of REPEAT_BYTES that stand anywhere else too; emptied ones keep their row."""
     small_batches(spark)
-    return suffix_dedup.strip_repeats(docs)
+    return suffix_dedup.strip_repeats(docs, REPEAT_BYTES)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import _anchors
 from ._batches import BYTE, U, mix, slices, text_buffer, with_texts
-from ._store import documents, id_and_text
+from ._store import as_struct, documents, id_and_text
 
 WINDOW = 400
 #: 64 bytes: 2**_DOUBLINGS.
@@ -51,7 +52,7 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     names = ["gram", "content", "doc_id", "dk", "loc"]
     for b in batches:
         offsets, data = text_buffer(b.column("text"))
@@ -65,21 +66,21 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bounds = np.clip(offsets[i : j + 1], a, z) - a
                 if len(part) > GRAM:
                     grams = _gram_hashes(part)
-                    start, windows, at = _anchors.segments(grams, bounds, WINDOW, GRAM)
+                    start, windows, at = _anchors.segments(grams, bounds, length, GRAM)
                     if len(start):
                         doc = np.searchsorted(bounds, start, side="right") - 1
                         view = memoryview(np.ascontiguousarray(part))
-                        ends = (start + windows - 1 + WINDOW).tolist()
+                        ends = (start + windows - 1 + length).tolist()
                         content = np.array([xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(start.tolist(), ends, strict=True)], U)
                         loc = _anchors.pack_loc(a + start - offsets[i : j + 1][doc], windows, at - start)
                         ids = [b.column(c).take(pa.array(i + doc)) for c in ("doc_id", "dk")]
                         yield pa.record_batch([grams[at].view(np.int64), content.view(np.int64), *ids, loc], names=names)
                 if z == end:
                     break
-                a = z - WINDOW + 1
+                a = z - length + 1
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     names = ["gram", "content", "part", "parts", "lead", "off", "body"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
     for b in batches:
@@ -88,7 +89,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = text.encode()
             for p in parts:
                 start, windows, off = p["loc"] >> 24, (p["loc"] >> 12) & 0xFFF, p["loc"] & 0xFFF
-                body = data[start : start + windows - 1 + WINDOW]
+                body = data[start : start + windows - 1 + length]
                 rows.append((p["gram"], p["content"], p["content"] % p["parts"], p["parts"], body[off : off + LEAD], off, body))
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
 
@@ -131,15 +132,15 @@ def equal_suffixes(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return label
 
 
-def _sort_windows(rows: list[dict]) -> tuple:
+def _sort_windows(rows: list[dict], length: int) -> tuple:
     bodies = [r["body"] for r in rows]
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
     joined = b"".join(bodies)
-    count = sizes - WINDOW + 1
+    count = sizes - length + 1
     row = np.repeat(np.arange(len(rows)), count)
     window = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     at = (np.cumsum(sizes) - sizes)[row] + window
-    label = equal_suffixes(np.frombuffer(joined, np.uint8), at, WINDOW)
+    label = equal_suffixes(np.frombuffer(joined, np.uint8), at, length)
     # Copies of one representative (a repeated input row) are not another place: count distinct (content, window).
     content = np.array([r["content"] for r in rows], np.int64)[row]
     members = np.ones(len(row), np.int64)
@@ -148,22 +149,25 @@ def _sort_windows(rows: list[dict]) -> tuple:
         keep = np.unique(np.stack((label[k], content[k], window[k])), axis=1)
         members[k] = np.bincount(keep[0])[label[k]]
     if any(r["parts"] > 1 for r in rows):
-        prints = b"".join(xxhash.xxh3_128_digest(joined[p : p + WINDOW]) for p in at.tolist())
+        prints = b"".join(xxhash.xxh3_128_digest(joined[p : p + length]) for p in at.tolist())
         f = np.frombuffer(prints, np.int64).reshape(-1, 2)
     else:
         f = np.zeros((len(row), 2), np.int64)
     return row, window, members, f[:, 0], f[:, 1]
 
 
-def repeated_windows(rows: DataFrame) -> DataFrame:
-    """(doc_id, dk, start, windows) of rows (doc_id, dk, text): 400-byte strings that start anywhere else too."""
-    return _anchors.repeats(rows, _find, _cut, _sort_windows, _to_ranges, "suffixes")
+def repeated_windows(rows: DataFrame, length: int = WINDOW) -> DataFrame:
+    """(doc_id, dk, start, windows) of rows (doc_id, dk, text): strings of ``length`` bytes that start anywhere else too."""
+    if length % 8 or not 2 * GRAM <= length < 4096:
+        raise ValueError(f"a window is a multiple of 8 bytes from {2 * GRAM} to 4088")
+    find, cut, sort = (partial(f, length=length) for f in (_find, _cut, _sort_windows))
+    return _anchors.repeats(rows, find, cut, sort, _to_ranges, "suffixes")
 
 
-def kept_bytes(text: str | None, runs: list[dict] | None) -> tuple[bytes, bytes, list[tuple[int, int]]]:
+def kept_bytes(text: str | None, runs: list[dict] | None, length: int = WINDOW) -> tuple[bytes, bytes, list[tuple[int, int]]]:
     """(all bytes, bytes that stay, removed spans) of a text."""
     data = (text or "").encode()
-    gone = _anchors.covered(runs, WINDOW, len(data))
+    gone = _anchors.covered(runs, length, len(data))
     kept, at = [], 0
     for a, z in gone:
         kept.append(data[at:a])
@@ -192,25 +196,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return both.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def strip_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated bytes taken out of ``text``, and n_chars to match.
+def strip_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
+    """docs without the bytes of ``text`` that repeated strings of ``length`` bytes cover, and n_chars to match.
 
-    A cut inside a character takes the rest of that character too.
+    A cut inside a character takes the rest of that character too.  Columns of any name pass through.
     """
-    runs = repeated_windows(id_and_text(docs)).groupBy("doc_id", "dk").agg(F.collect_set(F.struct("start", "windows")).alias("_runs"))
-    runs = runs.select(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk"), "_runs")
-    names = docs.columns
+    runs = repeated_windows(id_and_text(docs), length).groupBy("doc_id", "dk").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
+    whole = docs.select(as_struct(docs))
+    on = F.col("doc.doc_id").eqNullSafe(F.col("found.doc_id")) & (F.hash("doc.text") == F.col("found.dk"))
+    both = whole.join(runs.select(F.struct("doc_id", "dk", "runs").alias("found")), on, "left").select("doc", F.col("found.runs").alias("runs"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, r in enumerate(b.column("_runs").to_pylist()):
+            doc = pa.RecordBatch.from_struct_array(b.column("doc"))
+            texts = doc.column("text").to_pylist()
+            for i, r in enumerate(b.column("runs").to_pylist()):
                 if r:
-                    texts[i] = kept_bytes(texts[i], r)[1].decode("utf-8", "ignore")
-            yield with_texts(b.select(names), texts)
+                    texts[i] = kept_bytes(texts[i], r, length)[1].decode("utf-8", "ignore")
+            yield with_texts(doc, texts)
 
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.hash("text") == F.col("_dk"))
-    return docs.join(runs, on, "left").drop("_id", "_dk").mapInArrow(strip, docs.schema)
+    return both.mapInArrow(strip, docs.schema)
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

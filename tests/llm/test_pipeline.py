@@ -39,3 +39,28 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Columns that carry names which steps could use inside survive every stage, with their values."""
+    names = ["_id", "_text", "_runs", "_blob", "_spans", "_dk", "score", "lang_pred", "doc", "runs", "spans", "own", "key", "found", "kept", "print", "blob"]
+    extra = ", ".join(f"{n} string" for n in names)
+    shared = " ".join(f"schein{i}" for i in range(60))
+    rows = [(i, f"einlich ungsch a{i}b c{i}d {shared if i < 3 else ''} {' '.join(f'u{i}v{k}' for k in range(90))} token = abcdef{i}", "de" if i % 2 else None, None, None) for i in range(9)]
+    docs = spark.createDataFrame([(*r, *(f"{n}{r[0]}" for n in names)) for r in rows], f"{COLUMNS}, {extra}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert [c for c in docs.columns] == [c.split()[0] for c in f"{COLUMNS}, {extra}".split(", ")]
+        got = docs.collect()
+        assert len(got) == 9 and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names), name
+    assert all(r.lang == "de" for r in got)  # a missing language is written by the first stage
+    assert all(("schein30" in r.text) == (r.doc_id >= 99) for r in got)
+
+
+def test_passages_of_over_50_words_go(spark):
+    """The repeat window of the pipeline is shorter than any passage of over 50 words of ordinary length."""
+    passage = " ".join(f"wort{i % 7}" for i in range(51))
+    rows = [(i, " ".join(f"x{i}y{k}" for k in range(80)) + f" links{i} {passage} {i}rechts " + " ".join(f"z{i}y{k}" for k in range(80)), "de", None, None) for i in range(4)]
+    suffix = dict(corpus_pipeline.STAGES)["suffix_dedup"]
+    got = suffix(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    assert all("wort" not in r.text and f" links{r.doc_id}" in r.text and f"{r.doc_id}rechts " in r.text for r in got)
