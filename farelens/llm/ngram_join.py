@@ -361,27 +361,49 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(check, "x long, y long").distinct()
 
 
-def _across(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the components of one slice pair: a spanning forest, so fewer than it has members.
+class _SlicePair:
+    """The members of one slice pair; side 0: one slice, met with itself; 1 and 2: the two slices."""
+
+    def __init__(self, table: pa.Table):
+        self.ids, self.n, comp, self.side = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "component", "side"))
+        sketches = [np.frombuffer(s, U) for s in table.column("sketch").to_pylist()]
+        words = min(map(len, sketches))
+        self.sketch = np.stack([fold(s, words) for s in sketches])
+        labels, self.of = np.unique(comp, return_inverse=True)
+        self.joined = np.arange(len(labels))  # component -> the one it is joined with so far
+        # All but the largest component's members meet every other component.
+        turns = self.side == 1 if self.side.any() else self.of != np.bincount(self.of).argmax()
+        self.turns = np.flatnonzero(turns).tolist()
+
+    def near(self, k: int) -> np.ndarray:
+        """Members of other components whose parity sketch is near enough to member k's."""
+        n, own = self.n, self.joined[self.of]
+        small, large = np.minimum(n, n[k]), np.maximum(n, n[k])
+        on = np.flatnonzero((self.side != 1) & (own != own[k]) & (100 * small >= PERCENT * large))
+        far = np.bitwise_count(self.sketch[on] ^ self.sketch[k]).sum(axis=1)
+        return on[far <= (n[on] + n[k]) * (100 - PERCENT) // (100 + PERCENT)]
 
-    side 0: one slice, met with itself; 1 and 2: the two slices.  Pairs whose parity sketches are near enough are
-    compared by their whole sets, unless links found before already join their components.
-    """
-    rows = [r for b in batches for r in b.to_pylist()]
-    ids, n, comp, side = (np.array([r[c] for r in rows], np.int64) for c in ("rep", "n", "component", "side"))
-    sets = [np.frombuffer(r["shingles"], U) for r in rows]
-    words = min(len(r["sketch"]) for r in rows) // 8
-    sketch = np.stack([fold(np.frombuffer(r["sketch"], U), words) for r in rows])
-    labels, of = np.unique(comp, return_inverse=True)
-    joined = np.arange(len(labels))  # component -> the one it is joined with so far
-    # All but the largest component's members meet every other component.
-    turns = np.flatnonzero(side == 1) if side.any() else np.flatnonzero(of != np.bincount(of).argmax())
+
+def _with_near(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of a slice pair that have a near enough one in another component: only their sets need to travel."""
+    table = pa.Table.from_batches(list(batches))
+    pair = _SlicePair(table)
+    has = np.zeros(table.num_rows, bool)
+    for k in pair.turns:
+        near = pair.near(k)
+        has[near] = True
+        has[k] |= len(near) > 0
+    yield from table.filter(pa.array(has)).combine_chunks().to_batches()
+
+
+def _across(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the components of one slice pair, by whole sets: a spanning forest, so fewer than it has members."""
+    table = pa.Table.from_batches(list(batches))
+    pair, sets = _SlicePair(table), [np.frombuffer(s, U) for s in table.column("shingles").to_pylist()]
+    ids, n, of, joined = pair.ids, pair.n, pair.of, pair.joined
     xs, ys = [], []
-    for k in turns.tolist():
-        small, large = np.minimum(n, n[k]), np.maximum(n, n[k])
-        on = np.flatnonzero((side != 1) & (joined[of] != joined[of[k]]) & (100 * small >= PERCENT * large))
-        far = np.bitwise_count(sketch[on] ^ sketch[k]).sum(axis=1)
-        for j in on[far <= (n[on] + n[k]) * (100 - PERCENT) // (100 + PERCENT)].tolist():
+    for k in pair.turns:
+        for j in pair.near(k).tolist():
             a, b = joined[of[k]], joined[of[j]]
             if a == b:
                 continue
@@ -465,11 +487,11 @@ def near_duplicates(docs: DataFrame, small: int = SMALL) -> DataFrame:
 
     groups = met.where("kind = 1").mapInArrow(_group_rows, "gid long, doc_id long").join(rep, "doc_id").select("gid", "rep", "n").distinct()
     groups = saved(groups.join(labels, "rep", "left").select("gid", "rep", "n", F.coalesce("component", "rep").alias("component")), "groups")
-    asked = saved(slice_pairs(groups), "slice-pairs")
+    asked = slice_pairs(groups).join(sketches.select("rep", "sketch"), "rep").select(*_PAIR, "rep", "n", "component", "side", "sketch")
+    asked = saved(asked.groupBy(_PAIR).applyInArrow(_with_near, asked.schema), "slices-near")
     need = saved(asked.select(F.col("rep").alias("doc_id")).distinct(), "slices-needed")
     whole_sets = saved(_texts_of(rows, need).mapInArrow(_own_sets, "rep long, shingles binary").dropDuplicates(["rep"]), "slice-sets")
-    asked = asked.join(sketches.select("rep", "sketch"), "rep").join(whole_sets, "rep")
-    more = saved(asked.groupBy(_PAIR).applyInArrow(_across, "x long, y long").distinct(), "links-across")
+    more = saved(asked.join(whole_sets, "rep").groupBy(_PAIR).applyInArrow(_across, "x long, y long").distinct(), "links-across")
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "rep")
