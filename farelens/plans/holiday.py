@@ -46,7 +46,7 @@ def daily_revenue_trend(enriched: DataFrame, params: Params) -> DataFrame:
 
 
 def trend_from_daily(daily: DataFrame, params: Params) -> DataFrame:
-    """P8a's windows and labels over a daily table (batch or a streamed rollup)."""
+    """P8a's windows and labels over a daily table (of trips, or of published day states)."""
     # W4-W7 run over days per platform (after the trip-scale aggregation).
     by_day = Window.partitionBy("company_name").orderBy("trip_date")
     last7 = by_day.rowsBetween(-6, Window.currentRow)
@@ -101,6 +101,11 @@ def peak_vs_trough(enriched: DataFrame, params: Params) -> DataFrame:
     daily = enriched.groupBy("trip_date", "company_name").agg(
         money_total("base_passenger_fare").alias("daily_base_revenue"),
     )
+    return peak_from_daily(daily, params)
+
+
+def peak_from_daily(daily: DataFrame, params: Params) -> DataFrame:
+    """P8b over a daily table."""
     pt = peak_and_trough(daily, "company_name", "trip_date", "daily_base_revenue")
     peak, trough = c("peak_daily_base_revenue"), c("trough_daily_base_revenue")
     return pt.select(

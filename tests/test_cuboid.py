@@ -56,10 +56,10 @@ def test_nulls_and_edges_survive_the_states(spark, zones):
             trip(
                 i, pickup_datetime=at, request_datetime=at - dt.timedelta(seconds=rng.choice([0, 299, 301, 900])),
                 hvfhs_license_num=rng.choice(["HV0003", "HV0005"]), PULocationID=rng.choice([1, 2, 3, 4, 99, None]),
-                DOLocationID=rng.choice([1, 2, 3, 4, 99, None]), trip_miles=rng.choice(["0.5", "1", "1.5", "2", "5", "9.999", "12"]),
-                base_passenger_fare=rng.choice(["-5", "0", "10.01", "55"]), driver_pay=rng.choice(["1", "9.5", "70"]),
-                airport_fee=rng.choice([None, "0", "2.5"]), cbd_congestion_fee=rng.choice([None, "0", "1.5"]),
-                wav_request_flag=rng.choice("YN"), wav_match_flag=rng.choice("YN"), tips=rng.choice([None, "3"]),
+                DOLocationID=rng.choice([1, 2, 3, 4, 99, None]), trip_miles=rng.choice([0.5, 1, 1.5, 2, 5, 9.999, 12]),
+                base_passenger_fare=rng.choice([-5, 0, 10.01, 55]), driver_pay=rng.choice([1, 9.5, 70]),
+                airport_fee=rng.choice([None, 0, 2.5]), cbd_congestion_fee=rng.choice([None, 0, 1.5]),
+                wav_request_flag=rng.choice("YN"), wav_match_flag=rng.choice("YN"), tips=rng.choice([None, 3]),
             )
         )
     trips = enrich(trips_df(spark, rows), zones, params).cache()
