@@ -10,11 +10,12 @@ from farelens.operators.cuboid import build_states, report_from_states
 from farelens.operators.enrich import enrich
 from farelens.params import Params
 from farelens.plans import REPORTS
-from farelens.sources.bindings import Binding, events_binding, orders_binding
+from farelens.sources.bindings import Binding, events_binding, mixed_binding, orders_binding
 
 BINDINGS: dict[str, Callable[[SparkSession, str], Binding]] = {
     "orders": orders_binding,
     "events": events_binding,
+    "mixed": mixed_binding,
 }
 
 
@@ -53,6 +54,19 @@ QUERIES: dict[str, tuple[str, str]] = {
     "p10b_wav_gap": ("orders", "wav_gap"),
     "p11a_growth_quality": ("events", "growth_quality"),
     "p11b_platform_quality": ("events", "platform_quality"),
+    "p2a_borough_demand_mixed": ("mixed", "borough_demand"),
+    "p2b_borough_time_demand_mixed": ("mixed", "borough_time_demand"),
+    "p3a_top_corridors_mixed": ("mixed", "top_corridors"),
+    "p3c_borough_matrix_mixed": ("mixed", "borough_matrix"),
+    "p4_fare_decile_margin_mixed": ("mixed", "fare_decile_margin"),
+    "p6b_pay_compliance_borough_mixed": ("mixed", "pay_compliance_borough"),
+    "p7a_congestion_by_borough_mixed": ("mixed", "congestion_by_borough"),
+    "p7c_cbd_zone_footprint_mixed": ("mixed", "cbd_zone_footprint"),
+    "p9a_zone_volatility_mixed": ("mixed", "zone_volatility"),
+    "p10a_zone_opportunity_mixed": ("mixed", "zone_opportunity"),
+    "p10b_wav_gap_mixed": ("mixed", "wav_gap"),
+    "p11a_growth_quality_mixed": ("mixed", "growth_quality"),
+    "p11b_platform_quality_mixed": ("mixed", "platform_quality"),
 }
 #: Reports that are also answered from the base cuboid (operators/cuboid.py): query key -> key of the direct report.
 CUBOID_QUERIES: dict[str, str] = {

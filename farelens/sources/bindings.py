@@ -15,6 +15,12 @@ Money derived from DOUBLE columns is brought to integer cents by one
 integer rule before any operator sees it.  The big joins are left to the
 optimizer (sort-merge, or broadcast when AQE measures a side as small);
 only the zone dimension is broadcast, behind its row-count check.
+
+* ``mixed_binding``: one trip per ``events`` row again, with fares, pay,
+  waits, fees and zones that differ by region and hour, so that at the
+  default cut-offs every ladder shows its rungs and every report filter
+  has rows to drop (unmatched and missing zones, fares of zero, groups
+  below the minimum sizes, zones without a fee).
 """
 
 from __future__ import annotations
@@ -54,6 +60,16 @@ EVENTS_CBD_CENTS = 150  # pickup zone id % 5 in (1, 2) and hour 6..19
 EVENTS_AIRPORT_CENTS = 500  # event_id % 25 in (0, 1); 0.00 when == 2; else NULL
 
 
+# Mixed binding, by severity 0..4 (region key, one more late at night, 4 at most): wait range in seconds, pay in
+# percent of the fare (Lyft four more), one trip in so many that runs two hours (0: none), surcharge in cents by region.
+MIXED_WAITS = (400, 480, 560, 700, 1000)
+MIXED_STABLE_ZONE_WAIT = (5, 600)  # a zone of steady fares and long waits
+MIXED_PAY_PCT = (72, 83, 88, 94, 104)
+MIXED_LONG_TRIPS = (0, 0, 100, 0, 20)
+MIXED_SURCHARGE_CENTS = (400, 150, 50, 50, 50)
+MIXED_CBD_ZONES = 9
+
+
 @dataclass(frozen=True)
 class Binding:
     trips: DataFrame
@@ -219,3 +235,75 @@ def events_binding(spark: SparkSession, sf_dir: str, base: Params | None = None)
         _flag(eid % 100 == 0).alias("wav_match_flag"),
     )
     return Binding(trips, zone_lookup(spark, sf_dir), params)
+
+
+def mixed_binding(spark: SparkSession, sf_dir: str, base: Params | None = None) -> Binding:
+    params = (base or Params()).with_(platforms=EVENTS_PLATFORMS, holiday_month=EVENTS_HOLIDAY_MONTH)
+    ev = _table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    cust = _table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    joined = ev.join(cust, ev.user_id == cust.c_custkey)
+    eid, n, hour = F.col("event_id"), F.col("c_nationkey").cast("int"), F.hour("ts")
+
+    def by(index: F.Column, values: tuple) -> F.Column:
+        return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), index.cast("int") + 1)
+
+    zone = (
+        F.when(eid % 50 == 7, 99)
+        .when(eid % 50 == 8, F.lit(None).cast("int"))
+        .when(n < 20, n % 10)
+        .when((n >= 23) & (eid % 4 > 0), n - 20)
+        .otherwise(n)
+    )
+    late = F.when((hour < 6) | (hour >= 23), 1).otherwise(0)
+    joined = joined.select("*", zone.alias("_zone"), (n % 5).alias("_region"), F.least(n % 5 + late, F.lit(4)).alias("_sev"))
+    z, r, sev = F.col("_zone"), F.col("_region"), F.col("_sev")
+    step = eid % 9
+    fare = (
+        F.when(eid % 97 == 5, 0)
+        .when(sev == 0, 2000 + step * 100)
+        .when(sev == 1, 1100 + step * 240)
+        .when(sev == 2, 800 + step * 500)
+        .when(sev == 3, 780 + step * step * 62)
+        .otherwise(F.when(eid % 10 == 0, 20000).otherwise(800))
+        .cast("long")
+    )
+    pct = by(sev, MIXED_PAY_PCT) + F.when(F.col("event_type") == "signup", 4).otherwise(0)
+    every = by(sev, MIXED_LONG_TRIPS)
+    long_trip = (every > 0) & (eid % F.greatest(every, F.lit(1).cast("long")) == 3)
+    wait_zone, wait_range = MIXED_STABLE_ZONE_WAIT
+    joined = joined.select(
+        "*",
+        fare.alias("_fare_c"),
+        F.when(long_trip, 7200).otherwise(180 + eid % 5 * 60).cast("long").alias("_secs"),
+        (eid * 7919 % F.when(z == wait_zone, F.lit(wait_range).cast("long")).otherwise(by(sev, MIXED_WAITS))).alias("_wait"),
+        pct.alias("_pct"),
+    )
+    fare_c, secs = F.col("_fare_c"), F.col("_secs")
+    wav = r.isin(0, 1, 3) & (eid % 20 == 0)
+    trips = joined.select(
+        eid.alias("trip_id"),
+        F.col("event_type").alias("hvfhs_license_num"),
+        F.timestamp_add("SECOND", -F.col("_wait"), F.col("ts")).alias("request_datetime"),
+        F.col("ts").alias("on_scene_datetime"),
+        F.col("ts").alias("pickup_datetime"),
+        F.timestamp_add("SECOND", secs, F.col("ts")).alias("dropoff_datetime"),
+        z.alias("PULocationID"),
+        F.when(eid % 10 >= 8, F.lit(None).cast("int")).when(eid % 10 < 3, 0).when(eid % 10 == 3, 1).otherwise((eid % 25).cast("int")).alias("DOLocationID"),
+        from_units(F.when((sev == 0) & (eid % 12 == 0), 12000).otherwise(500 + eid % 30 * 100).cast("long"), 3, 10).alias("trip_miles"),
+        secs.alias("trip_time"),
+        money(fare_c).alias("base_passenger_fare"),
+        money(F.lit(None).cast("long")).alias("tolls"),
+        money(idiv(fare_c * EVENTS_BCF_PER_MILLE + 500, 1000)).alias("bcf"),
+        money(idiv(fare_c * EVENTS_SALES_TAX_PER_100K + 50000, 100000)).alias("sales_tax"),
+        money(by(r, MIXED_SURCHARGE_CENTS)).alias("congestion_surcharge"),
+        F.when(eid % 25 < 2, money(F.lit(EVENTS_AIRPORT_CENTS))).when(eid % 25 == 2, money(F.lit(0))).alias("airport_fee"),
+        F.when(z < MIXED_CBD_ZONES, money(F.lit(EVENTS_CBD_CENTS))).alias("cbd_congestion_fee"),
+        F.when(eid % 3 == 0, money(idiv(fare_c * EVENTS_TIP_PCT + 50, 100))).alias("tips"),
+        money(F.when(fare_c == 0, F.lit(2000).cast("long")).otherwise(idiv(fare_c * F.col("_pct") + 50, 100))).alias("driver_pay"),
+        _flag(eid % 7 == 0).alias("shared_request_flag"),
+        F.lit("N").alias("shared_match_flag"),
+        F.lit("N").alias("access_a_ride_flag"),
+        _flag(wav).alias("wav_request_flag"),
+        _flag(wav & (r != 1) & (eid % 40 == 0)).alias("wav_match_flag"),
+    )
+    return Binding(trips, zone_lookup(spark, sf_dir), params)

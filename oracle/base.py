@@ -101,6 +101,52 @@ raw AS (
     FROM src
 )"""
 
+MIXED_RAW = """
+base AS (
+    SELECT e.event_id, e.event_type AS code, e.ts, c.c_nationkey AS n, c.c_nationkey % 5 AS region,
+           least(c.c_nationkey % 5 + CASE WHEN hour(e.ts) < 6 OR hour(e.ts) >= 23 THEN 1 ELSE 0 END, 4) AS sev,
+           CASE WHEN e.event_id % 50 = 7 THEN 99 WHEN e.event_id % 50 = 8 THEN NULL WHEN c.c_nationkey < 20 THEN c.c_nationkey % 10
+                WHEN c.c_nationkey >= 23 AND e.event_id % 4 > 0 THEN c.c_nationkey - 20 ELSE c.c_nationkey END AS pu_id
+    FROM events e JOIN customer c ON e.user_id = c.c_custkey
+),
+src AS (
+    SELECT *,
+           CAST(CASE WHEN event_id % 97 = 5 THEN 0
+                WHEN sev = 0 THEN 2000 + event_id % 9 * 100
+                WHEN sev = 1 THEN 1100 + event_id % 9 * 240
+                WHEN sev = 2 THEN 800 + event_id % 9 * 500
+                WHEN sev = 3 THEN 780 + (event_id % 9) * (event_id % 9) * 62
+                WHEN event_id % 10 = 0 THEN 20000 ELSE 800 END AS BIGINT) AS fare_c,
+           CAST(CASE WHEN (sev = 2 AND event_id % 100 = 3) OR (sev = 4 AND event_id % 20 = 3)
+                THEN 7200 ELSE 180 + event_id % 5 * 60 END AS BIGINT) AS secs,
+           CAST(event_id * 7919 % CASE WHEN pu_id = 5 THEN 600 WHEN sev = 0 THEN 400 WHEN sev = 1 THEN 480 WHEN sev = 2 THEN 560
+                WHEN sev = 3 THEN 700 ELSE 1000 END AS BIGINT) AS wait,
+           CASE sev WHEN 0 THEN 72 WHEN 1 THEN 83 WHEN 2 THEN 88 WHEN 3 THEN 94 ELSE 104 END + CASE WHEN code = 'signup' THEN 4 ELSE 0 END AS pct,
+           CASE WHEN event_id % 10 >= 8 THEN NULL WHEN event_id % 10 < 3 THEN 0 WHEN event_id % 10 = 3 THEN 1 ELSE event_id % 25 END AS do_id,
+           CASE WHEN sev = 0 AND event_id % 12 = 0 THEN 12000 ELSE 500 + event_id % 30 * 100 END AS miles_m
+    FROM base
+),
+raw AS (
+    SELECT *,
+           ts - to_seconds(wait) AS request_ts,
+           ts AS pickup_ts,
+           ts + to_seconds(secs) AS dropoff_ts,
+           CASE WHEN fare_c = 0 THEN 2000 ELSE (fare_c * pct + 50) // 100 END AS pay_c,
+           CAST(NULL AS BIGINT) AS tolls_c,
+           (fare_c * 25 + 500) // 1000 AS bcf_c,
+           (fare_c * 8875 + 50000) // 100000 AS tax_c,
+           CASE region WHEN 0 THEN 400 WHEN 1 THEN 150 ELSE 50 END AS surcharge_c,
+           CASE WHEN pu_id < 9 THEN 150 END AS cbd_c,
+           CASE WHEN event_id % 25 < 2 THEN 500 WHEN event_id % 25 = 2 THEN 0 END AS airport_c,
+           CASE WHEN event_id % 3 = 0 THEN (fare_c * 15 + 50) // 100 END AS tips_c,
+           CASE WHEN event_id % 7 = 0 THEN 'Y' ELSE 'N' END AS shared_request_flag,
+           'N' AS shared_match_flag,
+           'N' AS access_a_ride_flag,
+           CASE WHEN region IN (0, 1, 3) AND event_id % 20 = 0 THEN 'Y' ELSE 'N' END AS wav_request_flag,
+           CASE WHEN region IN (0, 3) AND event_id % 40 = 0 THEN 'Y' ELSE 'N' END AS wav_match_flag
+    FROM src
+)"""
+
 # binding -> (raw CTEs, platform codes/labels, max wait s, SLA s, cents per mile,
 #             cents per minute, holiday month, tie-break columns)
 BINDINGS = {
@@ -125,6 +171,7 @@ BINDINGS = {
         tiebreak=("event_id",),
     ),
 }
+BINDINGS["mixed"] = BINDINGS["events"] | {"raw": MIXED_RAW}
 
 
 def enriched_ctes(binding: str) -> str:

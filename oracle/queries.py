@@ -734,4 +734,17 @@ ORACLE_SQL: dict[str, str] = {
     "p10b_wav_gap": p10b("orders"),
     "p11a_growth_quality": p11a("events"),
     "p11b_platform_quality": p11b("events"),
+    "p2a_borough_demand_mixed": p2a("mixed"),
+    "p2b_borough_time_demand_mixed": p2b("mixed"),
+    "p3a_top_corridors_mixed": p3a("mixed"),
+    "p3c_borough_matrix_mixed": p3c("mixed"),
+    "p4_fare_decile_margin_mixed": p4("mixed"),
+    "p6b_pay_compliance_borough_mixed": p6b("mixed"),
+    "p7a_congestion_by_borough_mixed": p7a("mixed"),
+    "p7c_cbd_zone_footprint_mixed": p7c("mixed"),
+    "p9a_zone_volatility_mixed": p9a("mixed"),
+    "p10a_zone_opportunity_mixed": p10a("mixed"),
+    "p10b_wav_gap_mixed": p10b("mixed"),
+    "p11a_growth_quality_mixed": p11a("mixed"),
+    "p11b_platform_quality_mixed": p11b("mixed"),
 }
