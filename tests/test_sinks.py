@@ -192,3 +192,12 @@ def test_rejects_of_typed_columns(spark, tmp_path):
     wide.write.parquet(path)
     trips, rejects = read_trips_checked(spark, path)
     assert [r.trip_id for r in trips.collect()] == [2] and [r.reasons for r in rejects.collect()] == [["tips is no decimal(12,2)"]]
+
+
+def test_export_of_a_sorted_result_is_in_order_over_its_files(spark, tmp_path):
+    out = str(tmp_path / "sorted")
+    rows = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 7919 % 5003).alias("k"))
+    export(rows.repartitionByRange(4, "k").sortWithinPartitions("k"), out)
+    names = sorted(f for f in os.listdir(out) if f.endswith(".csv"))
+    got = [int(line) for n in names for line in open(f"{out}/{n}").read().split()[1:]]
+    assert len(names) == 4 and got == sorted(got) and len(got) == 5000
