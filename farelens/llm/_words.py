@@ -71,7 +71,9 @@ class WordEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         #: Contents that the library finds in the raw text, before it folds case.
-        self.raw = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.raw = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]
+        #: Their first characters in any case: a chunk without one of these needs no further look.
+        self.leads = sorted({c for s in self.raw for c in (s[0], s[0].upper())})
         self._clear()
 
     def _clear(self) -> None:
@@ -91,13 +93,20 @@ class WordEncoder:
     def _learn(self) -> None:
         fresh, self.words.fresh = self.words.fresh, []
         part, flat, sizes = self.parts, [], []
+        leads = self.leads
         for w in fresh:
-            base, low = w.rstrip(_MARKS), w.lower()
-            if any(s in low for s in self.raw):  # such a chunk is the library's as it stands
+            base = w.rstrip(_MARKS)
+            for c in leads:
+                if c in w and any(s in w.lower() for s in self.raw):
+                    special = True
+                    break
+            else:
+                special = False
+            if special:  # such a chunk is the library's as it stands
                 flat.append(part[w])
                 sizes.append(1)
             elif len(base) == len(w) or not base.isalpha():
-                flat.append(part[low if w.isascii() else w])
+                flat.append(part[w.lower() if w.isascii() else w])
                 sizes.append(1)
             else:
                 flat += (part[base.lower() if base.isascii() else base], part[w[len(base) :]])
