@@ -63,23 +63,26 @@ MARKS = ("sla_5min_met", "below_tlc_minimum")
 FARE = "base_passenger_fare"
 
 
-def _keys(params: Params) -> list[Column]:
-    c = F.col
-    return [
-        c("trip_date"),
-        c("company_name"),
-        c("PULocationID"),
-        c("DOLocationID"),
-        F.hour("pickup_datetime").alias("hour"),
-        m.pay_band(params).alias("pay_band"),
-        m.congestion_band(params).alias("congestion_band"),
-        c("is_airport_trip"),
-        c("below_tlc_minimum").isNotNull().alias("pay_tested"),
-    ]
-
-
-def build_states(enriched: DataFrame, params: Params) -> DataFrame:
-    """Trips to states, one partial and one final aggregation."""
+#: The keys that a report needs when its states are made for it alone (``eager_report``).
+REPORT_KEYS = {
+    "borough_demand": ("company_name", "PULocationID"),
+    "top_corridors": ("PULocationID", "DOLocationID"),
+    "zone_opportunity": ("PULocationID", "pay_tested"),
+}
+
+
+def _keys(params: Params) -> dict[str, Column]:
+    made = {
+        "hour": F.hour("pickup_datetime"),
+        "pay_band": m.pay_band(params),
+        "congestion_band": m.congestion_band(params),
+        "pay_tested": F.col("below_tlc_minimum").isNotNull(),
+    }
+    return {key: made.get(key, F.col(key)).alias(key) for key in KEYS}
+
+
+def build_states(enriched: DataFrame, params: Params, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Trips to states, one partial and one final aggregation; sums that no report above reads are pruned."""
     aggs = [m.trips().alias("n")]
     for name in AMOUNTS:
         aggs += [m.usum(name).alias(f"s_{name}"), m.count_of(name).alias(f"c_{name}")]
@@ -89,7 +92,8 @@ def build_states(enriched: DataFrame, params: Params) -> DataFrame:
     aggs += [F.expr(f"SUM({sql})").alias(f"s_{name}") for name, sql in m.DUE_PARTS.items()]
     aggs += [F.min(FARE).alias(f"min_{FARE}"), F.max(FARE).alias(f"max_{FARE}")]
     aggs += [sum_digits(m.units(FARE)).alias(f"digits_{FARE}"), square_digits(m.units(FARE)).alias(f"squares_{FARE}")]
-    return enriched.groupBy(*_keys(params)).agg(*aggs)
+    made = _keys(params)
+    return enriched.groupBy(*[made[key] for key in keys]).agg(*aggs)
 
 
 def _merge(name: str) -> Column:
@@ -109,11 +113,13 @@ def merge_states(states: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def state_relation(states: DataFrame, zones: DataFrame, params: Params) -> DataFrame:
     """States under the column names that reports group and filter by; lookups that a report never reads drop out."""
-    named = with_zone_names(states, prepare_zones(zones, params.max_broadcast_rows))
-    bucket = hour_bucket(F.col("hour"), params)
+    # Keys that states made for one report lack stand as NULL: that report does not read them.
+    missing = {key: F.lit(None).cast("int") for key in ("PULocationID", "DOLocationID", "hour") if key not in states.columns}
+    tested = F.col("pay_tested") if "pay_tested" in states.columns else F.lit(True)
+    named = with_zone_names(states.withColumns(missing) if missing else states, prepare_zones(zones, params.max_broadcast_rows))
     # Reports test the flag for NULL only; its counts are f_underpaid and s_/c_below_tlc_minimum.
-    tested = F.when(F.col("pay_tested"), F.lit(0)).alias("below_tlc_minimum")
-    return named.select("*", bucket.alias("time_of_day"), tested)
+    flag = F.when(tested, F.lit(0)).alias("below_tlc_minimum")
+    return named.select("*", hour_bucket(F.col("hour"), params).alias("time_of_day"), flag)
 
 
 def report_from_states(report: Callable, states: DataFrame, zones: DataFrame, params: Params) -> DataFrame:
@@ -121,3 +127,8 @@ def report_from_states(report: Callable, states: DataFrame, zones: DataFrame, pa
     relation = state_relation(states, zones, params)
     with m.over_states():
         return report(relation, params)
+
+
+def eager_report(report: Callable, enriched: DataFrame, zones: DataFrame, params: Params) -> DataFrame:
+    """A report of REPORT_KEYS with its sums taken by location id first, below the zone lookup, and again by name above."""
+    return report_from_states(report, build_states(enriched, params, REPORT_KEYS[report.__name__]), zones, params)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelens.operators.cuboid import build_states, report_from_states
+from farelens.operators.cuboid import REPORT_KEYS, build_states, eager_report, report_from_states
 from farelens.operators.enrich import enrich
 from farelens.params import Params
 from farelens.plans import REPORTS
@@ -100,6 +100,9 @@ def run_query(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
         b = BINDINGS[binding](spark, sf_dir)
         states = build_states(enrich(b.trips, b.zones, b.params), b.params)
         return report_from_states(REPORTS[report], states, b.zones, b.params)
+    if report in REPORT_KEYS:  # grouped by zone name: aggregate by id below the lookup
+        b = BINDINGS[binding](spark, sf_dir)
+        return eager_report(REPORTS[report], enrich(b.trips, b.zones, b.params), b.zones, b.params)
     enriched, params = enriched_for(spark, binding, sf_dir)
     if report == "enriched_trips":
         return enriched

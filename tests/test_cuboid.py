@@ -9,7 +9,7 @@ import pytest
 from conftest import SF001, trip, trips_df
 from pyspark.sql import functions as F
 
-from farelens.operators.cuboid import KEYS, build_states, merge_states, report_from_states
+from farelens.operators.cuboid import KEYS, REPORT_KEYS, build_states, eager_report, merge_states, report_from_states
 from farelens.operators.enrich import enrich
 from farelens.params import Params
 from farelens.plans import REPORTS
@@ -69,12 +69,25 @@ def test_nulls_and_edges_survive_the_states(spark, zones):
         assert [tuple(r) for r in report_from_states(REPORTS[name], states, zones, params).collect()] == direct, name
 
 
+@pytest.mark.parametrize("name", sorted(REPORT_KEYS))
+def test_eager_aggregation_equals_the_direct_report(spark, bound, name):
+    """Sums by location id below the zone lookup, by name above it."""
+    trips, _, zones, params = bound
+    zones = spark.createDataFrame(zones.collect(), zones.schema)
+    eager = eager_report(REPORTS[name], trips, zones, params)
+    assert [tuple(r) for r in eager.collect()] == [tuple(r) for r in REPORTS[name](trips, params).collect()]
+    _no_join_below_the_first_aggregate(eager)
+
+
+def _no_join_below_the_first_aggregate(df):
+    text = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    deepest = max(line.index("Aggregate") for line in text if "Aggregate" in line and "LocationID" in line and "count(1)" in line)
+    joins = [line.index("Join") for line in text if "Join" in line]
+    assert joins and max(joins) < deepest
+
+
 def test_zone_lookup_meets_states_only(spark, bound):
     """No join below the aggregation of trips: J1 and J2 come after it."""
     trips, _, zones, params = bound
     zones = spark.createDataFrame(zones.collect(), zones.schema)
-    plan = report_from_states(REPORTS["borough_demand"], build_states(trips, params), zones, params)
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    deepest_aggregate = max(line.index("Aggregate") for line in text.splitlines() if "Aggregate" in line and "LocationID" in line)
-    joins = [line.index("Join") for line in text.splitlines() if "Join" in line]
-    assert joins and max(joins) < deepest_aggregate
+    _no_join_below_the_first_aggregate(report_from_states(REPORTS["borough_demand"], build_states(trips, params), zones, params))
