@@ -100,13 +100,13 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.vstack((logs, np.log(docs / max(docs.sum(), 1))[None, :])).astype(np.float32)
 
 
-def predict(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
-    """docs plus ``lang_pred`` and ``score`` (posterior of the predicted language), replacing columns so named."""
-    docs = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs plus the predicted language and its posterior, in columns named by ``into``, replacing columns so named."""
+    docs = docs.drop(*into)
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(logs)
     names = np.array([*langs, UND], dtype=object)
-    extra = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
+    extra = pa.schema([(into[0], pa.string()), (into[1], pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = model.value
@@ -131,7 +131,7 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
             pred = [pa.array(names[best], pa.string()), pa.array(post)]
             yield pa.RecordBatch.from_arrays([*b.columns, *pred], schema=pa.schema([*b.schema, *extra]))
 
-    out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType([*docs.schema.fields, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
     return docs.mapInArrow(score, out)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, ngram_join, packing, secrets, suffix_dedup
-from ._store import as_struct, new_path, small_batches
+from ._store import new_path, small_batches
 
 #: Bytes of a repeated string that the pipeline removes: a passage of over 50 words has at least about 270 here, so one that
 #: stands in several documents is covered whole, while a line or sentence in common stays.
@@ -22,10 +24,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     small_batches(spark)
     model = language.train(docs.where(~language.held_out("doc_id")).select("text", "lang"))
-    scored = language.predict(docs.select(as_struct(docs), "text"), *model)
-    kept = scored.where((F.col("lang_pred") != language.UND) & (F.col("score") >= MIN_SCORE))
-    lang = F.coalesce("doc.lang", "lang_pred").alias("lang")
-    return kept.select(*[lang if n == "lang" else F.col(f"doc.`{n}`") for n in docs.columns])
+    pred, score = (f"{n}_{uuid.uuid4().hex}" for n in ("lang", "score"))  # beside columns of any name, without a second copy of them
+    kept = language.predict(docs, *model, into=(pred, score)).where((F.col(pred) != language.UND) & (F.col(score) >= MIN_SCORE))
+    return kept.select(*[F.coalesce("lang", pred).alias("lang") if n == "lang" else F.col(f"`{n}`") for n in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
