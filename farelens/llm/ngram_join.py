@@ -50,7 +50,7 @@ TINY = 16
 #: Members of a key up to which all pairs are candidates at once; centres a larger group may choose from.
 SMALL, CENTRES = 8, 4
 #: Block keys a bucket holds, about.
-BUCKET_KEYS = 1_500_000
+BUCKET_KEYS = 1_000_000
 #: Partners of one centre that one task verifies.
 PARTNERS = 400
 #: Members and bytes of shingles of a slice of an open group, about; a task compares two slices.
