@@ -16,7 +16,8 @@ costs rows in proportion to its size.  Equal vectors are compared once.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components have no links and are their own component; so has a vector whose
-length differs from the others' (compared among its own length only).
+length differs from the others' (compared among its own length only).  Every
+row comes back; rows that repeat an id and its vector count as one vector.
 """
 
 from __future__ import annotations
@@ -202,7 +203,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vectors (vec_id, embedding): vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     good = rows.where(valid("embedding") & F.col("vec_id").isNotNull())
-    distinct = saved(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).select("id", "n", "embedding"), "vectors")
+    distinct = saved(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("n")).select("id", "n", "embedding"), "vectors")
     spark = vectors.sparkSession
     dims = [r.d for r in distinct.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]  # lengths in the table
     found = spark.createDataFrame([], "id long, links long, to long")
