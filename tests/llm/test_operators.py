@@ -304,7 +304,9 @@ def test_vector_dedup(spark, monkeypatch):
         label = low
     out = [(int(i), int(n), int(c), bool(i == c)) for i, n, c in zip(ids, near.sum(axis=1), label, strict=True)]
     frame = spark.createDataFrame([(i, v, 1, 1) for i, v in rows + bad], VECTORS)
-    _same(vector_dedup.near_duplicates(frame), out + [(i, 0, i, True) for i, _ in bad])
+    whole = out + [(i, 0, i, True) for i, _ in bad]
+    _same(vector_dedup.near_duplicates(frame), whole)
+    _same(vector_dedup.near_duplicates(frame.unionByName(frame)), whole + whole)  # a repeated row is no other vector
     assert vector_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
@@ -328,6 +330,28 @@ def test_nearest(spark):
     few = ann.nearest(frame.where("vec_id < 5"))
     assert [r.vec_id for r in few.orderBy("rank").collect()].__len__() == 4
     assert ann.nearest(frame.limit(0)).count() == 0
+    # Rows that repeat change nothing; an id with another vector besides is still one candidate and one query.
+    twice = ann.nearest(frame.unionByName(frame)).orderBy("query_id", "rank").collect()
+    assert {q: [(r["rank"], r.vec_id) for r in twice if r.query_id == q] for q in got} == {q: [f[:2] for f in found] for q, found in got.items()}
+    other = frame.withColumn("embedding", F.transform("embedding", lambda v: -v))
+    both = ann.nearest(frame.unionByName(other)).collect()
+    assert all(len({r.vec_id for r in both if r.query_id == q}) == 20 for q in got) and len(both) == 20 * len(got)
+
+
+def test_nearest_probes_all_within_the_radius():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 1 << 16, (500, 4), dtype=np.uint16)
+    asked = codes[:40] ^ rng.integers(0, 2, (40, 4), dtype=np.uint16)
+    apart = np.bitwise_count(asked[:, None, :] ^ codes[None, :, :]).sum(axis=2, dtype=int)
+    for radius in (0, 1, 5, 20, 31, 64):
+        assert (ann.Block(codes).within(asked, radius) == (apart <= radius)).all()
+
+
+def test_nearest_best_keeps_ties_and_ids_once():
+    ids = np.array([7, 3, 3, 9, 1] * 40)
+    x = np.tile([[1.0, 0], [1, 0], [0.5, 0], [0.5, 0], [0.1, 0]], (40, 1))
+    found, score = ann._best(ids, x, np.arange(200), np.array([1.0, 0]), 3, 1e-9)
+    assert found.tolist() == [3, 7, 9] and score.tolist() == [1, 1, 0.5]
 
 
 @pytest.mark.parametrize("small", [8, 2])
