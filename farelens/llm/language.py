@@ -32,6 +32,8 @@ BUCKETS = 1 << 16
 BLOCK_BINS = 1 << 13
 #: Additive smoothing of the counts, in grams.
 ALPHA = 0.1
+#: Bytes of text whose grams are held at once: they take some two hundred times as much.
+SLICE_BYTES = 1 << 18
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -54,7 +56,7 @@ def gram_bins(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
     offsets, _ = text_buffer(batch.column("text"))
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, SLICE_BYTES):
         yield i, j, batch.column("text").slice(i, j - i).fill_null("").to_pylist()
 
 
