@@ -50,7 +50,7 @@ TINY = 16
 #: Members of a key up to which all pairs are candidates at once; centres a larger group may choose from.
 SMALL, CENTRES = 8, 4
 #: Block keys a bucket holds, about.
-BUCKET_KEYS = 1_000_000
+BUCKET_KEYS = 500_000
 #: Partners of one centre that one task verifies.
 PARTNERS = 400
 #: Members and bytes of shingles of a slice of an open group, about; a task compares two slices.
@@ -251,10 +251,17 @@ def _meet(batches: Iterator[pa.RecordBatch], small: int = SMALL) -> Iterator[pa.
             xs.append(np.full(len(members), centre))
             ys.append(members)
         x, y = np.concatenate(xs), np.concatenate(ys)
+        xs.clear()
+        ys.clear()
         on = x != y
-        if on.any():
-            pairs = np.unique(np.stack((x[on], y[on])), axis=1)
-            yield pa.record_batch([pa.array([0], pa.int32()), [pairs[0].tobytes()], [pairs[1].tobytes()]], names=names)
+        x, y = x[on], y[on]
+        if len(x):
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            del order
+            once = np.ones(len(x), bool)
+            once[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            yield pa.record_batch([pa.array([0], pa.int32()), [x[once].tobytes()], [y[once].tobytes()]], names=names)
         kept = list(groups.values())
         for k in range(0, len(kept), 256):
             part = kept[k : k + 256]
