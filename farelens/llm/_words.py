@@ -9,24 +9,39 @@ is bounded and never changes a result.
 from __future__ import annotations
 
 import os
+from collections import defaultdict
+from collections.abc import Iterable
+from itertools import count, islice
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 #: Entries kept at most, and those kept when the rest is let go (the oldest: frequent words come early).
 CACHE_WORDS, CORE_WORDS = 600_000, 300_000
 _MARKS = ",.;:!?"
 
 
-class _Index(dict):
+class _Index(defaultdict):
+    """Numbers words as they come."""
+
     def __init__(self):
         super().__init__()
-        self.fresh: list[str] = []
+        self.keep(())
+
+    def keep(self, words: Iterable[str]) -> None:
+        """Number these words alone, in order."""
+        self.default_factory = None
+        self.clear()
+        self.update(zip(words, count()))
+        self.known, self.default_factory = len(self), count(len(self)).__next__
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.fresh.append(word)
-        return n
+    def take_fresh(self) -> list[str]:
+        """The words numbered since the last call."""
+        fresh = list(islice(reversed(self), len(self) - self.known))
+        fresh.reverse()
+        self.known = len(self)
+        return fresh
 
 
 class _Rows:
@@ -74,45 +89,62 @@ class WordEncoder:
         self.raw = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]
         #: Their first characters in any case: a chunk without one of these needs no further look.
         self.leads = sorted({c for s in self.raw for c in (s[0], s[0].upper())})
+        self.ends = self._word_ends()
         self._clear()
 
+    def _word_ends(self) -> np.ndarray | None:
+        """Which ids end a pre-token, if the model marks each one's last byte with a suffix; None: it does not."""
+        suffix, vocab = getattr(self.tok.model, "end_of_word_suffix", None), self.tok.get_vocab()
+        if not suffix or any(c not in vocab or c + suffix not in vocab for c in ByteLevel.alphabet()):
+            return None
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        return ends
+
     def _clear(self) -> None:
         self.words, self.word_parts = _Index(), _Rows()
         self.parts, self.part_ids = _Index(), _Rows()
 
     def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids a word, ids) by the library, in one call: word_ids tells the words apart."""
+        """(ids a word, ids) by the library, in one call: the ids that end a word, or word_ids, tell the words apart."""
         if all(map(str.isalpha, words)):
+            if self.ends is not None:
+                (enc,) = self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)  # without offsets and word_ids
+                ids = np.asarray(enc.ids, np.uint32)
+                last = np.flatnonzero(self.ends[ids])
+                if len(last) == len(words):  # one pre-token a word
+                    return np.diff(last, prepend=-1), ids
             enc = self.tok.encode(" ".join(words), add_special_tokens=False)
             of = np.asarray(enc.word_ids, np.int64)
-            if len(of) and of[-1] + 1 == len(words):  # one pre-token a word
+            if len(of) and of[-1] + 1 == len(words):
                 return np.bincount(of, minlength=len(words)), np.asarray(enc.ids, np.uint32)
         enc = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
         return np.bincount(np.asarray(enc.word_ids, np.int64), minlength=len(words)), np.asarray(enc.ids, np.uint32)
 
     def _learn(self) -> None:
-        fresh, self.words.fresh = self.words.fresh, []
-        part, flat, sizes = self.parts, [], []
-        leads = self.leads
-        for w in fresh:
-            base = w.rstrip(_MARKS)
-            for c in leads:
-                if c in w and any(s in w.lower() for s in self.raw):
-                    special = True
-                    break
-            else:
-                special = False
-            if special:  # such a chunk is the library's as it stands
-                flat.append(part[w])
-                sizes.append(1)
-            elif len(base) == len(w) or not base.isalpha():
-                flat.append(part[w.lower() if w.isascii() else w])
-                sizes.append(1)
-            else:
-                flat += (part[base.lower() if base.isascii() else base], part[w[len(base) :]])
-                sizes.append(2)
-        self.word_parts.add(np.asarray(sizes, np.int64), np.asarray(flat, np.uint32))
-        new, part.fresh = part.fresh, []
+        fresh, part = self.words.take_fresh(), self.parts
+        joined = " ".join(fresh)  # no chunk holds a space
+        folded = joined.lower().split(" ") if joined.isascii() else [w.lower() if w.isascii() else w for w in fresh]
+        special: list[int] = []
+        if any(c in joined for c in self.leads):  # such a chunk is the library's as it stands
+            special = [i for i, w in enumerate(fresh) if any(c in w for c in self.leads) and any(s in w.lower() for s in self.raw)]
+        for i in special:
+            folded[i] = fresh[i]
+        bases = [w.rstrip(_MARKS) for w in folded]
+        size = np.fromiter(map(len, bases), np.int64, len(bases))
+        cut = (size < np.fromiter(map(len, folded), np.int64, len(folded))) & np.fromiter(map(str.isalpha, bases), bool, len(bases))
+        cut[special] = False
+        two = np.flatnonzero(cut).tolist()
+        tails = [part[folded[i][len(bases[i]) :]] for i in two]
+        for i in two:
+            folded[i] = bases[i]
+        sizes = 1 + cut.astype(np.int64)
+        flat = np.zeros(int(sizes.sum()), np.uint32)
+        first = np.cumsum(sizes) - sizes
+        flat[first] = np.fromiter(map(part.__getitem__, folded), np.uint32, len(folded))
+        flat[first[cut] + 1] = tails
+        self.word_parts.add(sizes, flat)
+        new = part.take_fresh()
         plain = np.fromiter(map(str.isalpha, new), bool, len(new))
         size, ids = np.zeros(len(new), np.int64), []
         for mask in (plain, ~plain):
@@ -130,8 +162,7 @@ class WordEncoder:
             core = list(self.words)[:CORE_WORDS]
             parts = list(self.parts)[: int(self.word_parts.take(np.arange(len(core)))[0].max()) + 1]
             for index, rows, kept in ((self.words, self.word_parts, core), (self.parts, self.part_ids, parts)):
-                index.clear()
-                index.update(zip(kept, range(len(kept)), strict=True))
+                index.keep(kept)
                 rows.keep(len(kept))
         words: list[str] = []
         bounds = np.zeros(len(texts) + 1, np.int64)
@@ -139,7 +170,7 @@ class WordEncoder:
             words += t.replace("\n", " ").split(" ")
             bounds[i + 1] = len(words)
         at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        if self.words.fresh:
+        if len(self.words) > self.words.known:
             self._learn()
         parts, upto_parts = self.word_parts.take(at)
         flat, upto = self.part_ids.take(parts)

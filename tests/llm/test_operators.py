@@ -432,3 +432,32 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {n: c for n, c in label.items() if n in got} and {n for e in links if e[0] != e[1] for n in e} == got.keys()
+
+
+def test_plain_words_are_encoded_without_offsets():
+    import public_tokenizers
+
+    from farelens.llm._words import WordEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Haus haus, HAUS. früh é क़ ǅ ﬁ 漢字 don't <|endoftext|> a<|EndOfText|>, b.c ... !x 5a\tb c  d\n", "", " ", "ÄÖ, äö."]
+    for ends in (True, False):
+        enc, slow = WordEncoder(path), []
+        if not ends:
+            enc.ends = None
+        lib = enc.tok
+
+        class Counting:
+            def __getattr__(self, name):
+                if name == "encode":
+                    return lambda x, **k: slow.append(x) or lib.encode(x, **k)
+                return getattr(lib, name)
+
+        enc.tok = Counting()
+        for _ in range(2):
+            ids, lens = enc.encode(texts, 7)
+            bounds = np.concatenate(([0], np.cumsum(lens)))
+            for t, a, z in zip(texts, bounds, bounds[1:], strict=False):
+                assert ids[a:z].tolist() == [*lib.encode(t, add_special_tokens=False).ids, 7], t
+        enc.encode(["nur worte hier"], 7)
+        assert ("nur worte hier" in slow) == (not ends)
