@@ -30,7 +30,9 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -46,6 +48,7 @@ from ._store import documents, saved
 CACHE_CHUNKS, CACHE_PAIRS, LONGEST = 400_000, 400_000, 64
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_MARKS = ",.;:!?"
 #: Above every rank: no merge is left.
 _NEVER = float("inf")
 #: What stands before a token, if no token does: the chunk's start, or a character outside the vocabulary.
@@ -100,6 +103,8 @@ class Pieces:
         self.id = {p: i for i, p in enumerate(self.text) if not special[i]}
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece crosses the start of a run of spaces")
+        #: Marks that no piece has right after a letter.
+        self.marks = "".join(m for m in _MARKS if not any(a.isalpha() and b == m for p in self.id for a, b in pairwise(p)))
         #: Merge order of pieces: the better the score the smaller; pieces of equal score are equal.
         self.rank = {p: -lib.get_score(i) for p, i in self.id.items()}
         self.bytes = [bytes([int(p[1:-1], 16)]) if lib.is_byte(i) else b"" if lib.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)]
@@ -198,26 +203,43 @@ class Encoder:
         self.number: dict[str, int] = {}
         self.ids, self.start, self.size = array("i"), array("q"), array("q")
 
+    def trim(self) -> None:
+        """Keep the oldest half: frequent chunks come early."""
+        k = min(CACHE_CHUNKS // 2, bisect_right(self.start, 8 * CACHE_CHUNKS) - 1)
+        self.number = {c: n for c, n in self.number.items() if n < k}
+        del self.ids[self.start[k] :], self.start[k:], self.size[k:]
+
     def chunks(self, text: str) -> list[str]:
         """The chunks of a text, each with the spaces before it."""
         if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
             return _CHUNK.findall(SPACE + text.replace(" ", SPACE))
         return (SPACE + text.replace(" ", " " + SPACE)).split(" ")
 
-    def _new(self, chunk: str) -> int:
-        got = self.pieces.chunk_ids(chunk)
+    def _add(self, chunk: str, got: Iterable[int]) -> int:
         k = len(self.start)
         self.start.append(len(self.ids))
-        self.size.append(len(got))
         self.ids.extend(got)
+        self.size.append(len(self.ids) - self.start[k])
         if len(chunk) <= LONGEST:
             self.number[chunk] = k
         return k
 
+    def _new(self, chunk: str) -> int:
+        word = chunk.rstrip(self.pieces.marks)
+        if len(word) == len(chunk) or not word[-1:].isalpha():
+            return self._add(chunk, self.pieces.chunk_ids(chunk))
+        got = array("i")  # no merge joins a letter and the mark after it: the two parts are encoded on their own
+        for part in (word, chunk[len(word) :]):
+            k = self.number.get(part)
+            if k is None:
+                k = self._add(part, self.pieces.chunk_ids(part))
+            got += self.ids[self.start[k] : self.start[k] + self.size[k]]
+        return self._add(chunk, got)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids with begin and end ids, ids per text)."""
         if len(self.start) > CACHE_CHUNKS or len(self.ids) > 16 * CACHE_CHUNKS:
-            self.clear()
+            self.trim()
         if not self.start:  # numbers 0 and 1: the begin and the end id
             self.start, self.size, self.ids = array("q", [0, 1]), array("q", [1, 1]), array("i", [self.pieces.bos, self.pieces.eos])
         find, new = self.number.get, self._new

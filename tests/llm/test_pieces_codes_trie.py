@@ -234,3 +234,27 @@ def test_sql_of_trie_and_codes(conversations):
     rows = [(i, (rng.normal(size=16) * 0.2).tolist(), i % 3 or None) for i in range(60)] + [(60, None, 1), (61, [None] * 16, 1)]
     con.register("embeddings", pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["vec_id", "embedding", "label"]))
     assert sorted(con.sql(vector_codes.ORACLE).fetchall()) == sorted(_codes(rows))
+
+
+def test_word_and_its_marks_are_encoded_once_each(monkeypatch):
+    asked = []
+    real = piece_bpe.Pieces.chunk_ids
+    monkeypatch.setattr(piece_bpe.Pieces, "chunk_ids", lambda self, chunk: asked.append(chunk) or real(self, chunk))
+    monkeypatch.setattr(piece_bpe, "CACHE_CHUNKS", 20)
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=model)
+    enc = piece_bpe.Encoder(model)
+
+    def check(texts):
+        ids, lens = enc.encode(texts)
+        bounds = np.concatenate(([0], np.cumsum(lens)))
+        for t, a, z in zip(texts, bounds, bounds[1:], strict=False):
+            assert ids[a:z].tolist() == lib.encode(t, add_bos=True, add_eos=True), t
+
+    check(["haus haus, haus. haus?! haus,"])
+    assert sorted(asked) == sorted(["▁haus", ",", ".", "?!"])
+    check(["früh, a.b, . , ,x é. 漢字! ☃. 5, a5. 日。 ,,, é. ▁. ▁, x▁,", "x. " * 9, ", haus", "haus  ."])
+    check([f"wort{i}q, wort{i}q." for i in range(60)])
+    asked.clear()
+    check(["haus, haus."])  # beyond the limit the oldest chunks stay known
+    assert not asked
