@@ -17,6 +17,8 @@ import numpy as np
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
+from ._batches import CACHES, lighten
+
 #: Entries kept at most, and those kept when the rest is let go (the oldest: frequent words come early).
 CACHE_WORDS, CORE_WORDS = 600_000, 300_000
 _MARKS = ",.;:!?"
@@ -179,10 +181,12 @@ class WordEncoder:
 
 
 _SHARED: dict[str, WordEncoder] = {}
+CACHES.append(_SHARED)
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder a worker and file, so that its cache serves all of the worker's tasks."""
+    """One encoder a worker and file, so that its cache serves all of the worker's tasks until another operator's come."""
+    lighten(_SHARED)
     if path not in _SHARED:
         _SHARED[path] = WordEncoder(path)
     return _SHARED[path]

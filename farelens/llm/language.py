@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._batches import slices, text_buffer
+from ._batches import lighten, slices, text_buffer
 from ._store import documents
 
 BUCKETS = 1 << 16
@@ -61,6 +61,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lighten()
     counts: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
     for b in batches:
@@ -111,6 +112,7 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, into: tuple[str
     extra = pa.schema([(into[0], pa.string()), (into[1], pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         matrix = model.value
         for b in batches:
             best, post = np.full(b.num_rows, len(langs)), np.zeros(b.num_rows)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._batches import BASE, U, mix, slices, text_buffer, word_hashes
+from ._batches import BASE, U, lighten, mix, slices, text_buffer, word_hashes
 from ._graph import components
 from ._store import as_struct, documents, saved, shuffle_width
 
@@ -140,6 +140,7 @@ _SETS = "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lighten()
     for b in batches:
         for i, sets in shingle_sets(b.column("text")):
             n = [len(s) for s in sets]
@@ -165,6 +166,7 @@ def _emit_keys(buckets: int):
     names = ["bucket", "keys", "docs"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         keys: list[np.ndarray] = []
         docs: list[np.ndarray] = []
         weak: list[int] = []
@@ -267,6 +269,7 @@ def _meet(batches: Iterator[pa.RecordBatch], small: int = SMALL) -> Iterator[pa.
             part = kept[k : k + 256]
             yield pa.record_batch([pa.array([1] * len(part), pa.int32()), pa.array([_planes(g) for g in part], pa.binary()), pa.array([b""] * len(part), pa.binary())], names=names)
 
+    lighten()
     at, keys, docs = None, [], []
     for b in batches:
         for r in b.to_pylist():
@@ -284,12 +287,14 @@ def _meet(batches: Iterator[pa.RecordBatch], small: int = SMALL) -> Iterator[pa.
 
 
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lighten()
     for b in batches:
         for a, z in zip(b.column("a"), b.column("b"), strict=True):
             yield pa.record_batch([np.frombuffer(a.as_py(), np.int64), np.frombuffer(z.as_py(), np.int64)], names=["x", "y"])
 
 
 def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lighten()
     for b in batches:
         for data in b.column("a").to_pylist():
             docs = _from_planes(data).view(np.int64)
@@ -305,6 +310,7 @@ def _linked(n: np.ndarray, m: int, common: np.ndarray) -> np.ndarray:
 
 def _near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose parity sketches differ in no more bits than linked sets may differ in shingles."""
+    lighten()
     for b in batches:
         most = (b.column("nx").to_numpy() + b.column("ny").to_numpy()) * (100 - PERCENT) // (100 + PERCENT)
         on = np.zeros(b.num_rows, bool)
@@ -324,6 +330,7 @@ def _texts_of(docs: DataFrame, need: DataFrame) -> DataFrame:
 
 
 def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lighten()
     for b in batches:
         for i, sets in shingle_sets(b.column("text")):
             yield pa.record_batch([b.column("doc_id").slice(i, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "shingles"])
@@ -338,6 +345,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     need = saved(need, "pairs-needed")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for b in batches:
             ids, ats = b.column("doc_id").to_pylist(), b.column("at").to_pylist()
             for i, sets in shingle_sets(b.column("text")):
@@ -347,6 +355,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.record_batch(cols, names=["x", "cut", "partner", "y", "shingles"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         own, mine = None, None
         for b in batches:
             xs, ys = [], []

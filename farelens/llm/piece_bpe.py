@@ -41,7 +41,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._batches import slices, text_buffer
+from ._batches import CACHES, slices, text_buffer
 from ._store import documents, saved
 
 #: Chunks and pair tests that a worker keeps at most, and the longest chunk kept (characters); results do not depend on them.
@@ -310,6 +310,7 @@ def _utf8(data: bytes) -> str:
 
 _ENCODERS: dict[str, Encoder] = {}
 _DECODERS: dict[str, Decoder] = {}
+CACHES += (_ENCODERS, _DECODERS)
 
 
 def encode_ids(docs: DataFrame, model: str) -> DataFrame:

@@ -64,3 +64,17 @@ def test_passages_of_over_50_words_go(spark):
     suffix = dict(corpus_pipeline.STAGES)["suffix_dedup"]
     got = suffix(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
     assert all("wort" not in r.text and f" links{r.doc_id}" in r.text and f"{r.doc_id}rechts " in r.text for r in got)
+
+
+def test_tasks_let_go_of_other_operators_caches():
+    """Workers go from stage to stage: what the packing stage's encoder remembers must not stay beside another stage's work."""
+    import public_tokenizers
+
+    from farelens.llm import _words, language, ngram_join
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for task in (language._count, ngram_join._sets, ngram_join._meet):
+        kept = _words.encoder(path)
+        assert _words.encoder(path) is kept
+        list(task(iter(())))
+        assert not _words._SHARED
