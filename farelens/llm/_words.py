@@ -2,26 +2,37 @@
 
 ``word_bpe_49k.json`` drops white space before it merges, so a text's ids are
 the ids of its white-space separated chunks in order.  Chunks repeat, so each
-distinct chunk is encoded by the tokenizers library once per worker; the cache
-is bounded and never changes a result.
+distinct chunk is looked up once a call and encoded by the tokenizers library
+once per worker; the cache is bounded and never changes a result.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import string
 from collections import defaultdict
 from collections.abc import Iterable
 from itertools import count, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 from ._batches import CACHES, lighten
 
-#: Entries kept at most, and those kept when the rest is let go (the oldest: frequent words come early).
-CACHE_WORDS, CORE_WORDS = 600_000, 300_000
-_MARKS = ",.;:!?"
+#: Entries kept at most, and those kept when the rest is let go (those met in most calls).
+CACHE_WORDS, CORE_WORDS = 400_000, 250_000
+#: With more parts than this, only those of the words that stay are kept.
+CACHE_PARTS = 700_000
+#: Words for one call of the library, whose results hold several hundred bytes a word.
+LIBRARY_WORDS = 1 << 13
+#: Bytes of text for one call: the more, the fewer times a word is looked up.
+CALL_BYTES = 4 << 20
+#: A run of these is one pre-token after letters; the apostrophe is not among them, it opens contractions.
+_MARKS = string.punctuation.replace("'", "")
 
 
 class _Index(defaultdict):
@@ -71,8 +82,10 @@ class _Rows:
         np.cumsum(sizes, out=upto[1:])
         return self.values[np.repeat(self.start[at] - upto[:-1], sizes) + np.arange(upto[-1])], upto
 
-    def keep(self, n: int) -> None:
-        self.n, self.used = n, int(self.start[n - 1] + self.size[n - 1]) if n else 0
+    def keep(self, sizes: np.ndarray, values: np.ndarray) -> None:
+        """These rows alone."""
+        self.n = self.used = 0
+        self.add(sizes, values)
 
 
 class WordEncoder:
@@ -92,6 +105,7 @@ class WordEncoder:
         #: Their first characters in any case: a chunk without one of these needs no further look.
         self.leads = sorted({c for s in self.raw for c in (s[0], s[0].upper())})
         self.ends = self._word_ends()
+        self.bare = self._bare()
         self._clear()
 
     def _word_ends(self) -> np.ndarray | None:
@@ -103,15 +117,46 @@ class WordEncoder:
         ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         return ends
 
+    def _bare(self) -> Tokenizer:
+        """The tokenizer without its normalizer, if that leaves lower-case ASCII letters with single spaces between them alone."""
+        state = json.loads(self.tok.normalizer.__getstate__()) if self.tok.normalizer else {"type": "Sequence", "normalizers": []}
+        steps = state["normalizers"] if state["type"] == "Sequence" else [state]
+        spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+        if any(n != spaces and n["type"] not in ("NFC", "NFKC", "Lowercase") for n in steps):
+            return self.tok
+        bare = Tokenizer(self.tok.model)
+        bare.pre_tokenizer = self.tok.pre_tokenizer
+        return bare
+
     def _clear(self) -> None:
         self.words, self.word_parts = _Index(), _Rows()
         self.parts, self.part_ids = _Index(), _Rows()
+        #: Calls that met a word.
+        self.calls = np.zeros(1024, np.int32)
+
+    def _forget(self) -> None:
+        """Keep CORE_WORDS words, those met in most calls (of equals the oldest)."""
+        kept = np.sort(np.argsort(-self.calls[: len(self.words)], kind="stable")[:CORE_WORDS])
+        flat, upto = self.word_parts.take(kept)
+        if len(self.parts) > CACHE_PARTS:
+            used, flat = np.unique(flat, return_inverse=True)
+            ids, upto_ids = self.part_ids.take(used)
+            parts = list(self.parts)
+            self.parts.keep([parts[i] for i in used.tolist()])
+            self.part_ids.keep(np.diff(upto_ids), ids)
+        words = list(self.words)
+        self.words.keep([words[i] for i in kept.tolist()])
+        self.word_parts.keep(np.diff(upto), flat)
+        calls, self.calls = self.calls[kept], np.zeros_like(self.calls)
+        self.calls[: len(calls)] = calls
 
     def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids a word, ids) by the library, in one call: the ids that end a word, or word_ids, tell the words apart."""
         if all(map(str.isalpha, words)):
             if self.ends is not None:
-                (enc,) = self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)  # without offsets and word_ids
+                joined = " ".join(words)
+                tok = self.bare if joined.isascii() else self.tok
+                (enc,) = tok.encode_batch_fast([joined], add_special_tokens=False)  # without offsets and word_ids
                 ids = np.asarray(enc.ids, np.uint32)
                 last = np.flatnonzero(self.ends[ids])
                 if len(last) == len(words):  # one pre-token a word
@@ -147,33 +192,36 @@ class WordEncoder:
         flat[first[cut] + 1] = tails
         self.word_parts.add(sizes, flat)
         new = part.take_fresh()
-        plain = np.fromiter(map(str.isalpha, new), bool, len(new))
+        kind = np.where(np.fromiter(map(str.isalpha, new), bool, len(new)), np.fromiter(map(str.isascii, new), bool, len(new)), 2)
         size, ids = np.zeros(len(new), np.int64), []
-        for mask in (plain, ~plain):
-            if mask.any():
-                size[mask], got = self._library([new[i] for i in np.flatnonzero(mask)])
+        for k in range(3):  # letters, ASCII letters (in lower case, or a word that is special), the rest
+            of_kind = np.flatnonzero(kind == k)
+            for i in range(0, len(of_kind), LIBRARY_WORDS):
+                at = of_kind[i : i + LIBRARY_WORDS]
+                size[at], got = self._library([new[i] for i in at.tolist()])
                 ids.append(got)
-        order = np.argsort(np.repeat(~plain, size), kind="stable")  # library order -> order of the parts
+        order = np.argsort(np.repeat(kind, size), kind="stable")  # library order -> order of the parts
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.part_ids.add(size, np.concatenate(ids)[back] if ids else np.zeros(0, np.uint32))
 
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per text) of the texts, each followed by the id ``end``."""
         if len(self.words) > CACHE_WORDS:
-            core = list(self.words)[:CORE_WORDS]
-            parts = list(self.parts)[: int(self.word_parts.take(np.arange(len(core)))[0].max()) + 1]
-            for index, rows, kept in ((self.words, self.word_parts, core), (self.parts, self.part_ids, parts)):
-                index.keep(kept)
-                rows.keep(len(kept))
-        words: list[str] = []
-        bounds = np.zeros(len(texts) + 1, np.int64)
-        for i, t in enumerate(texts):
-            words += t.replace("\n", " ").split(" ")
-            bounds[i + 1] = len(words)
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            self._forget()
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        bounds = np.asarray(chunks.offsets).astype(np.int64)
+        bounds -= bounds[0]
+        coded = chunks.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
         if len(self.words) > self.words.known:
             self._learn()
+        if len(self.words) > len(self.calls):
+            self.calls = np.append(self.calls, np.zeros(len(self.words), np.int32))
+        self.calls[at] += 1
+        at = at[np.asarray(coded.indices)]
         parts, upto_parts = self.word_parts.take(at)
         flat, upto = self.part_ids.take(parts)
         lens = np.diff(upto[upto_parts[bounds]])

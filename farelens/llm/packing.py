@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._batches import slices, text_buffer
 from ._store import documents, id_and_text, saved, shuffle_width
-from ._words import encoder
+from ._words import CALL_BYTES, encoder
 
 LENGTH = 2048
 UNIT = 8
@@ -172,8 +172,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) ->
     enc = encoder(tokenizer)
     for b in batches:
         offsets, _ = text_buffer(b.column("text"))
-        for i, j in slices(offsets):
-            flat, lens = enc.encode(b.column("text").slice(i, j - i).fill_null("").to_pylist(), end_id)
+        for i, j in slices(offsets, CALL_BYTES):
+            flat, lens = enc.encode(b.column("text").slice(i, j - i).fill_null(""), end_id)
             yield b, i, j, flat, lens
 
 

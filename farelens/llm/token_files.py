@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._batches import slices, text_buffer
 from ._store import documents, new_path, shuffle_width
-from ._words import encoder
+from ._words import CALL_BYTES, encoder
 
 BLOCK = 128
 CHUNK_IDS = 1 << 18
@@ -143,12 +143,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         for b in batches:
             key = b.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
             offsets, _ = text_buffer(b.column("text"))
-            for i, j in slices(offsets):
-                texts = b.column("text").slice(i, j - i).fill_null("").to_pylist()
-                flat, lens = enc.encode(texts, end_id)
-                held.append((key[i:j], lens, flat))
-                if sum(len(h[2]) for h in held) >= CHUNK_IDS:
-                    yield flush()
+            for i, j in slices(offsets, CALL_BYTES):
+                flat, lens = enc.encode(b.column("text").slice(i, j - i).fill_null(""), end_id)
+                upto = np.concatenate(([0], np.cumsum(lens)))
+                for a, z in slices(upto, CHUNK_IDS // 4):
+                    held.append((key[i + a : i + z], lens[a:z], flat[upto[a] : upto[z]]))
+                    if sum(len(h[2]) for h in held) >= CHUNK_IDS:
+                        yield flush()
         if held:
             yield flush()
 

@@ -461,3 +461,43 @@ def test_plain_words_are_encoded_without_offsets():
                 assert ids[a:z].tolist() == [*lib.encode(t, add_special_tokens=False).ids, 7], t
         enc.encode(["nur worte hier"], 7)
         assert ("nur worte hier" in slow) == (not ends)
+
+
+def test_letters_and_marks_after_them_are_known_parts():
+    lib = WordEncoder(WORD_BPE).tok
+    enc, slow = WordEncoder(WORD_BPE), []
+
+    class Counting:
+        def __getattr__(self, name):
+            if name == "encode":
+                return lambda x, **k: slow.extend(x) or lib.encode(x, **k)
+            return getattr(lib, name)
+
+    enc.tok = Counting()
+    texts = ["Haus$$$ haus%%% it's an'% a_b x_ é*** <|endoftext|># a<|b, c-- d<|EndOfText|>$ q1$$ \\ [] ab'#", "haus*** [x] 's$ don't% naïve&"]
+    ids, lens = enc.encode(texts, 7)
+    want = [[*lib.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    assert ids.tolist() == sum(want, []) and lens.tolist() == [len(w) for w in want]
+    assert "$$$" in slow and not {"haus$$$", "haus%%%", "haus***", "x_", "é***"} & set(slow)  # the marks alone, once each
+
+
+def test_full_cache_keeps_the_words_met_most(monkeypatch):
+    from farelens.llm import _words
+
+    monkeypatch.setattr(_words, "LIBRARY_WORDS", 3, raising=False)
+    monkeypatch.setattr(_words, "CACHE_WORDS", 40)
+    monkeypatch.setattr(_words, "CORE_WORDS", 20)
+    lib = WordEncoder(WORD_BPE).tok
+    for most_parts in (10_000, 30):
+        monkeypatch.setattr(_words, "CACHE_PARTS", most_parts, raising=False)
+        rng, enc = random.Random(3), WordEncoder(WORD_BPE)
+        learned, take = [], enc.words.take_fresh
+        enc.words.take_fresh = lambda learned=learned, take=take: learned.extend(x := take()) or x
+        enc.encode([" ".join(f"{chr(97 + k)}once," for k in range(25))], 7)
+        often = ["Anreth,", "èré.", "ndstnt***", "<|endoftext|>", "x1"]
+        for k in range(30):
+            texts = [" ".join([*often, *(f"{''.join(rng.choices('abcdé', k=5))}{m}" for m in ("", ",", "$$", "'s", "9"))]), "", "x"]
+            ids, lens = enc.encode(texts, 7)
+            want = [[*lib.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+            assert ids.tolist() == sum(want, []) and lens.tolist() == [len(w) for w in want], k
+        assert len(enc.words) <= 50 and [learned.count(w) for w in often] == [1] * 5
