@@ -118,11 +118,11 @@ class WordEncoder:
         return ends
 
     def _bare(self) -> Tokenizer:
-        """The tokenizer without its normalizer, if that leaves lower-case ASCII letters with single spaces between them alone."""
+        """The tokenizer without its normalizer, if that and the added tokens leave lower-case ASCII letters between single spaces alone."""
         state = json.loads(self.tok.normalizer.__getstate__()) if self.tok.normalizer else {"type": "Sequence", "normalizers": []}
         steps = state["normalizers"] if state["type"] == "Sequence" else [state]
         spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
-        if any(n != spaces and n["type"] not in ("NFC", "NFKC", "Lowercase") for n in steps):
+        if any(map(str.isalpha, self.raw)) or any(n != spaces and n["type"] not in ("NFC", "NFKC", "Lowercase") for n in steps):
             return self.tok
         bare = Tokenizer(self.tok.model)
         bare.pre_tokenizer = self.tok.pre_tokenizer
@@ -194,7 +194,7 @@ class WordEncoder:
         new = part.take_fresh()
         kind = np.where(np.fromiter(map(str.isalpha, new), bool, len(new)), np.fromiter(map(str.isascii, new), bool, len(new)), 2)
         size, ids = np.zeros(len(new), np.int64), []
-        for k in range(3):  # letters, ASCII letters (in lower case, or a word that is special), the rest
+        for k in range(3):  # letters, ASCII letters alone, the rest
             of_kind = np.flatnonzero(kind == k)
             for i in range(0, len(of_kind), LIBRARY_WORDS):
                 at = of_kind[i : i + LIBRARY_WORDS]
