@@ -11,9 +11,6 @@ from __future__ import annotations
 import json
 import os
 import string
-from collections import defaultdict
-from collections.abc import Iterable
-from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,70 +18,86 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from ._batches import CACHES, lighten
+from ._batches import CACHES, give_back, lighten
 
 #: Entries kept at most, and those kept when the rest is let go (those met in most calls).
 CACHE_WORDS, CORE_WORDS = 400_000, 250_000
 #: With more parts than this, only those of the words that stay are kept.
 CACHE_PARTS = 700_000
 #: Words for one call of the library, whose results hold several hundred bytes a word.
-LIBRARY_WORDS = 1 << 13
+LIBRARY_WORDS = 1 << 12
 #: Bytes of text for one call: the more, the fewer times a word is looked up.
 CALL_BYTES = 4 << 20
 #: A run of these is one pre-token after letters; the apostrophe is not among them, it opens contractions.
 _MARKS = string.punctuation.replace("'", "")
 
 
-class _Index(defaultdict):
-    """Numbers words as they come."""
+class _Index:
+    """Numbers words as they come.  They are one Arrow column: in a dict of Python strings a word takes some ten times as much."""
 
     def __init__(self):
-        super().__init__()
-        self.keep(())
+        self.keep(pa.array([], pa.large_string()))
 
-    def keep(self, words: Iterable[str]) -> None:
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def keep(self, words: pa.Array) -> None:
         """Number these words alone, in order."""
-        self.default_factory = None
-        self.clear()
-        self.update(zip(words, count()))
-        self.known, self.default_factory = len(self), count(len(self)).__next__
+        self.column, self.known = words, len(words)
+
+    def number(self, words: pa.Array) -> np.ndarray:
+        """The numbers of ``words``, which are distinct."""
+        words = words.cast(pa.large_string())
+        at = np.asarray(pc.index_in(words, value_set=self.column).fill_null(-1)).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self) + np.arange(len(new))
+        if len(new):
+            self.column = pa.concat_arrays([self.column, words.take(pa.array(new))])
+        return at
 
     def take_fresh(self) -> list[str]:
         """The words numbered since the last call."""
-        fresh = list(islice(reversed(self), len(self) - self.known))
-        fresh.reverse()
+        fresh = self.column.slice(self.known).to_numpy(zero_copy_only=False).tolist()
         self.known = len(self)
         return fresh
 
 
+def _longer(x: np.ndarray, n: int) -> np.ndarray:
+    """x with zeros after it, if it has fewer than n values."""
+    if n <= len(x):
+        return x
+    out = np.zeros(max(n, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class _Rows:
     """Growing lists of small integers, one a row."""
 
     def __init__(self):
-        self.start, self.size, self.values = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32)
-        self.n = self.used = 0
+        self.upto, self.values, self.n = np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
 
     def add(self, sizes: np.ndarray, values: np.ndarray) -> None:
-        while self.n + len(sizes) > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-        while self.used + len(values) > len(self.values):
-            self.values = np.resize(self.values, 2 * len(self.values))
-        self.size[self.n : self.n + len(sizes)] = sizes
-        self.start[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-        self.values[self.used : self.used + len(values)] = values
+        used = int(self.upto[self.n])
+        self.upto = _longer(self.upto, self.n + len(sizes) + 1)
+        self.values = _longer(self.values, used + len(values))
+        self.upto[self.n + 1 : self.n + len(sizes) + 1] = used + np.cumsum(sizes)
+        self.values[used : used + len(values)] = values
         self.n += len(sizes)
-        self.used += len(values)
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values of the rows ``at`` one after another, where each row begins and the last ends)."""
-        sizes = self.size[at]
+        start = self.upto[at]
         upto = np.zeros(len(at) + 1, np.int64)
-        np.cumsum(sizes, out=upto[1:])
-        return self.values[np.repeat(self.start[at] - upto[:-1], sizes) + np.arange(upto[-1])], upto
+        np.cumsum(self.upto[at + 1] - start, out=upto[1:])
+        start -= upto[:-1]
+        where = np.repeat(start, np.diff(upto))
+        where += np.arange(len(where))
+        return self.values[where], upto
 
     def keep(self, sizes: np.ndarray, values: np.ndarray) -> None:
         """These rows alone."""
-        self.n = self.used = 0
+        self.n = 0
         self.add(sizes, values)
 
 
@@ -140,12 +153,11 @@ class WordEncoder:
         flat, upto = self.word_parts.take(kept)
         if len(self.parts) > CACHE_PARTS:
             used, flat = np.unique(flat, return_inverse=True)
+            used = used.astype(np.int64)
             ids, upto_ids = self.part_ids.take(used)
-            parts = list(self.parts)
-            self.parts.keep([parts[i] for i in used.tolist()])
+            self.parts.keep(self.parts.column.take(pa.array(used)))
             self.part_ids.keep(np.diff(upto_ids), ids)
-        words = list(self.words)
-        self.words.keep([words[i] for i in kept.tolist()])
+        self.words.keep(self.words.column.take(pa.array(kept)))
         self.word_parts.keep(np.diff(upto), flat)
         calls, self.calls = self.calls[kept], np.zeros_like(self.calls)
         self.calls[: len(calls)] = calls
@@ -169,7 +181,7 @@ class WordEncoder:
         return np.bincount(np.asarray(enc.word_ids, np.int64), minlength=len(words)), np.asarray(enc.ids, np.uint32)
 
     def _learn(self) -> None:
-        fresh, part = self.words.take_fresh(), self.parts
+        fresh = self.words.take_fresh()
         joined = " ".join(fresh)  # no chunk holds a space
         folded = joined.lower().split(" ") if joined.isascii() else [w.lower() if w.isascii() else w for w in fresh]
         special: list[int] = []
@@ -182,16 +194,18 @@ class WordEncoder:
         cut = (size < np.fromiter(map(len, folded), np.int64, len(folded))) & np.fromiter(map(str.isalpha, bases), bool, len(bases))
         cut[special] = False
         two = np.flatnonzero(cut).tolist()
-        tails = [part[folded[i][len(bases[i]) :]] for i in two]
+        tails = [folded[i][len(bases[i]) :] for i in two]
         for i in two:
             folded[i] = bases[i]
         sizes = 1 + cut.astype(np.int64)
+        coded = pa.array(folded + tails, pa.large_string()).dictionary_encode()
+        at = self.parts.number(coded.dictionary)[np.asarray(coded.indices)]
         flat = np.zeros(int(sizes.sum()), np.uint32)
         first = np.cumsum(sizes) - sizes
-        flat[first] = np.fromiter(map(part.__getitem__, folded), np.uint32, len(folded))
-        flat[first[cut] + 1] = tails
+        flat[first] = at[: len(folded)]
+        flat[first[cut] + 1] = at[len(folded) :]
         self.word_parts.add(sizes, flat)
-        new = part.take_fresh()
+        new = self.parts.take_fresh()
         kind = np.where(np.fromiter(map(str.isalpha, new), bool, len(new)), np.fromiter(map(str.isascii, new), bool, len(new)), 2)
         size, ids = np.zeros(len(new), np.int64), []
         for k in range(3):  # letters, ASCII letters alone, the rest
@@ -209,20 +223,21 @@ class WordEncoder:
         """(flat ids, ids per text) of the texts, each followed by the id ``end``."""
         if len(self.words) > CACHE_WORDS:
             self._forget()
+        give_back()  # what the last call held is several times what stays
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         bounds = np.asarray(chunks.offsets).astype(np.int64)
         bounds -= bounds[0]
         coded = chunks.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        at = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+        del chunks
+        at = self.words.number(coded.dictionary)
         if len(self.words) > self.words.known:
             self._learn()
-        if len(self.words) > len(self.calls):
-            self.calls = np.append(self.calls, np.zeros(len(self.words), np.int32))
+        self.calls = _longer(self.calls, len(self.words))
         self.calls[at] += 1
         at = at[np.asarray(coded.indices)]
         parts, upto_parts = self.word_parts.take(at)
+        del at, coded
         flat, upto = self.part_ids.take(parts)
         lens = np.diff(upto[upto_parts[bounds]])
         return np.insert(flat, np.cumsum(lens), end), lens + 1

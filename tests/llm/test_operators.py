@@ -501,3 +501,23 @@ def test_full_cache_keeps_the_words_met_most(monkeypatch):
             want = [[*lib.encode(t, add_special_tokens=False).ids, 7] for t in texts]
             assert ids.tolist() == sum(want, []) and lens.tolist() == [len(w) for w in want], k
         assert len(enc.words) <= 50 and [learned.count(w) for w in often] == [1] * 5
+
+
+def test_cached_words_take_few_bytes():
+    """Two workers' encoders stand beside an executor's heap: what one remembers must be small."""
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, rng = 60_000, random.Random(5)
+    words = sorted({"".join(rng.choices("abcdefghij", k=9)) for _ in range(n)})
+    texts, enc = [" ".join(f"{w}," for w in words[k::50]) for k in range(50)], WordEncoder(WORD_BPE)
+    gc.collect()
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    enc.encode(texts, 7)
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert len(enc.words) == len(words) and held < 200 * len(words), held / len(words)
